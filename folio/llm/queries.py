@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, mixing, piece_bpe, simhash_ball, token_count, toxicity
+from . import doc_simhash, language_id, line_dedup, mixing, piece_bpe, quality_rules, simhash_ball, token_count, toxicity
 from .common import documents, fold, stage
 
 
@@ -27,10 +27,23 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(documents(spark, sf_dir))
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_bpe.digests(documents(spark, sf_dir))
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return doc_simhash.edited_report(documents(spark, sf_dir))
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = quality_rules.apply_rules(documents(spark, sf_dir))
+    return q.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     fps = stage(simhash_ball.fingerprints(documents(spark, sf_dir)), "fp")
     found = simhash_ball.classes(fps)
@@ -41,5 +54,63 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_mix_sources, op3_toxicity, op5_sentencepiece, op9_simhash_near_dedup, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_mix_sources, op3_toxicity, op4_line_dedup, op5_sentencepiece, op6_fingerprints, op8_quality_rules, op9_simhash_near_dedup, op10_token_counts)}
 ORACLES: dict[str, str] = {}
+
+ORACLES["op4_line_dedup"] = """
+WITH lines AS (
+  SELECT doc_id, source, unnest(range(len(a))) AS pos, unnest(a) AS line
+  FROM (SELECT doc_id, source, string_split(coalesce(text, ''), chr(10)) AS a FROM documents)),
+keyed AS (SELECT doc_id, source, pos, line, trim(line, ' ' || chr(9) || chr(13)) AS t FROM lines),
+boiler AS (SELECT t, min(doc_id) AS first_doc FROM keyed WHERE t <> '' GROUP BY t HAVING count(DISTINCT source) >= 10),
+firsts AS (SELECT k.t, min(k.pos) AS first_pos FROM keyed k JOIN boiler b ON k.t = b.t AND k.doc_id = b.first_doc GROUP BY k.t),
+marked AS (
+  SELECT k.doc_id, k.pos, k.line, b.t IS NOT NULL AND NOT (k.doc_id = b.first_doc AND k.pos = f.first_pos) AS gone
+  FROM keyed k LEFT JOIN boiler b ON k.t = b.t LEFT JOIN firsts f ON k.t = f.t)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+"""
+
+ORACLES["op2_mix_sources"] = """
+WITH sized AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size FROM documents),
+by_source AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
+numbered AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS src FROM by_source),
+weighed AS (SELECT *, CASE src % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END::BIGINT AS weight FROM numbered),
+running AS (
+  SELECT *, sum(source_size) OVER () AS total, sum(weight) OVER () AS all_w,
+    coalesce(sum(source_size) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s0,
+    coalesce(sum(weight) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS w0
+  FROM weighed WINDOW o AS (ORDER BY source_size::DOUBLE / weight::DOUBLE, src)),
+capping AS (SELECT *, (total - 3 * s0) * weight >= 3 * source_size * (all_w - w0) AS capped FROM running),
+targets AS (
+  SELECT source, src, source_size, total, CASE WHEN capped THEN (3 * source_size)::DOUBLE ELSE
+      (weight * (total - 3 * coalesce(sum(source_size) FILTER (WHERE capped) OVER (), 0)))::DOUBLE
+      / (all_w - coalesce(sum(weight) FILTER (WHERE capped) OVER (), 0))::DOUBLE END AS target,
+    greatest(16, ceil(total::DOUBLE / 1048576.0))::BIGINT AS block
+  FROM capping),
+quotas AS (SELECT *, floor(target)::BIGINT AS quota, ceil(source_size::DOUBLE / block::DOUBLE)::BIGINT AS blocks FROM targets),
+summed AS (SELECT *, sum(quota) OVER (ORDER BY src ROWS UNBOUNDED PRECEDING) AS cum, sum(quota) OVER () AS quota_sum FROM quotas),
+plan AS (
+  SELECT *, floor((cum - quota)::DOUBLE * 2147483648.0 / quota_sum::DOUBLE)::BIGINT AS lo,
+    floor(cum::DOUBLE * 2147483648.0 / quota_sum::DOUBLE)::BIGINT AS hi FROM summed WHERE quota_sum > 0),
+slots AS (
+  SELECT i AS slot, ((i % 2147483648) * 1327217885) % 2147483648 AS point
+  FROM (SELECT unnest(range((SELECT ceil(max(total)::DOUBLE / max(block)::DOUBLE)::BIGINT FROM plan))) AS i)),
+ranked AS (
+  SELECT p.src, p.blocks, row_number() OVER (PARTITION BY p.src ORDER BY s.slot) - 1 AS rank
+  FROM slots s JOIN plan p ON s.point >= p.lo AND s.point < p.hi WHERE p.blocks > 0),
+times AS (SELECT src, rank % blocks AS block_no, count(*) AS times FROM ranked WHERE rank // blocks < 3 GROUP BY ALL),
+placed AS (
+  SELECT d.doc_id, d.size, p.source_size, p.target, p.src, p.block,
+    sum(d.size) OVER (PARTITION BY p.src ORDER BY md5(d.doc_id::VARCHAR), d.doc_id, d.size ROWS UNBOUNDED PRECEDING) - d.size AS start
+  FROM sized d JOIN targets p ON d.source IS NOT DISTINCT FROM p.source),
+pieces AS (
+  SELECT p.*, unnest(range(start // block, greatest(start, start + size - 1) // block + 1)) AS block_no FROM placed p)
+SELECT doc_id, size, source_size, target,
+  sum(greatest(0, least(start + size, (q.block_no + 1) * block) - greatest(start, q.block_no * block)) * coalesce(times, 0))::BIGINT AS taken
+FROM pieces q
+LEFT JOIN times t ON t.src = q.src AND t.block_no = q.block_no
+GROUP BY doc_id, size, source_size, target
+"""
