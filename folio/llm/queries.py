@@ -91,7 +91,7 @@ targets AS (
     greatest(16, ceil(total::DOUBLE / 1048576.0))::BIGINT AS block
   FROM capping),
 quotas AS (SELECT *, floor(target)::BIGINT AS quota, ceil(source_size::DOUBLE / block::DOUBLE)::BIGINT AS blocks FROM targets),
-summed AS (SELECT *, sum(quota) OVER (ORDER BY src ROWS UNBOUNDED PRECEDING) AS cum, sum(quota) OVER () AS quota_sum FROM quotas),
+summed AS (SELECT *, (sum(quota) OVER (ORDER BY src ROWS UNBOUNDED PRECEDING))::BIGINT AS cum, (sum(quota) OVER ())::BIGINT AS quota_sum FROM quotas),
 plan AS (
   SELECT *, floor((cum - quota)::DOUBLE * 2147483648.0 / quota_sum::DOUBLE)::BIGINT AS lo,
     floor(cum::DOUBLE * 2147483648.0 / quota_sum::DOUBLE)::BIGINT AS hi FROM summed WHERE quota_sum > 0),
@@ -104,7 +104,7 @@ ranked AS (
 times AS (SELECT src, rank % blocks AS block_no, count(*) AS times FROM ranked WHERE rank // blocks < 3 GROUP BY ALL),
 placed AS (
   SELECT d.doc_id, d.size, p.source_size, p.target, p.src, p.block,
-    sum(d.size) OVER (PARTITION BY p.src ORDER BY md5(d.doc_id::VARCHAR), d.doc_id, d.size ROWS UNBOUNDED PRECEDING) - d.size AS start
+    sum(d.size) OVER (PARTITION BY p.src ORDER BY md5(d.doc_id::VARCHAR), d.doc_id, d.size ROWS UNBOUNDED PRECEDING)::BIGINT - d.size AS start
   FROM sized d JOIN targets p ON d.source IS NOT DISTINCT FROM p.source),
 pieces AS (
   SELECT p.*, unnest(range(start // block, greatest(start, start + size - 1) // block + 1)) AS block_no FROM placed p)
