@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import doc_simhash, language_id, line_dedup, mixing, piece_bpe, quality_rules, simhash_ball, token_count, toxicity
+from . import doc_simhash, language_id, line_dedup, mixing, piece_bpe, quality_rules, repeat_bytes, simhash_ball, token_count, toxicity
 from .common import documents, fold, stage
 
 
@@ -39,6 +39,10 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return doc_simhash.edited_report(documents(spark, sf_dir))
 
 
+def op7_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeat_bytes.remove_repeats(documents(spark, sf_dir))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = quality_rules.apply_rules(documents(spark, sf_dir))
     return q.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -54,7 +58,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_mix_sources, op3_toxicity, op4_line_dedup, op5_sentencepiece, op6_fingerprints, op8_quality_rules, op9_simhash_near_dedup, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_mix_sources, op3_toxicity, op4_line_dedup, op5_sentencepiece, op6_fingerprints, op7_repeated_bytes, op8_quality_rules, op9_simhash_near_dedup, op10_token_counts)}
 ORACLES: dict[str, str] = {}
 
 ORACLES["op4_line_dedup"] = """
