@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..workers import ship
 from .common import bounded_sample, fold
 
 TRAIN_ROWS = 2000
@@ -172,6 +173,7 @@ def fit(docs: DataFrame, bound: int = TRAIN_ROWS) -> Codes:
 
 def predict(docs: DataFrame, codes: Codes) -> DataFrame:
     """``doc_id, lang_pred, score, ambiguous`` for every row."""
+    ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

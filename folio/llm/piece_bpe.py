@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..workers import ship
+
 SPACE = "▁"
 UNKNOWN, BEGIN, END = 0, 1, 2
 CACHE = 200_000
@@ -254,6 +256,7 @@ def _encoded(path: str):
 
 
 def _slim(docs: DataFrame) -> DataFrame:
+    ship(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
@@ -265,6 +268,7 @@ def encode(docs: DataFrame, model_path: str | None = None) -> DataFrame:
 def decode(encoded: DataFrame, model_path: str | None = None) -> DataFrame:
     """``doc_id, text`` of ``doc_id, ids``; null ids give a null text."""
     path = model_path or default_model()
+    ship(encoded.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)

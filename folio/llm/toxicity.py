@@ -27,7 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, fold, stage
+from ..workers import ship
+from .common import fold, stage
 
 #: Labelled rows used for learning, at most.
 TRAIN_ROWS = 6000
@@ -213,6 +214,7 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_ROWS) -> Grammar:
 
 def score(docs: DataFrame, grammar: Grammar) -> DataFrame:
     """``doc_id, score`` of every whole text."""
+    ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -224,6 +226,7 @@ def score(docs: DataFrame, grammar: Grammar) -> DataFrame:
 
 def reject(docs: DataFrame, grammar: Grammar, at: float = 0.5) -> DataFrame:
     """``docs`` without the rows whose text scores ``at`` or more."""
+    ship(docs.sparkSession)
     cols = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
