@@ -160,6 +160,8 @@ class Document:
                 if n != num:
                     raise Damaged(f"object {num} expected at offset {e[1]}, found {n}")
             except FolioError as x:
+                if self.repaired:  # nothing better is to be had: as if it were missing
+                    return None
                 del self._cache[num]
                 raise x if isinstance(x, Damaged) else Damaged(x.message) from None
             if self.handler is not None and not (isinstance(self.trailer.get("Encrypt"), Ref) and self.trailer["Encrypt"].num == num):

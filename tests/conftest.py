@@ -6,6 +6,7 @@ import pytest
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 
+
 @pytest.fixture(scope="session")
 def spark():
     from pyspark.sql import SparkSession
