@@ -118,3 +118,75 @@ FROM pieces q
 LEFT JOIN times t ON t.src = q.src AND t.block_no = q.block_no
 GROUP BY doc_id, size, source_size, target
 """
+
+ORACLES["op7_repeated_bytes"] = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+blocks AS (
+  SELECT doc_id, b, n, substr(h, (400 * b + 1)::BIGINT, 800) AS c
+  FROM (SELECT doc_id, h, len(h) // 2 AS n, unnest(range((len(h) // 2 + 199) // 200)) AS b FROM d WHERE len(h) >= 400)),
+w AS (
+  SELECT doc_id, 200 * b + j AS i, hash(substr(c, (2 * j + 1)::BIGINT, 400)) AS s
+  FROM (SELECT *, unnest(range(200)) AS j FROM blocks) WHERE 200 * b + j <= n - 200),
+r AS (SELECT doc_id, i FROM w SEMI JOIN (SELECT s FROM w GROUP BY s HAVING count(*) > 1) t USING (s)),
+n AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 200 THEN 0 ELSE 1 END AS fresh FROM r),
+g AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS k FROM n),
+spans AS (SELECT doc_id, min(i) AS a, max(i) + 200 AS b FROM g GROUP BY doc_id, k),
+before AS (SELECT *, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS pb FROM spans),
+cut AS (
+  SELECT s.doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans, max(b) AS last_b,
+    string_agg(substr(h, (2 * pb + 1)::BIGINT, (2 * (a - pb))::BIGINT), '' ORDER BY a) AS kept
+  FROM before s JOIN d ON d.doc_id = s.doc_id GROUP BY s.doc_id)
+SELECT d.doc_id, len(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(CASE WHEN last_b IS NULL THEN h ELSE kept || substr(h, (2 * last_b + 1)::BIGINT) END)) AS kept_sha256
+FROM d LEFT JOIN cut c ON c.doc_id = d.doc_id
+"""
+
+
+def _quality_sql() -> str:
+    """The fixed rules and every concentration step, written out."""
+    q, dims = quality_rules, range(quality_rules.DIMS)
+    xs = ", ".join(f"x{i}" for i in dims)
+    floor = [(1000 * f) ** 2 for f in q.FLOORS]
+    ctes = [
+        "d AS (SELECT doc_id, lang, source, coalesce(text, '') AS t FROM documents)",
+        "wd AS (SELECT *, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM d)",
+        "win AS (SELECT doc_id, i, hash(w[i:i + 4]) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM wd WHERE len(w) > 5))",
+        "rep AS (SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, h) > 1)",
+        "gaps AS (SELECT doc_id, lead(i) OVER (PARTITION BY doc_id ORDER BY i) - i AS gap FROM rep)",
+        "cover AS (SELECT doc_id, sum(least(5, coalesce(gap, 5)))::BIGINT AS r FROM gaps GROUP BY doc_id)",
+        "base AS (SELECT wd.doc_id, lang, source, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(r, 0) AS n_repeat_words FROM wd LEFT JOIN cover USING (doc_id))",
+        f"stats AS (SELECT *, n_words < {q.LEAST_WORDS} OR 100 * n_repeat_words > {q.MOST_REPEATED} * n_words AS base_failed FROM base)",
+        "by_group AS (SELECT lang AS g_lang, source AS g_source, count(*) FILTER (WHERE NOT base_failed) AS n FROM stats GROUP BY ALL)",
+        f"grouped AS (SELECT g_lang, g_source, CASE WHEN n >= {q.LEAST_ROWS} THEN coalesce('=' || g_lang, '-') || chr(31) || coalesce('=' || g_source, '-') WHEN sum(n) OVER (PARTITION BY g_lang) >= {q.LEAST_ROWS} THEN coalesce('=' || g_lang, '-') ELSE 'all' END AS grp FROM by_group)",
+        """v AS (SELECT s.*, grp, n_words + 10.0::DOUBLE AS n, round(ln(1 + n_words::DOUBLE) * 1000) AS x0, round(ln((word_chars + 50) / n) * 1000) AS x1, round(ln(1 + 10 * n_symbols / n) * 1000) AS x2,
+          round(ln(1 + 10 * n_dup_lines / n) * 1000) AS x3, round(n_repeat_words / n * 1000) AS x4 FROM stats s JOIN grouped g ON s.lang IS NOT DISTINCT FROM g_lang AND s.source IS NOT DISTINCT FROM g_source)""",
+        f"u AS (SELECT grp, {xs} FROM v WHERE NOT base_failed)",
+        "q AS (SELECT grp, " + ", ".join(f"quantile_cont(x{i}, [0.25, 0.5, 0.75]) AS q{i}" for i in dims) + " FROM u GROUP BY grp)",
+        "c0 AS (SELECT grp, " + ", ".join(f"q{i}[2] AS m{i}, greatest((q{i}[3] - q{i}[1]) * 0.7413, {1000 * q.FLOORS[i]}::DOUBLE) AS l{i}{i}" for i in dims) + "".join(f", 0.0::DOUBLE AS l{i}{j}" for i in dims for j in range(i)) + " FROM q)",
+    ]
+
+    def distance(rows: str, centre: str, join: str, keep: str) -> str:
+        z = ", ".join(f"(x{i} - m{i}" + "".join(f" - l{i}{k} * z{k}" for k in range(i)) + f") / l{i}{i} AS z{i}" for i in dims)
+        return f"SELECT {keep}, {z}, " + " + ".join(f"z{i} * z{i}" for i in dims) + f" AS d2 FROM {rows} r {join} {centre} c ON r.grp = c.grp"
+
+    for k in range(q.STEPS):
+        scale = repr(q.consistency()) if k == q.STEPS - 1 else "1.0"
+        ctes.append(f"d{k} AS ({distance('u', f'c{k}', 'JOIN', 'r.grp AS grp, ' + xs)})")
+        ctes.append(f"b{k} AS (SELECT *, floor(log2(1 + d2) * 256) AS bin FROM d{k})")
+        ctes.append(f"h{k} AS (SELECT grp, bin, sum(count(*)) OVER (PARTITION BY grp ORDER BY bin) AS cum, sum(count(*)) OVER (PARTITION BY grp) AS n FROM b{k} GROUP BY grp, bin)")
+        ctes.append(f"e{k} AS (SELECT grp, min(bin) AS last FROM h{k} WHERE cum >= ceil({q.H} * n) GROUP BY grp)")
+        sums = ", ".join([f"avg(x{i}) AS m{i}" for i in dims] + [f"sum(x{i} * x{j}) / count(*) AS p{i}{j}" for i in dims for j in range(i + 1)])
+        ctes.append(f"s{k} AS (SELECT b.grp, {sums} FROM b{k} b JOIN e{k} e ON b.grp = e.grp AND bin <= last GROUP BY b.grp)")
+        chol = []
+        for i in dims:
+            for j in range(i + 1):
+                cov = f"{scale}::DOUBLE * (p{i}{j} - m{i} * m{j})"
+                less = "".join(f" - l{i}{x} * l{j}{x}" for x in range(j))
+                chol.append(f"sqrt(greatest(greatest(0, {cov}) + {floor[i]}{less}, {floor[i] * 0.01})) AS l{i}{i}" if i == j else f"({cov}{less}) / l{j}{j} AS l{i}{j}")
+        ctes.append(f"c{k + 1} AS (SELECT grp, " + ", ".join(f"m{i}" for i in dims) + ", " + ", ".join(chol) + f" FROM s{k})")
+    cols = "doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed"
+    ctes.append(f"far AS ({distance('v', f'c{q.STEPS}', 'LEFT JOIN', cols)})")
+    return "WITH " + ",\n".join(ctes) + f"\nSELECT {cols}, NOT base_failed AND coalesce(d2 <= {q.CUTOFF}, true) AS kept FROM far"
+
+
+ORACLES["op8_quality_rules"] = _quality_sql()

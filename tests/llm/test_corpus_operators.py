@@ -34,7 +34,7 @@ def odd(spark, more=()):
     return spark.createDataFrame([(a, b, c, d, len(b) if b is not None else None) for a, b, c, d in r], SCHEMA).withColumn("size", F.lit("clash")).withColumn("fp", F.lit("clash"))
 
 
-@pytest.mark.parametrize("name", ["op2_mix_sources", "op4_line_dedup"])
+@pytest.mark.parametrize("name", list(queries.ORACLES))
 def test_oracles(spark, name):
     con = duckdb.connect()
     con.sql(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
