@@ -158,24 +158,25 @@ class Interpreter:
         f, size = st["font"], st["size"]
         if f is None:
             f = st["font"] = self.font({})
+        # the line's directions hold for the whole string; only the origin moves
+        line = mul(tm, st["ctm"])
+        place = mul((size * st["scale"], 0, 0, size, 0, st["rise"]), line)
+        em = [1000 * x for x in f.matrix[:4]] if f.kind == "Type3" else None
+        shape = mul((*em, 0, 0), place) if em else place
+        right, up = (shape[0], shape[1]), (shape[2], shape[3])
+        unit = f.matrix[0] if em else 0.001
+        stroke, both = st["mode"] in (1, 5), st["mode"] in (2, 6)
+        step = (line[2], line[3]) if f.vertical else (line[0], line[1])
+        x0, y0, moved, add = place[4], place[5], 0.0, self.glyphs.append
         for _, text, w, space in f.codes(s):
-            place = mul((size * st["scale"], 0, 0, size, 0, st["rise"]), mul(tm, st["ctm"]))
-            if f.kind == "Type3":
-                em = tuple(1000 * x for x in f.matrix[:4])
-                place_em = mul((*em, 0, 0), place)
-            else:
-                place_em = place
-            known = w if w is not None else 500.0
-            unit = f.matrix[0] if f.kind == "Type3" else 0.001
-            adv = (place[0] * known * unit, place[1] * known * unit) if w is not None and f.kind != "Type3" else None
-            self.glyphs.append(Glyph(text, (place[4], place[5]), (place_em[0], place_em[1]), (place_em[2], place_em[3]), adv, st["mode"] in (1, 5)))
-            if st["mode"] in (2, 6):
-                self.glyphs.append(self.glyphs[-1]._replace(stroke=True))
+            adv = (place[0] * w * unit, place[1] * w * unit) if w is not None and not em else None
+            g = Glyph(text, (x0 + moved * step[0], y0 + moved * step[1]), right, up, adv, stroke)
+            add(g)
+            if both:
+                add(g._replace(stroke=True))
             extra = st["char"] + (st["word"] if space else 0.0)
-            if f.vertical:
-                tm = mul((1, 0, 0, 1, 0, -size + extra), tm)
-            else:
-                tm = mul((1, 0, 0, 1, (known * unit * size + extra) * st["scale"], 0), tm)
+            moved += extra - size if f.vertical else ((500.0 if w is None else w) * unit * size + extra) * st["scale"]
+        tm = mul((1, 0, 0, 1, 0, moved) if f.vertical else (1, 0, 0, 1, moved, 0), tm)
         return tm
 
 
@@ -186,6 +187,8 @@ def fold(glyphs: list[Glyph]) -> tuple[list[Run], bool]:
     """
     runs, missing, filled = [], False, None
     cur: dict | None = None
+    dot = lambda a, b: a[0] * b[0] + a[1] * b[1]
+    shape_of: tuple = ()
 
     def close() -> None:
         if cur is None or not cur["text"].strip():
@@ -200,8 +203,12 @@ def fold(glyphs: list[Glyph]) -> tuple[list[Run], bool]:
         runs.append(Run(cur["text"], float(f(min(xs))), float(f(min(ys))), float(f(max(xs) - min(xs))), float(f(max(ys) - min(ys))), float(f(size))))
 
     for g in glyphs:
-        size, along = math.hypot(*g.up), math.hypot(*g.right)
-        if not all(map(math.isfinite, (*g.origin, size, along))) or size <= 0 or along <= 0:
+        if not shape_of or shape_of[0] is not g.up or shape_of[1] is not g.right:
+            size, along = math.hypot(*g.up), math.hypot(*g.right)
+            sound = math.isfinite(size) and math.isfinite(along) and size > 0 and along > 0
+            up, way = ((g.up[0] / size, g.up[1] / size), (g.right[0] / along, g.right[1] / along)) if sound else (None, None)
+            shape_of = (g.up, g.right)
+        if not sound or not math.isfinite(g.origin[0]) or not math.isfinite(g.origin[1]):
             continue
         if g.stroke:
             if filled == g.origin:
@@ -210,12 +217,10 @@ def fold(glyphs: list[Glyph]) -> tuple[list[Run], bool]:
             filled = g.origin
         missing |= g.text is None
         text = g.text if g.text is not None else "�"
-        up, way = (g.up[0] / size, g.up[1] / size), (g.right[0] / along, g.right[1] / along)
         after = None if g.advance is None else (g.origin[0] + g.advance[0], g.origin[1] + g.advance[1])
         end = after or (g.origin[0] + way[0] * BLIND_ADVANCE * size, g.origin[1] + way[1] * BLIND_ADVANCE * size)
         joins = space = False
         if cur is not None:
-            dot = lambda a, b: a[0] * b[0] + a[1] * b[1]
             at, lo, hi = (cur["after"], BACK, RUN_GAP) if cur["after"] else (cur["last"], BACK_BLIND, GAP_BLIND)
             delta = (g.origin[0] - at[0], g.origin[1] - at[1])
             gap, aside = dot(delta, cur["way"]) / cur["size"], dot(delta, cur["up"]) / cur["size"]

@@ -143,7 +143,8 @@ def merge(files: DataFrame, inputs: DataFrame, password: str | None = None, byte
             error = {"code": x.code, "message": x.message}
         return pa.table({"output": table.column("output").slice(0, 1), "content": pa.array([content], pa.binary()), "error": pa.array([error], _ERROR)})
 
-    return rows.groupBy("output").applyInArrow(go, f"output string, content binary, {ERROR}")
+    parts = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, "output").groupBy("output").applyInArrow(go, f"output string, content binary, {ERROR}")
 
 
 def _merged(parts: list[tuple], password: str | None) -> bytes:

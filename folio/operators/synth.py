@@ -81,5 +81,7 @@ def from_rows(rows: DataFrame, count_delta: bool = False, damage: bool = False)
         return pa.table({"doc_id": pa.array([str(got[0]["doc_id"])]), "content": pa.array([data], pa.binary())})
 
     ship(rows.sparkSession)
-    d = rows.withColumn("doc_id", F.col("doc_id").cast("string"))
+    # a stated number of partitions: files are small in bytes and large in work, so they are not to be coalesced
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    d = rows.withColumn("doc_id", F.col("doc_id").cast("string")).repartition(parts, "doc_id")
     return d.groupBy("doc_id").applyInArrow(go, "doc_id string, content binary")
