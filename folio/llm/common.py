@@ -77,4 +77,5 @@ def bounded_sample(df: DataFrame, key: str, bound: int) -> list:
     if n > bound:
         cut = int(bound / n * 1.02 * (1 << 30)) + 1
         df = df.where(F.pmod(F.xxhash64(F.lit("sample"), F.col(key)), F.lit(1 << 30)) < cut)
-    return df.limit(bound).collect()
+    # ties and the last few rows over the bound fall by the same order in every run
+    return df.orderBy(F.xxhash64(F.lit("sample"), F.col(key)), F.col(key)).limit(bound).collect()

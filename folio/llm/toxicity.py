@@ -199,7 +199,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_ROWS) -
     n = l.count()
     if n > bound:
         cut = int(bound / n * 1.05 * (1 << 30)) + 1
-        l = l.where(F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 30)) < cut).limit(bound)
+        h = F.xxhash64(F.lit("sample"), F.col("doc_id"))
+        l = l.where(F.pmod(h, F.lit(1 << 30)) < cut).orderBy(h, "doc_id").limit(bound)
     chosen = F.broadcast(l)  # at most ``bound`` rows
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").join(chosen, "doc_id").limit(2 * bound).collect()
     seen = {}
