@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..workers import ship
 from .common import stage
 
 LENGTH = 200
@@ -100,37 +101,57 @@ def merged(n: int, left: np.ndarray) -> np.ndarray:
 # --- packed places ----------------------------------------------------------------------------------------
 
 
-def _narrow(offsets: np.ndarray, names: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Gaps between ascending offsets in 16 bits; a larger gap is filled with marked entries."""
-    gap = np.diff(offsets, prepend=0)
-    extra = gap // 65535
-    if not extra.any():
-        return gap.astype("<u2"), names
-    # each filler stands for 65,535 bytes and is told by the name of all ones in front of it
-    total = len(gap) + int(extra.sum())
-    g, m = np.full(total, 65535, dtype="<u2"), np.full((total, width), 255, dtype=np.uint8)
-    at = np.cumsum(extra + 1) - 1
-    g[at], m[at] = (gap % 65535).astype("<u2"), names
-    return g, m
+def gap_bytes(shards: int, spacing: int) -> int:
+    """Bytes of a gap between neighbouring places of a shard, when every ``spacing``-th byte is a place."""
+    return 1 if shards * spacing <= 80 else 2 if shards * spacing <= 20_000 else 4
 
 
-def _pack(offsets: np.ndarray, names: np.ndarray) -> bytes:
-    """``names`` is a table of bytes, a row for each offset; a row of all ones is a filler and so never sent as a name."""
-    g, m = _narrow(offsets, names, names.shape[1])
-    return np.array([len(g)], dtype="<u4").tobytes() + g.tobytes() + np.ascontiguousarray(m).tobytes()
+def _pack(offsets: np.ndarray, names: np.ndarray, gap: int) -> bytes:
+    """Gaps between ascending offsets in ``gap`` bytes, then the names, a row of bytes each.
+
+    A large gap is led by fillers that stand for the largest number; a place's own gap is always below it.
+    """
+    most = 256**gap - 1
+    g = np.diff(offsets, prepend=0)
+    extra = g // most
+    if extra.any():
+        total = len(g) + int(extra.sum())
+        at = np.cumsum(extra + 1) - 1
+        wide, rows = np.full(total, most, dtype=np.int64), np.zeros((total, names.shape[1]), dtype=np.uint8)
+        wide[at], rows[at] = g % most, names
+        g, names = wide, rows
+    return np.array([len(g), gap], dtype="<u4").tobytes() + g.astype(f"<u{gap}").tobytes() + np.ascontiguousarray(names).tobytes()
 
 
 def _unpack(blob: bytes, width: int) -> tuple[np.ndarray, np.ndarray]:
-    n = int(np.frombuffer(blob, dtype="<u4", count=1)[0])
-    g = np.frombuffer(blob, dtype="<u2", count=n, offset=4).astype(np.int64)
-    m = np.frombuffer(blob, dtype=np.uint8, count=n * width, offset=4 + 2 * n).reshape(n, width)
+    n, gap = (int(x) for x in np.frombuffer(blob, dtype="<u4", count=2))
+    g = np.frombuffer(blob, dtype=f"<u{gap}", count=n, offset=8).astype(np.int64)
+    m = np.frombuffer(blob, dtype=np.uint8, count=n * width, offset=8 + gap * n).reshape(n, width)
     off = np.cumsum(g)
-    real = ~((g == 65535) & (m == 255).all(axis=1))
+    real = g != 256**gap - 1
     return off[real], m[real]
 
 
+def to_runs(places: np.ndarray) -> bytes:
+    """Ascending places as 32-bit pairs of where a run of neighbours starts and how long it is."""
+    if not len(places):
+        return b""
+    edge = np.flatnonzero(np.r_[True, places[1:] != places[:-1] + 1])
+    out = np.empty((len(edge), 2), dtype="<u4")
+    out[:, 0], out[:, 1] = places[edge], np.diff(np.r_[edge, len(places)])
+    return out.tobytes()
+
+
+def from_runs(runs: bytes) -> np.ndarray:
+    r = np.frombuffer(runs, dtype="<u4").astype(np.int64).reshape(-1, 2)
+    n = r[:, 1]
+    return np.repeat(r[:, 0] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+
+
 _OUT = pa.schema([("shard", pa.int32()), ("uid", pa.int64()), ("kind", pa.int8()), ("blob", pa.binary())])
 INFO, PLACES = 0, 1
+#: Bytes of a name that travel in the first and the second step; the shard's number tells as many bits more.
+NAME_BYTES = (6, 7)
 
 
 def _row(shard: list, uid: list, kind: list, blob: list) -> pa.RecordBatch:
@@ -164,7 +185,7 @@ def emit(shards: int, verify: bool):
             start = np.cumsum(length) - length
             raw = np.frombuffer(b"".join(x for x, _ in got), dtype=np.uint8)
             if verify:
-                where = [merged(n, np.frombuffer(p, dtype="<u4").astype(np.int64)) for n, (_, p) in zip(length.tolist(), got)]
+                where = [merged(n, from_runs(p)) for n, (_, p) in zip(length.tolist(), got)]
             else:
                 where = [sampled(n, TUPLE) for n in length.tolist()]
             pos = np.concatenate([w + s for w, s in zip(where, start.tolist())])
@@ -183,20 +204,16 @@ def emit(shards: int, verify: bool):
             local = np.sort(pos[by[twice]])
             uid = int.from_bytes(hashlib.blake2b(np.array([[i or 0, h] for i, h in zip(ids, hs)], dtype="<i8").tobytes(), digest_size=8).digest(), "little", signed=True)
             info = [len(ids)], [i if i is not None else 0 for i in ids], [int(i is None) for i in ids], hs, start.tolist(), length.tolist()
-            info = b"".join(np.array(x, dtype="<i8").tobytes() for x in info) + local.astype("<u4").tobytes()
+            info = b"".join(np.array(x, dtype="<i8").tobytes() for x in info) + to_runs(local)
             out = [[uid % shards], [uid], [INFO], [info]]
             one = by[first]
             one = one[np.lexsort((pos[one], shard[one]))]
-            size = 9 if verify else 6
-            table = np.empty((len(one), size), dtype=np.uint8)
-            table[:, : min(8, size)] = name[one].astype("<u8").view(np.uint8).reshape(-1, 8)[:, : min(8, size)]
-            if verify:
-                table[:, 8] = (check[one] & np.uint64(0xFF)).astype(np.uint8)
-            table[(table == 255).all(axis=1), 0] = 254
+            size, gap = NAME_BYTES[verify], gap_bytes(shards, 1 if verify else V // len(COVER))
+            table = np.ascontiguousarray(name[one].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size])
             s, p = shard[one], pos[one]
             edge = np.flatnonzero(np.r_[True, s[1:] != s[:-1], True])
             for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
-                for x, v in zip(out, (int(s[a]), uid, PLACES, _pack(p[a:b], table[a:b]))):
+                for x, v in zip(out, (int(s[a]), uid, PLACES, _pack(p[a:b], table[a:b], gap))):
                     x.append(v)
             yield _row(*out)
 
@@ -220,19 +237,16 @@ def meet(size: int):
         if offs:
             o, m, w = np.concatenate(offs), np.concatenate(names), np.concatenate(whose)
             wide = np.zeros((len(m), 8), dtype=np.uint8)
-            wide[:, : min(8, size)] = m[:, :8]
+            wide[:, :size] = m
             key = wide.view("<u8").ravel()
-            if size > 8:
-                rest = m[:, 8]
-                by = np.lexsort((rest, key))
-                same = (key[by][1:] == key[by][:-1]) & (rest[by][1:] == rest[by][:-1])
-            else:
-                by = np.argsort(key)
-                same = key[by][1:] == key[by][:-1]
+            by = np.argsort(key)
+            same = key[by][1:] == key[by][:-1]
             hit = by[np.r_[same, False] | np.r_[False, same]]
             hit = hit[np.lexsort((o[hit], w[hit]))]
-            for i in np.unique(w[hit]).tolist():
-                out_uid.append(uid[i]), out_kind.append(PLACES), out_blob.append(o[hit[w[hit] == i]].astype("<u4").tobytes())
+            o, w = o[hit], w[hit]
+            edge = np.flatnonzero(np.r_[True, w[1:] != w[:-1]]) if len(w) else w
+            for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(w)]):
+                out_uid.append(uid[w[a]]), out_kind.append(PLACES), out_blob.append(_pack(o[a:b], np.zeros((b - a, 0), dtype=np.uint8), 2))
         return pa.table({"uid": pa.array(out_uid, pa.int64()), "kind": pa.array(out_kind, pa.int8()), "blob": pa.array(out_blob, pa.binary())})
 
     return run
@@ -245,36 +259,36 @@ def resolve(table: pa.Table) -> pa.Table:
         if k == INFO:
             info = info or b
         else:
-            parts.append(np.frombuffer(b, dtype="<u4"))
+            parts.append(_unpack(b, 0)[0])
     n = int(np.frombuffer(info, dtype="<i8", count=1)[0])
     ids, null, hs, start, length = np.frombuffer(info, dtype="<i8", count=5 * n, offset=8).reshape(5, n)
-    parts.append(np.frombuffer(info, dtype="<u4", offset=8 + 40 * n))
+    parts.append(from_runs(info[8 + 40 * n :]))
     place = np.unique(np.concatenate(parts)).astype(np.int64)
     doc = np.searchsorted(start + length, place, side="right")
     edge = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if len(doc) else np.zeros(0, dtype=np.int64)
     end = np.r_[edge[1:], len(doc)]
     who = doc[edge] if len(doc) else edge
-    blobs = [(place[a:b] - start[d]).astype("<u4").tobytes() for a, b, d in zip(edge.tolist(), end.tolist(), who.tolist())]
+    blobs = [to_runs(place[a:b] - start[d]) for a, b, d in zip(edge.tolist(), end.tolist(), who.tolist())]
     return pa.table({"p_id": pa.array([None if null[d] else int(ids[d]) for d in who], pa.int64()), "p_h1": pa.array(hs[who], pa.int64()), "places": pa.array(blobs, pa.binary())})
 
 
 def repeated_places(texts: DataFrame, shards: int, verify: bool) -> DataFrame:
-    """``p_id, p_h1, places`` of ``texts(doc_id, h1, raw[, places])``; ``places`` are packed 32-bit numbers."""
+    """``p_id, p_h1, places`` of ``texts(doc_id, h1, raw[, places])``; ``places`` are runs."""
     packed = texts.mapInArrow(emit(shards, verify), "shard int, uid long, kind byte, blob binary")
-    met = packed.groupBy("shard").applyInArrow(meet(9 if verify else 6), "uid long, kind byte, blob binary")
+    met = packed.groupBy("shard").applyInArrow(meet(NAME_BYTES[verify]), "uid long, kind byte, blob binary")
     found = met.groupBy("uid").applyInArrow(resolve, "p_id long, p_h1 long, places binary")
     # rows alike in id and text may lie in several batches
     return found
 
 
 def _union_places(table: pa.Table) -> pa.Table:
-    p = np.unique(np.concatenate([np.frombuffer(b, dtype="<u4") for b in table.column("places").to_pylist()]))
-    return pa.table({"p_id": table.column("p_id").slice(0, 1), "p_h1": table.column("p_h1").slice(0, 1), "places": pa.array([p.tobytes()], pa.binary())})
+    p = np.unique(np.concatenate([from_runs(b) for b in table.column("places").to_pylist()]))
+    return pa.table({"p_id": table.column("p_id").slice(0, 1), "p_h1": table.column("p_h1").slice(0, 1), "places": pa.array([to_runs(p)], pa.binary())})
 
 
 def _cut(raw: bytes, places: bytes) -> tuple[int, int, str]:
     """Removed bytes, removed runs and the digest of the rest."""
-    p = np.frombuffer(places, dtype="<u4").astype(np.int64)
+    p = from_runs(places)
     new = np.r_[True, p[1:] > p[:-1] + LENGTH]
     a, b = p[new], p[np.r_[new[1:], True]] + LENGTH
     h = hashlib.sha256()
@@ -298,6 +312,7 @@ def _cut_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` of every text."""
+    ship(docs.sparkSession)
     raw = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), raw.alias("raw"), F.xxhash64(raw).alias("h1"), F.xxhash64(F.lit(1), raw).alias("h2"))
     slim = stage(d.select("doc_id", "h1", "h2", F.octet_length("raw").cast("long").alias("n_bytes"), F.sha2("raw", 256).alias("sha")), "texts")
