@@ -17,6 +17,7 @@ columns are not read by :func:`fingerprints` and pass through :func:`keep_one`.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -61,17 +62,20 @@ def majority(h: np.ndarray) -> int:
     return int(np.packbits((2 * votes > len(h)).astype(np.uint8), bitorder="little").view("<u8")[0])
 
 
-def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        fp = np.fromiter((fingerprint(t.as_py()) for t in b.column("text")), dtype=np.uint64, count=b.num_rows)
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+def _fingerprint_batches(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fp = np.fromiter((fingerprint(t.as_py(), shingle) for t in b.column("text")), dtype=np.uint64, count=b.num_rows)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+
+    return run
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """``doc_id, fp`` with ``fp`` the fingerprint's bits as a signed long."""
     ship(docs.sparkSession)
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return d.mapInArrow(_fingerprint_batches, "doc_id long, fp long")
+    return d.mapInArrow(_fingerprint_batches(shingle), "doc_id long, fp long")
 
 
 # --- shards ---------------------------------------------------------------------------------------------
@@ -112,6 +116,10 @@ def ball_flips(lanes: int, half: int = HALF) -> dict[int, np.ndarray]:
     return {k: np.array(v, dtype=np.uint64) for k, v in by.items()}
 
 
+def ball_size(half: int = HALF) -> int:
+    return sum(math.comb(64, k) for k in range(half + 1))
+
+
 def lanes_for(n: int, points: int = 2081) -> int:
     """As many lanes (8, 16 or 32) as keep a shard's points near ``SHARD_POINTS``."""
     for lanes in (8, 16):
@@ -138,7 +146,7 @@ def _forest(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarra
     return child, label[child]
 
 
-def _links_of_shard(shard: int, fp: np.ndarray, rep: np.ndarray, flips: dict[int, np.ndarray], lanes: int) -> tuple[np.ndarray, np.ndarray]:
+def _links_of_shard(shard: int, fp: np.ndarray, rep: np.ndarray, flips: dict[int, np.ndarray], lanes: int, half: int = HALF) -> tuple[np.ndarray, np.ndarray]:
     """Links between the representatives whose balls meet in points of this shard.
 
     The points are made in slices by their top bits when there are too many to sort at once.
@@ -172,7 +180,7 @@ def _links_of_shard(shard: int, fp: np.ndarray, rep: np.ndarray, flips: dict[int
         if len(a):
             pairs = np.unique(np.maximum(a, b).astype(np.int64) * len(fp) + np.minimum(a, b))
             a, b = pairs // len(fp), pairs % len(fp)
-            near = np.bitwise_count(fp[a] ^ fp[b]) <= 2 * HALF
+            near = np.bitwise_count(fp[a] ^ fp[b]) <= 2 * half
             found_a.append(a[near])
             found_b.append(b[near])
     if not found_a:
@@ -181,8 +189,8 @@ def _links_of_shard(shard: int, fp: np.ndarray, rep: np.ndarray, flips: dict[int
     return rep[child], rep[parent]
 
 
-def _spread(lanes: int):
-    moves = np.array(sorted(ball_flips(lanes)), dtype=np.int64)
+def _spread(lanes: int, half: int):
+    moves = np.array(sorted(ball_flips(lanes, half)), dtype=np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -195,35 +203,35 @@ def _spread(lanes: int):
     return run
 
 
-def _meet(lanes: int):
+def _meet(lanes: int, half: int):
     def run(table: pa.Table) -> pa.Table:
-        flips = ball_flips(lanes)
+        flips = ball_flips(lanes, half)
         fp = table.column("fp").to_numpy().view(np.uint64)
-        a, b = _links_of_shard(table.column("shard")[0].as_py(), fp, table.column("rep").to_numpy(), flips, lanes)
+        a, b = _links_of_shard(table.column("shard")[0].as_py(), fp, table.column("rep").to_numpy(), flips, lanes, half)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
 
 
-def links(distinct: DataFrame, lanes: int | None = None) -> DataFrame:
-    """Links ``a, b`` that connect exactly the components of ``distinct(fp, rep)`` under "at most 4 bits apart"."""
-    n = lanes or lanes_for(distinct.count())
-    spread = distinct.mapInArrow(_spread(n), "shard long, fp long, rep long")
-    return spread.groupBy("shard").applyInArrow(_meet(n), "a long, b long")
+def links(distinct: DataFrame, lanes: int | None = None, half: int = HALF) -> DataFrame:
+    """Links ``a, b`` that connect exactly the components of ``distinct(fp, rep)`` under "at most ``2 * half`` bits apart"."""
+    n = lanes or lanes_for(distinct.count(), ball_size(half))
+    spread = distinct.mapInArrow(_spread(n, half), "shard long, fp long, rep long")
+    return spread.groupBy("shard").applyInArrow(_meet(n, half), "a long, b long")
 
 
-def classes(fps: DataFrame) -> DataFrame:
+def classes(fps: DataFrame, half: int = HALF) -> DataFrame:
     """Every row of ``fps(doc_id, fp)`` with ``component_id``, the smallest id its fingerprint is linked with."""
     distinct = stage(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "fps")
-    found = components(links(distinct.where("rep is not null")))
+    found = components(links(distinct.where("rep is not null"), half=half))
     label = distinct.join(found, distinct["rep"] == found["node"], "left").select(F.col("fp").alias("l_fp"), F.coalesce("root", "rep").alias("component_id"))
     return fps.join(label, fps["fp"] == label["l_fp"], "left").drop("l_fp")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, shingle: int = SHINGLE, half: int = HALF) -> DataFrame:
     """``docs`` with one row of each class of near-duplicates: the one with the smallest id (then text)."""
-    fps = stage(fingerprints(docs), "fp")
-    first = classes(fps).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("k_id")).distinct()
+    fps = stage(fingerprints(docs, shingle), "fp")
+    first = classes(fps, half).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("k_id")).distinct()
     kept = docs.join(first, docs["doc_id"].eqNullSafe(first["k_id"]), "left_semi")
     one = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last(), *[F.col(c) for c in docs.columns if c not in ("doc_id", "text")])
     return kept.withColumn("_n", F.row_number().over(one)).where("_n = 1").drop("_n")
