@@ -8,8 +8,9 @@ first place, the one with the smallest document id and position, so that nothing
 Sketches are only made for lines that occur at least ``MIN_SITES`` times, as no other can reach as many sites.
 Everything is DataFrame code; what is gathered per line is a sketch, per document the positions of its own lines.
 
-Blank lines are never removed. A null text stays null and has no lines; a null source is no site. Rows that
-share an id are treated as one document: a position removed in one goes in all. Empty input gives empty output.
+Blank lines are never removed. A null text stays null and has no lines; a null source is no site. A document is
+known by its id and the hash of its text, so rows without an id, or that share one, lose only their own lines; rows
+alike in both are treated as one document. Rows without an id come last. Empty input gives empty output.
 Extra columns pass through :func:`remove_boilerplate` and are not read otherwise.
 """
 
@@ -30,10 +31,10 @@ def lines_of(text: Column) -> Column:
 
 
 def line_hashes(docs: DataFrame) -> DataFrame:
-    """``doc_id, site, pos, h1, h2`` of every line that isn't blank."""
-    d = docs.select(F.col("doc_id").alias("doc_id"), F.col("source").cast("string").alias("site"), F.posexplode(lines_of(F.col("text"))).alias("pos", "line"))
+    """``doc_id, text_hash, site, pos, h1, h2`` of every line that isn't blank."""
+    d = docs.select(F.col("doc_id").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("source").cast("string").alias("site"), F.posexplode(lines_of(F.col("text"))).alias("pos", "line"))
     t = F.trim(F.col("line"), F.lit(" \t\r"))
-    return d.where(F.length(t) > 0).select("doc_id", "site", "pos", F.xxhash64(t).alias("h1"), F.xxhash64(F.lit(1), t).alias("h2"))
+    return d.where(F.length(t) > 0).select("doc_id", "text_hash", "site", "pos", F.xxhash64(t).alias("h1"), F.xxhash64(F.lit(1), t).alias("h2"))
 
 
 def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES, band: float = BAND) -> DataFrame:
@@ -51,14 +52,20 @@ def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES, band: float = BAND
 
 
 def removals(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
-    """``r_id, gone``: of each document that loses lines, their positions."""
+    """``r_id, r_hash, gone``: of each document that loses lines, their positions."""
     lines = stage(line_hashes(docs), "lines")
     found = stage(boilerplate(lines, min_sites), "boilerplate")
     hits = lines.join(found, ["h1", "h2"])
-    first = hits.where(F.col("doc_id").eqNullSafe(F.col("first_doc"))).groupBy("h1", "h2").agg(F.min("pos").alias("first_pos"))
+    # by id, then position; the hash decides between rows that share both
+    place = F.struct("pos", "text_hash")
+    first = hits.where(F.col("doc_id").eqNullSafe(F.col("first_doc"))).groupBy("h1", "h2").agg(F.min(place).alias("first_place"))
     hits = hits.join(first, ["h1", "h2"], "left")
-    stays = F.col("doc_id").eqNullSafe(F.col("first_doc")) & F.col("pos").eqNullSafe(F.col("first_pos"))
-    return hits.where(~stays).groupBy(F.col("doc_id").alias("r_id")).agg(F.collect_set("pos").alias("gone"))
+    stays = F.col("doc_id").eqNullSafe(F.col("first_doc")) & place.eqNullSafe(F.col("first_place"))
+    return hits.where(~stays).groupBy(F.col("doc_id").alias("r_id"), F.col("text_hash").alias("r_hash")).agg(F.collect_set("pos").alias("gone"))
+
+
+def _with_gone(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["r_id"]) & (F.xxhash64(docs["text"]) == gone["r_hash"]), "left")
 
 
 def _without(text: Column, gone: Column) -> Column:
@@ -72,7 +79,7 @@ def _without(text: Column, gone: Column) -> Column:
 def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """``docs`` with boilerplate lines removed from ``text`` and ``n_chars`` counted anew where it exists."""
     gone = removals(docs, min_sites)
-    out = docs.join(gone, docs["doc_id"].eqNullSafe(gone["r_id"]), "left")
+    out = _with_gone(docs, gone)
     text = _without(F.col("text"), F.col("gone"))
     cols = [text.alias(c) if c == "text" else F.char_length(text).cast("long").alias(c) if c == "n_chars" else docs[c] for c in docs.columns]
     return out.select(*cols)
@@ -82,6 +89,6 @@ def report(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """``doc_id, n_lines, n_removed, kept_sha256`` of every document; a null text counts as empty."""
     d = docs.select("doc_id", "source", F.coalesce(F.col("text"), F.lit("")).alias("text"))
     gone = removals(d, min_sites)
-    out = d.join(gone, d["doc_id"].eqNullSafe(gone["r_id"]), "left")
+    out = _with_gone(d, gone)
     n = (F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"), F.lit(""))) + 1).cast("long")
     return out.select("doc_id", n.alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"), F.sha2(_without(F.col("text"), F.col("gone")), 256).alias("kept_sha256"))

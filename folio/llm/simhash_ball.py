@@ -11,8 +11,9 @@ keeps the links of a spanning forest. With more fingerprints the lanes get narro
 shard's work stays bounded; near-copies differ in some bit and so spread over the shards as well.
 
 Nulls: a null text counts as empty and has fingerprint zero. A null id takes no part in the choice of a
-component's id unless all its ids are null. Repeated rows are kept. Empty input gives empty output. Extra
-columns are not read by :func:`fingerprints` and pass through :func:`keep_one`.
+component's id unless all its ids are null. Fingerprints, not ids, are linked, so rows without an id or with a
+shared one are never joined by it. Repeated rows are kept by :func:`classes`. Empty input gives empty output.
+Extra columns are not read by :func:`fingerprints` and pass through :func:`keep_one`.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..workers import ship
@@ -66,16 +67,18 @@ def _fingerprint_batches(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = np.fromiter((fingerprint(t.as_py(), shingle) for t in b.column("text")), dtype=np.uint64, count=b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+            cols = {n: b.column(n) for n in b.schema.names if n != "text"}
+            yield pa.RecordBatch.from_pydict(cols | {"fp": pa.array(fp.view(np.int64))})
 
     return run
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """``doc_id, fp`` with ``fp`` the fingerprint's bits as a signed long."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, extra: list[Column] = ()) -> DataFrame:
+    """``doc_id, *extra, fp`` with ``fp`` the fingerprint's bits as a signed long; ``extra`` are longs it carries along."""
     ship(docs.sparkSession)
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return d.mapInArrow(_fingerprint_batches(shingle), "doc_id long, fp long")
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *extra, F.col("text").cast("string").alias("text"))
+    schema = ", ".join(f"{c} long" for c in d.columns if c != "text")
+    return d.mapInArrow(_fingerprint_batches(shingle), f"{schema}, fp long")
 
 
 # --- shards ---------------------------------------------------------------------------------------------
@@ -220,18 +223,34 @@ def links(distinct: DataFrame, lanes: int | None = None, half: int = HALF) -> Da
     return spread.groupBy("shard").applyInArrow(_meet(n, half), "a long, b long")
 
 
+def _rooted(fps: DataFrame, half: int) -> DataFrame:
+    """``l_fp, root`` of every distinct fingerprint. Fingerprints are the nodes, so rows that share an id stay apart."""
+    distinct = stage(fps.select("fp", F.col("fp").alias("rep")).distinct(), "fps")
+    found = components(links(distinct, half=half))
+    return distinct.join(found, distinct["fp"] == found["node"], "left").select(F.col("fp").alias("l_fp"), F.coalesce("root", "rep").alias("root"))
+
+
 def classes(fps: DataFrame, half: int = HALF) -> DataFrame:
     """Every row of ``fps(doc_id, fp)`` with ``component_id``, the smallest id its fingerprint is linked with."""
-    distinct = stage(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "fps")
-    found = components(links(distinct.where("rep is not null"), half=half))
-    label = distinct.join(found, distinct["rep"] == found["node"], "left").select(F.col("fp").alias("l_fp"), F.coalesce("root", "rep").alias("component_id"))
+    low = fps.groupBy("fp").agg(F.min("doc_id").alias("low"))
+    rooted = stage(low.join(_rooted(fps, half), F.col("fp") == F.col("l_fp")).select("l_fp", "root", "low"), "rooted")
+    least = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
+    label = rooted.join(least, "root").select("l_fp", "component_id")
     return fps.join(label, fps["fp"] == label["l_fp"], "left").drop("l_fp")
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, half: int = HALF) -> DataFrame:
-    """``docs`` with one row of each class of near-duplicates: the one with the smallest id (then text)."""
-    fps = stage(fingerprints(docs, shingle), "fp")
-    first = classes(fps, half).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("k_id")).distinct()
-    kept = docs.join(first, docs["doc_id"].eqNullSafe(first["k_id"]), "left_semi")
-    one = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last(), *[F.col(c) for c in docs.columns if c not in ("doc_id", "text")])
-    return kept.withColumn("_n", F.row_number().over(one)).where("_n = 1").drop("_n")
+    """``docs`` with one row of each class of near-duplicates: the one with the smallest id (then text hash).
+
+    A row is known by its id and text, so rows without an id, or that share one, are judged by their texts alone.
+    """
+    of_text = [F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), F.col("text")).alias("h2")]
+    fps = stage(fingerprints(docs, shingle, of_text), "fp")
+    order = [F.col("doc_id").asc_nulls_last(), "h1", "h2"]
+    first = lambda df, key: df.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("_n = 1").drop("_n")
+    best = first(fps, "fp")
+    best = first(best.join(_rooted(fps, half), F.col("fp") == F.col("l_fp")), "root").select(F.col("doc_id").alias("k_id"), F.col("h1").alias("k_h1"), F.col("h2").alias("k_h2"))
+    of_row = docs.select("*", of_text[0].alias("_h1"), of_text[1].alias("_h2"))
+    kept = of_row.join(best, of_row["doc_id"].eqNullSafe(best["k_id"]) & (of_row["_h1"] == best["k_h1"]) & (of_row["_h2"] == best["k_h2"]), "left_semi")
+    one = Window.partitionBy("doc_id", "_h1", "_h2").orderBy("_h1", *[F.col(c) for c in docs.columns if c not in ("doc_id", "text")])
+    return kept.withColumn("_n", F.row_number().over(one)).where("_n = 1").select(*docs.columns)

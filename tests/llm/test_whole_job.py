@@ -2,7 +2,7 @@
 
 import xxhash
 
-from folio.llm import simhash_ball
+from folio.llm import line_dedup, simhash_ball
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -38,3 +38,35 @@ def test_shingle_and_radius_are_parameters(spark):
         kept[half] = {x.doc_id for x in simhash_ball.keep_one(d, 5, half).collect()}
         assert kept[half] == set(root.values())
     assert kept[1] != kept[3]
+
+
+def far_apart(k):
+    return " ".join(f"w{k}x{j}" for j in range(40))
+
+
+def test_rows_without_an_id_or_with_a_shared_one_stay(spark):
+    rows = [(None, far_apart(k), "en", "s") for k in range(6)] + [(7, far_apart(k), "en", "s") for k in range(10, 13)]
+    rows += [(None, far_apart(0), "fr", "s"), (8, far_apart(1), "en", "s"), (9, far_apart(20), "en", "s"), (9, far_apart(20), "en", "s")]
+    d = table(spark, rows)
+    kept = simhash_ball.keep_one(d)
+    assert kept.columns == d.columns
+    got = sorted((r.doc_id or 0, r.text) for r in kept.collect())
+    want = [(0, far_apart(k)) for k in (0, 2, 3, 4, 5)] + [(7, far_apart(k)) for k in (10, 11, 12)] + [(8, far_apart(1)), (9, far_apart(20))]
+    assert got == sorted(want)
+    ids = {(r.doc_id, r.component_id) for r in simhash_ball.classes(simhash_ball.fingerprints(d)).collect()}
+    assert ids == {(None, None), (None, 8), (7, 7), (8, 8), (9, 9)}
+
+
+# --- op4 and the line dedup stage
+
+
+def test_lines_go_only_where_they_are_boilerplate(spark):
+    common = [(k, f"shared line\nown {k}", "en", f"s{k}") for k in range(12)]
+    rows = common + [(None, f"first {k}\nsecond {k}", "en", "s") for k in range(5)] + [(None, "shared line\nmine", "en", "s"), (3, "clean\nlines", "en", "s")]
+    got = sorted(r.text for r in line_dedup.remove_boilerplate(table(spark, rows)).collect())
+    want = ["shared line\nown 0", *[f"own {k}" for k in range(1, 12)], *[f"first {k}\nsecond {k}" for k in range(5)], "mine", "clean\nlines"]
+    assert got == sorted(want)
+    none = table(spark, [(None, t, lang, s) for _, t, lang, s in common])
+    texts = [r.text for r in line_dedup.remove_boilerplate(none).collect()]
+    assert sum(t.startswith("shared line\n") for t in texts) == 1 and len(texts) == 12
+    assert sorted(r.n_removed for r in line_dedup.report(none).collect()) == [0] + [1] * 11
