@@ -3,7 +3,7 @@
 1. Toxicity: documents that score 0.5 or more go. The grammar is learned from the labelled rows.
 2. Line dedup: lines spread over ten or more sources go, but for their first place.
 3. SimHash near-dedup: of each group of linked fingerprints the document with the smallest id stays.
-4. Mixing: what the schedule takes of each document, a row for each time it is taken.
+4. Mixing: of each source as many words as its target, a row for each time a document is taken.
 5. SentencePiece: the ids of each text, their digest and that of the decoded text.
 
 Five stages cannot be said in one SQL statement (learned scores, XXH64 fingerprints, byte-pair merges), so there is
@@ -32,7 +32,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mixed_documents(docs)
+    return mixing.mixed_documents(docs, exact=True)
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,7 +7,10 @@ blocks of equally many words. A schedule of slots walks the golden-ratio sequenc
 prefix of the schedule is close to the wanted proportions.
 
 Everything is DataFrame code. A schedule has at most ``2**20`` slots whatever the corpus, so its block size
-grows with the corpus; the per-source table is as long as there are sources.
+grows with the corpus, and a source of few blocks can get far less than its target or nothing; the query's SQL
+says the same. ``exact`` leaves blocks aside: as slots take a source's blocks in the order of its stream, a source
+gets just the first ``floor(target)`` words of its stream, gone through up to ``cap`` times. The per-source
+table is as long as there are sources.
 
 Nulls: a null text has size 0; a null source is a source of its own, last in order. Repeated rows each hold
 their own place in the stream. Empty input gives empty output. Extra columns are not read.
@@ -98,17 +101,32 @@ def place(sized: DataFrame, plan: DataFrame) -> DataFrame:
     return d.withColumn("start", F.col("base") + F.sum("size").over(inside) - F.col("size")).withColumn("ordinal", F.col("base_n") + F.row_number().over(inside.rowsBetween(Window.unboundedPreceding, 0)))
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, cap: int = CAP) -> DataFrame:
+def _copies(cap: int) -> Column:
+    """The list of parts taken, from the columns ``from_0, to_0, ...``; a null ``to`` stands for no part."""
+    return F.filter(F.array(*[F.struct(F.lit(e).alias("epoch"), F.col(f"from_{e}").alias("from"), F.col(f"to_{e}").alias("to")) for e in range(cap)]), lambda x: x["to"].isNotNull())
+
+
+def _to_target(placed: DataFrame, cap: int) -> DataFrame:
+    """``from_e, to_e`` of each epoch and ``taken`` such that every source gets ``floor(target)`` words."""
+    reach = lambda e: F.least(F.col("size"), F.floor("target").cast("long") - e * F.col("source_size") - F.col("start"))
+    for e in range(cap):
+        placed = placed.withColumn(f"from_{e}", F.lit(0).cast("long")).withColumn(f"to_{e}", F.when(reach(e) > 0, reach(e)))
+    return placed.withColumn("taken", sum((F.coalesce(F.col(f"to_{e}"), F.lit(0)) for e in range(cap)), F.lit(0)).cast("long"))
+
+
+def mix(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, exact: bool = False) -> DataFrame:
     """What the mix takes of each document: ``doc_id, source, size, source_size, target, start, ordinal, taken, copies``.
 
     ``taken`` counts words with repeats. ``copies`` lists the parts taken: for each epoch the words
-    ``[from, to)`` of the document.
+    ``[from, to)`` of the document. With ``exact`` every source gets ``floor(target)`` words.
     """
     keep = [c for c in docs.columns if c in ("doc_id", "source", "row_key")]
     sized = stage(docs.select(*keep, word_count(F.col("text")).alias("size")), "sizes")
     plan = stage(plan_sources(sized, weights, cap), "sources")
-    times = schedule(plan, cap).groupBy("src", "block_no").agg(F.count("*").alias("times"))
     placed = place(sized, plan)
+    if exact:
+        return _to_target(placed, cap).select(*keep, "size", "source_size", "target", "start", "ordinal", "taken", _copies(cap).alias("copies"))
+    times = schedule(plan, cap).groupBy("src", "block_no").agg(F.count("*").alias("times"))
     last = F.greatest(F.col("start"), F.col("start") + F.col("size") - 1)
     pieces = placed.select(*keep, "src", "size", "source_size", "target", "start", "ordinal", "block", F.explode(F.sequence(F.floor(F.col("start") / F.col("block")), F.floor(last / F.col("block")))).alias("block_no"))
     got = pieces.join(times, ["src", "block_no"], "left")
@@ -118,18 +136,17 @@ def mix(docs: DataFrame, weights=WEIGHTS, cap: int = CAP) -> DataFrame:
     reach = [F.max(F.when(F.col("times") > e, to - F.col("start"))).alias(f"to_{e}") for e in range(cap)]
     back = [F.min(F.when(F.col("times") > e, frm - F.col("start"))).alias(f"from_{e}") for e in range(cap)]
     out = got.groupBy("src", "ordinal", *keep, "size", "source_size", "target", "start").agg(F.sum(F.col("n") * F.col("times")).cast("long").alias("taken"), *reach, *back)
-    copies = F.filter(F.array(*[F.struct(F.lit(e).alias("epoch"), F.col(f"from_{e}").alias("from"), F.col(f"to_{e}").alias("to")) for e in range(cap)]), lambda x: x["to"].isNotNull())
-    return out.select(*keep, "size", "source_size", "target", "start", "ordinal", "taken", copies.alias("copies"))
+    return out.select(*keep, "size", "source_size", "target", "start", "ordinal", "taken", _copies(cap).alias("copies"))
 
 
-def mixed_documents(docs: DataFrame, weights=WEIGHTS, cap: int = CAP) -> DataFrame:
+def mixed_documents(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, exact: bool = False) -> DataFrame:
     """The mix itself: every taken part as a row of ``doc_id, text, lang, source, n_chars``.
 
     A document that an epoch takes whole keeps its text as it is; at most one document per source and epoch
     is cut, at a block's edge. Documents without a word are not part of any mix and are left out.
     """
     keyed = docs.withColumn("row_key", F.xxhash64(F.col("doc_id"), F.col("text"), F.col("lang"), F.col("source")))
-    taken = mix(keyed.select("doc_id", "source", "row_key", "text"), weights, cap).select("row_key", "doc_id", "size", F.explode("copies").alias("c"))
+    taken = mix(keyed.select("doc_id", "source", "row_key", "text"), weights, cap, exact).select("row_key", "doc_id", "size", F.explode("copies").alias("c"))
     one = Window.partitionBy("row_key", "doc_id").orderBy("c")
     taken = taken.select("row_key", "size", F.col("doc_id").alias("k_id"), "c", F.row_number().over(one).alias("_n"))
     first = Window.partitionBy("row_key", "doc_id").orderBy(F.lit(1))

@@ -1,8 +1,12 @@
 """Cases in which an operator or stage once did less than the whole job."""
 
+from collections import Counter
+
+import pytest
 import xxhash
 
-from folio.llm import line_dedup, simhash_ball
+import corpus_pipeline
+from folio.llm import line_dedup, mixing, simhash_ball
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -70,3 +74,26 @@ def test_lines_go_only_where_they_are_boilerplate(spark):
     texts = [r.text for r in line_dedup.remove_boilerplate(none).collect()]
     assert sum(t.startswith("shared line\n") for t in texts) == 1 and len(texts) == 12
     assert sorted(r.n_removed for r in line_dedup.report(none).collect()) == [0] + [1] * 11
+
+
+# --- op2 and the mixing stage
+
+
+@pytest.mark.parametrize("slots", [1 << 20, 64])
+def test_every_source_gets_its_target(spark, monkeypatch, slots):
+    monkeypatch.setattr(mixing, "SLOTS", slots)
+    rows = [(k, " ".join(f"w{j}" for j in range(400)), "en", "big") for k in range(30)]
+    rows += [(1000 + 3 * k + i, " ".join(f"v{j}" for j in range(1 + (k + i) % 9)), "en", f"small{k}") for k in range(60) for i in range(3)]
+    d = table(spark, rows)
+    sizes = spark.createDataFrame([(s, len(t.split())) for _, t, _, s in rows], "source string, size long")
+    want = {r.source: int(r.target) for r in mixing.plan_sources(sizes).collect()}
+    got, per = Counter(), Counter()
+    for r in corpus_pipeline.mix_sources(spark, d, "").collect():
+        got[r.source] += len(r.text.split())
+        per[r.doc_id] += 1
+    assert got == want and len(got) == 61 and max(per.values()) <= 3
+    taken = Counter()
+    for r in mixing.mix(d, exact=True).collect():
+        assert r.taken == sum(c["to"] - c["from"] for c in r.copies) <= 3 * r["size"]
+        taken[r.source] += r.taken
+    assert taken == want
