@@ -6,7 +6,9 @@ the present centre, the ``H`` share of rows with the least distance, their mean
 squared Mahalanobis distance exceeds ``CUTOFF`` is rejected.
 
 Statistics that hardly vary would make a covariance singular, so each variance gets a floor (``FLOORS``). Groups of
-fewer than ``LEAST_ROWS`` rows use the estimate of their language, and languages of fewer that of all rows. The share
+fewer than ``LEAST_ROWS`` rows share one estimate among those of their language, and languages of fewer than that
+one among themselves, as the query's SQL has it: rows of larger groups do not count there, so a few small groups
+can be judged by little more than their own rows, and junk among them is kept. The share
 of rows with the least distance is found through a histogram of distances (256 bins a doubling), which is an
 aggregation; no group is sorted or gathered.
 
@@ -180,7 +182,7 @@ def apply_rules(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     rows = stats.join(grp, stats["lang"].eqNullSafe(grp["g_lang"]) & stats["source"].eqNullSafe(grp["g_source"])).drop("g_lang", "g_source")
     rows = rows.select("*", *vector())
     usable = rows.where(~F.col("base_failed")).select("grp", *[f"x{i}" for i in range(DIMS)])
-    # a smaller group's rows also count in the estimates it falls back on
+    # the estimate a small group falls back on is made of the small groups' rows only
     centre = estimates(usable)
     far = rows.join(_small(centre), "grp", "left")
     far = far.select(*stats.columns, *[f"x{i}" for i in range(DIMS)], *[c for c in centre.columns if c != "grp"])
