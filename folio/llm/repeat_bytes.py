@@ -11,20 +11,27 @@ of the usual v = 3 would be sampled from two thirds of all positions; here v = 1
    with tuples of 68 bytes nothing is left to recurse on but the names of true repeats.
 2. Remaining suffixes are those that begin up to v - 1 bytes before a sampled position that is left. They are merged:
    each is named by its first ``LENGTH`` bytes, sorted in shards, and compared with its neighbours.
-   Equal neighbours are repeats.
+   Equal neighbours are repeats. This goes in ``ROUNDS`` rounds, each over its share of the names, so that at any time
+   only that share is on disk.
+
+A name of step 1 only proposes candidates. A name of step 2 is two independent sums of 64 bits each, and neighbours are
+equal if both are: among n windows the expected number of unlike pairs taken for equal is about n² / 2**129. Bytes of
+different machines are not laid side by side; places of one batch are, by :func:`_alike`.
 
 Names and places travel in packed arrays, one row for each batch of texts and shard, and a batch sends each name once
 however often it has it; so neither a frequent line nor a large group of copies makes a large shard. Exact copies
 of whole texts are found first, by a hash of 128 bits, and one of each group takes part.
 
 Nulls count as empty. Repeated rows repeat each other's strings. Empty input gives empty output. Extra columns are
-not read. Long texts are handled whole; a batch holds one text at least and about ``BATCH`` bytes.
+not read. Texts are handled whole: one of more than ``PIECE`` bytes goes in pieces that overlap by a window, so a batch
+never holds more than about ``BATCH + PIECE`` bytes.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +46,13 @@ V = 133
 #: A perfect difference set modulo 133: every residue but 0 is the difference of one ordered pair.
 COVER = (1, 10, 11, 13, 27, 31, 68, 75, 83, 110, 115, 121)
 TUPLE = LENGTH - V + 1
-BATCH = 4 << 20
-SHARD_BYTES = 16 << 20
+#: Bytes of text named at a time, and the most of one text among them.
+BATCH = 1 << 20
+PIECE = 1 << 20
+#: Bytes of names and places a shard should hold, on average.
+SHARD_BYTES = 8 << 20
+LEAST_SHARDS = 64
+ROUNDS = 4
 #: Copied texts whose table is broadcast, at most; beyond it the table is joined by a shuffle.
 BROADCAST_ROWS = 500_000
 
@@ -78,24 +90,23 @@ class Names:
         return x
 
 
-def sampled(n: int, width: int) -> np.ndarray:
-    """Positions of a text of ``n`` bytes in the sample at which a tuple of ``width`` bytes fits."""
-    last = n - width
-    if last < 0:
-        return np.zeros(0, dtype=np.int64)
-    p = (np.arange(0, last + 1, V)[:, None] + np.array(COVER)[None, :] % V).ravel()
-    return p[p <= last]
+def sampled(lo: int, hi: int) -> np.ndarray:
+    """Positions ``lo <= p < hi`` of a text that are in the sample."""
+    first = lo // V
+    p = (np.arange(first, -(-hi // V))[:, None] * V + np.array(COVER)[None, :]).ravel()
+    return p[(p >= lo) & (p < hi)]
 
 
-def merged(n: int, left: np.ndarray) -> np.ndarray:
-    """Positions up to V - 1 bytes before one of ``left`` at which ``LENGTH`` bytes fit."""
-    last = n - LENGTH
-    if last < 0 or not len(left):
+def merged(left: np.ndarray, lo: int, hi: int) -> np.ndarray:
+    """Positions ``lo <= p < hi`` up to V - 1 bytes before one of the ascending ``left``."""
+    near = left[np.searchsorted(left, lo) : np.searchsorted(left, hi + V - 1)]
+    if not len(near):
         return np.zeros(0, dtype=np.int64)
-    mark = np.zeros(n + 2, dtype=np.int32)
-    np.add.at(mark, np.maximum(0, left - (V - 1)), 1)
-    np.add.at(mark, left + 1, -1)
-    return np.flatnonzero(np.cumsum(mark)[: last + 1] > 0)
+    head = np.r_[True, near[1:] - (V - 1) > near[:-1] + 1]
+    a = np.maximum(near[head] - (V - 1), lo)
+    b = np.minimum(near[np.r_[head[1:], True]] + 1, hi)
+    n = np.maximum(b - a, 0)
+    return np.repeat(a - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
 
 
 # --- packed places ----------------------------------------------------------------------------------------
@@ -150,76 +161,115 @@ def from_runs(runs: bytes) -> np.ndarray:
 
 _OUT = pa.schema([("shard", pa.int32()), ("uid", pa.int64()), ("kind", pa.int8()), ("blob", pa.binary())])
 INFO, PLACES = 0, 1
-#: Bytes of a name that travel in the first and the second step; the shard's number tells as many bits more.
-NAME_BYTES = (6, 7)
+#: Bytes of a name that travel in the first and the second step.
+NAME_BYTES = (6, 16)
 
 
 def _row(shard: list, uid: list, kind: list, blob: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array(uid, pa.int64()), pa.array(kind, pa.int8()), pa.array(blob, pa.binary())], schema=_OUT)
 
 
-def _texts(batches: Iterator[pa.RecordBatch], with_left: bool) -> Iterator[tuple[list, list, list]]:
-    """Lists of ids, text hashes and (bytes, places) of about ``BATCH`` bytes."""
-    ids, hs, got, size = [], [], [], 0
+def _pieces(batches: Iterator[pa.RecordBatch], width: int, with_left: bool) -> Iterator[tuple[list, list]]:
+    """Lists of (id, text hash, offset of the piece) and of (bytes, positions in them) of about ``BATCH`` bytes."""
+    who, got, size = [], [], 0
     for b in batches:
         left = b.column("places") if with_left else None
         for i in range(b.num_rows):
             raw = b.column("raw")[i].as_buffer()
-            ids.append(b.column("doc_id")[i].as_py())
-            hs.append(b.column("h1")[i].as_py())
-            got.append((bytes(raw) if raw is not None else b"", left[i].as_py() if with_left else None))
-            size += len(got[-1][0])
-            if size >= BATCH:
-                yield ids, hs, got
-                ids, hs, got, size = [], [], [], 0
-    if ids:
-        yield ids, hs, got
+            raw = memoryview(raw) if raw is not None else memoryview(b"")
+            key = b.column("doc_id")[i].as_py(), b.column("h1")[i].as_py()
+            places = from_runs(left[i].as_py()) if with_left else None
+            last = len(raw) - width + 1
+            for at in range(0, max(last, 0), PIECE):
+                end = min(at + PIECE, last)
+                where = merged(places, at, end) if with_left else sampled(at, end)
+                if len(where):
+                    who.append((*key, at))
+                    got.append((bytes(raw[at : end + width - 1]), where - at))
+                    size += end - at
+                if size >= BATCH:
+                    yield who, got
+                    who, got, size = [], [], 0
+    if who:
+        yield who, got
+
+
+def _alike(raw: np.ndarray, pos: np.ndarray, by: np.ndarray, same: np.ndarray, width: int) -> np.ndarray:
+    """Which of the neighbours ``same`` names alike are alike byte for byte; runs on one diagonal are compared once."""
+    at = np.flatnonzero(same)
+    a, b = pos[by[at]], pos[by[at + 1]]
+    order = np.lexsort((a, b - a))
+    x, d = a[order], (b - a)[order]
+    head = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (x[1:] > x[:-1] + width)]) if len(x) else np.zeros(0, dtype=np.int64)
+    good = np.ones(len(x), dtype=bool)
+    for i, j in zip(head.tolist(), np.r_[head[1:], len(x)].tolist()):
+        lo, hi, off = int(x[i]), int(x[j - 1]) + width, int(d[i])
+        wrong = np.flatnonzero(raw[lo:hi] != raw[lo + off : hi + off])
+        if len(wrong):
+            good[i:j] = np.searchsorted(wrong, x[i:j] - lo) == np.searchsorted(wrong, x[i:j] - lo + width)
+    out = same.copy()
+    out[at[order]] = good
+    return out
 
 
-def emit(shards: int, verify: bool):
-    """Names and places of one step's windows, packed by shard."""
+def emit(shards: int, verify: bool, share: int = 0, rounds: int = 1):
+    """Names and places of one step's windows, packed by shard; of the names, the ``share``-th of ``rounds`` shares."""
+    width, size = LENGTH if verify else TUPLE, NAME_BYTES[verify]
+    gap = gap_bytes(shards * rounds, 1 if verify else V // len(COVER))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, hs, got in _texts(batches, verify):
+        for who, got in _pieces(batches, width, verify):
             length = np.array([len(x) for x, _ in got], dtype=np.int64)
             start = np.cumsum(length) - length
             raw = np.frombuffer(b"".join(x for x, _ in got), dtype=np.uint8)
-            if verify:
-                where = [merged(n, from_runs(p)) for n, (_, p) in zip(length.tolist(), got)]
-            else:
-                where = [sampled(n, TUPLE) for n in length.tolist()]
-            pos = np.concatenate([w + s for w, s in zip(where, start.tolist())])
+            pos = np.concatenate([(w + s).astype(np.int32) for (_, w), s in zip(got, start.tolist())])
+            check = Names(raw, 1).at(pos, width)
+            if rounds > 1:
+                ours = (check >> np.uint64(60)) % np.uint64(rounds) == np.uint64(share)
+                pos, check = pos[ours], check[ours]
             if not len(pos):
                 continue
-            width = LENGTH if verify else TUPLE
-            name = Names(raw, 0).at(pos, width)
-            check = Names(raw, 1).at(pos, width) if verify else name * np.uint64(0x9E3779B97F4A7C15)
-            shard = ((check >> np.uint64(32)) % np.uint64(shards)).astype(np.int64)
+            name = Names(raw, 0).at(pos, width) if verify else check
             # a name the batch has twice or more: all its places are repeats, one of them tells other batches
-            by = np.lexsort((pos, check, name)) if verify else np.argsort(name, kind="stable")
-            n_, c_ = name[by], check[by]
-            same = (n_[1:] == n_[:-1]) & (c_[1:] == c_[:-1]) if verify else n_[1:] == n_[:-1]
-            twice = np.r_[same, False] | np.r_[False, same]
-            first = np.r_[True, ~same]
-            local = np.sort(pos[by[twice]])
-            uid = int.from_bytes(hashlib.blake2b(np.array([[i or 0, h] for i, h in zip(ids, hs)], dtype="<i8").tobytes(), digest_size=8).digest(), "little", signed=True)
-            info = [len(ids)], [i if i is not None else 0 for i in ids], [int(i is None) for i in ids], hs, start.tolist(), length.tolist()
-            info = b"".join(np.array(x, dtype="<i8").tobytes() for x in info) + to_runs(local)
+            by = np.lexsort((check, name)) if verify else np.argsort(name, kind="stable")
+            same = (name[by[1:]] == name[by[:-1]]) & (check[by[1:]] == check[by[:-1]])
+            if verify:
+                same = _alike(raw, pos, by, same, width)
+            local = np.sort(pos[by[np.r_[same, False] | np.r_[False, same]]]).astype(np.int64)
+            head = [(0 if i is None else i, int(i is None), h, at) for i, h, at in who]
+            uid = int.from_bytes(hashlib.blake2b(np.array([share, *(v for x in head for v in x)], dtype="<i8").tobytes(), digest_size=8).digest(), "little", signed=True)
+            info = np.array([len(who)], dtype="<i8").tobytes() + b"".join(np.array(x, dtype="<i8").tobytes() for x in (*zip(*head), start, length)) + to_runs(local)
             out = [[uid % shards], [uid], [INFO], [info]]
-            one = by[first]
-            one = one[np.lexsort((pos[one], shard[one]))]
-            size, gap = NAME_BYTES[verify], gap_bytes(shards, 1 if verify else V // len(COVER))
-            table = np.ascontiguousarray(name[one].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size])
-            s, p = shard[one], pos[one]
-            edge = np.flatnonzero(np.r_[True, s[1:] != s[:-1], True])
+            one = by[np.r_[True, ~same]]
+            pos, name, check = pos[one], name[one], check[one]
+            shard = (((check >> np.uint64(20)) & np.uint64(0xFFFFFFFF)) % np.uint64(shards)).astype(np.int64)
+            one = np.lexsort((pos, shard))
+            pos, shard = pos[one].astype(np.int64), shard[one]
+            table = np.stack([x[one].astype("<u8") for x in ((name, check) if verify else (name,))], axis=1).view(np.uint8)[:, :size]
+            edge = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1], True])
             for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
-                for x, v in zip(out, (int(s[a]), uid, PLACES, _pack(p[a:b], table[a:b], gap))):
+                for x, v in zip(out, (int(shard[a]), uid, PLACES, _pack(pos[a:b], table[a:b], gap))):
                     x.append(v)
             yield _row(*out)
 
     return run
 
 
+def _shared(words: np.ndarray, whose: np.ndarray) -> np.ndarray:
+    """Of rows of one or two 64-bit words: which are equal to a row of another owner. ``whose`` ascends."""
+    by = np.argsort(words[:, 0], kind="stable")
+    same = words[by[1:], 0] == words[by[:-1], 0]
+    if words.shape[1] > 1:
+        alike = words[by[1:], 1] == words[by[:-1], 1]
+        if (same & ~alike).any():  # first words collide: order by both
+            by = np.lexsort((words[:, 1], words[:, 0]))
+            same = (words[by[1:]] == words[by[:-1]]).all(axis=1)
+    head = np.flatnonzero(np.r_[True, ~same])
+    n = np.diff(np.r_[head, len(by)])
+    # owners ascend within a class: it is shared if its first and last differ
+    return np.sort(by[np.repeat(whose[by[head]] != whose[by[head + n - 1]], n)])
+
+
 def meet(size: int):
     """In a shard: the places whose name another batch has too; what is known of each batch passes through."""
 
@@ -233,17 +283,15 @@ def meet(size: int):
                 out_uid.append(uid[i]), out_kind.append(INFO), out_blob.append(bytes(b))
             else:
                 o, m = _unpack(b, size)
-                offs.append(o), names.append(m), whose.append(np.full(len(o), i, dtype=np.int32))
+                offs.append(o.astype(np.int32)), names.append(m), whose.append(np.full(len(o), i, dtype=np.int32))
         if offs:
-            o, m, w = np.concatenate(offs), np.concatenate(names), np.concatenate(whose)
-            wide = np.zeros((len(m), 8), dtype=np.uint8)
-            wide[:, :size] = m
-            key = wide.view("<u8").ravel()
-            by = np.argsort(key)
-            same = key[by][1:] == key[by][:-1]
-            hit = by[np.r_[same, False] | np.r_[False, same]]
-            hit = hit[np.lexsort((o[hit], w[hit]))]
-            o, w = o[hit], w[hit]
+            wide = np.zeros((sum(map(len, names)), -(-size // 8) * 8), dtype=np.uint8)
+            wide[:, :size] = np.concatenate(names)
+            names.clear()
+            w = np.concatenate(whose)
+            hit = _shared(wide.view("<u8"), w)
+            # rows of a batch and their places arrive in order, so what is left of each is in order too
+            o, w = np.concatenate(offs)[hit].astype(np.int64), w[hit]
             edge = np.flatnonzero(np.r_[True, w[1:] != w[:-1]]) if len(w) else w
             for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(w)]):
                 out_uid.append(uid[w[a]]), out_kind.append(PLACES), out_blob.append(_pack(o[a:b], np.zeros((b - a, 0), dtype=np.uint8), 2))
@@ -261,24 +309,30 @@ def resolve(table: pa.Table) -> pa.Table:
         else:
             parts.append(_unpack(b, 0)[0])
     n = int(np.frombuffer(info, dtype="<i8", count=1)[0])
-    ids, null, hs, start, length = np.frombuffer(info, dtype="<i8", count=5 * n, offset=8).reshape(5, n)
-    parts.append(from_runs(info[8 + 40 * n :]))
+    ids, null, hs, base, start, length = np.frombuffer(info, dtype="<i8", count=6 * n, offset=8).reshape(6, n)
+    parts.append(from_runs(info[8 + 48 * n :]))
     place = np.unique(np.concatenate(parts)).astype(np.int64)
-    doc = np.searchsorted(start + length, place, side="right")
-    edge = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if len(doc) else np.zeros(0, dtype=np.int64)
-    end = np.r_[edge[1:], len(doc)]
-    who = doc[edge] if len(doc) else edge
-    blobs = [to_runs(place[a:b] - start[d]) for a, b, d in zip(edge.tolist(), end.tolist(), who.tolist())]
-    return pa.table({"p_id": pa.array([None if null[d] else int(ids[d]) for d in who], pa.int64()), "p_h1": pa.array(hs[who], pa.int64()), "places": pa.array(blobs, pa.binary())})
+    piece = np.searchsorted(start + length, place, side="right")
+    edge = np.flatnonzero(np.r_[True, piece[1:] != piece[:-1]]) if len(piece) else np.zeros(0, dtype=np.int64)
+    end = np.r_[edge[1:], len(piece)]
+    who = piece[edge] if len(piece) else edge
+    blobs = [to_runs(place[a:b] - start[k] + base[k]) for a, b, k in zip(edge.tolist(), end.tolist(), who.tolist())]
+    return pa.table({"p_id": pa.array([None if null[k] else int(ids[k]) for k in who], pa.int64()), "p_h1": pa.array(hs[who], pa.int64()), "places": pa.array(blobs, pa.binary())})
+
 
+def repeated_places(texts: DataFrame, shards: int, verify: bool, share: int = 0, rounds: int = 1) -> DataFrame:
+    """``p_id, p_h1, places`` of ``texts(doc_id, h1, raw[, places])``; ``places`` are runs.
 
-def repeated_places(texts: DataFrame, shards: int, verify: bool) -> DataFrame:
-    """``p_id, p_h1, places`` of ``texts(doc_id, h1, raw[, places])``; ``places`` are runs."""
-    packed = texts.mapInArrow(emit(shards, verify), "shard int, uid long, kind byte, blob binary")
+    A text has a row for each batch that held a piece of it, and rows alike in id and text have rows each.
+    """
+    packed = texts.mapInArrow(emit(shards, verify, share, rounds), "shard int, uid long, kind byte, blob binary")
     met = packed.groupBy("shard").applyInArrow(meet(NAME_BYTES[verify]), "uid long, kind byte, blob binary")
-    found = met.groupBy("uid").applyInArrow(resolve, "p_id long, p_h1 long, places binary")
-    # rows alike in id and text may lie in several batches
-    return found
+    return met.groupBy("uid").applyInArrow(resolve, "p_id long, p_h1 long, places binary")
+
+
+def shards_for(places: float, verify: bool) -> int:
+    """How many shards hold the names of so many places."""
+    return int(max(LEAST_SHARDS, -(-places * (NAME_BYTES[verify] + 2) // SHARD_BYTES)))
 
 
 def _union_places(table: pa.Table) -> pa.Table:
@@ -321,7 +375,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     few = F.broadcast(copies) if copies.count() <= BROADCAST_ROWS else copies
     same = lambda df: (df["h1"] == few["k1"]) & (df["h2"] == few["k2"])
     total = slim.where(F.col("n_bytes") >= LENGTH).agg(F.sum("n_bytes")).first()[0] or 0
-    shards = int(max(64, -(-total * len(COVER) * 8 // (V * SHARD_BYTES))))
+    shards = shards_for(total * len(COVER) / V, False)
 
     taking = d.where(F.octet_length("raw") >= LENGTH)
     taking = taking.join(few, same(taking), "left").where(F.col("rep").isNull() | (F.col("doc_id") == F.col("rep"))).select("doc_id", "h1", "raw")
@@ -329,7 +383,10 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     left = stage(one_each(repeated_places(taking, shards, False)), "left")
     on = lambda a, b: a["doc_id"].eqNullSafe(b["p_id"]) & (a["h1"] == b["p_h1"])
     remaining = stage(taking.join(left, on(taking, left)).select("doc_id", "h1", "raw", "places"), "remaining")
-    found = stage(one_each(repeated_places(remaining, shards, True)), "repeats")
+    total = remaining.agg(F.sum(F.octet_length("raw"))).first()[0] or 0
+    shards = shards_for(total / ROUNDS, True)
+    found = [stage(repeated_places(remaining, shards, True, k, ROUNDS), "repeats") for k in range(ROUNDS)]
+    found = stage(one_each(reduce(DataFrame.unionAll, found)), "repeats")
     text = remaining.drop("places").dropDuplicates(["doc_id", "h1"]) if _has_twins(remaining) else remaining.drop("places")
     cut = text.join(found, on(text, found)).select("doc_id", "h1", "raw", "places").mapInArrow(_cut_batches, "c_id long, c_h1 long, n_removed long, n_spans long, kept_sha256 string")
     out = slim.join(few, same(slim), "left")

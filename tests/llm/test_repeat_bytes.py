@@ -67,3 +67,33 @@ def test_repeated_rows_nulls_and_nothing(spark):
     got = sorted(map(tuple, rb.remove_repeats(docs).collect()), key=str)
     assert [x[:4] for x in got] == [(1, 300, 300, 1)] * 2 + [(None, 10, 0, 0)]
     assert rb.remove_repeats(docs.limit(0)).count() == 0
+
+
+def test_long_texts_go_in_pieces(spark):
+    r = random.Random(9)
+    line = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    shared = line(700)
+    # longer than a piece, repeats across the edges of pieces and inside one text
+    edge = rb.PIECE
+    long = line(edge - 400) + shared + line(edge) + shared[:350] + line(50)
+    texts = [long, line(300) + shared[100:420], line(2000), line(150) * 3]
+    assert run(spark, texts, 2) == plain(texts)
+
+
+def test_names_that_collide_make_no_repeat():
+    raw = np.frombuffer(random.Random(1).randbytes(4000), dtype=np.uint8)
+    pos = np.array([0, 500, 900, 2000, 2001], dtype=np.int32)
+    by, every = np.arange(5), np.ones(4, dtype=bool)
+    assert not rb._alike(raw, pos, by, every, rb.LENGTH).any()
+    twice = np.r_[raw[:600], raw[:600]]
+    assert rb._alike(twice, np.array([0, 600, 100, 700], dtype=np.int32), np.arange(4), np.array([True, False, True]), rb.LENGTH).tolist() == [True, False, True]
+    first = np.array([[7, 1], [7, 2], [7, 3], [7, 2], [8, 5], [8, 5]], dtype=np.uint64)
+    assert rb._shared(first, np.array([0, 0, 1, 1, 2, 2])).tolist() == [1, 3]
+
+
+def test_positions():
+    left = np.array([5, 140, 141, 900, 1400])
+    for lo, hi in ((0, 2000), (100, 300), (139, 141), (768, 901), (901, 1268)):
+        want = [p for p in range(lo, hi) if any(x - rb.V < p <= x for x in left.tolist())]
+        assert rb.merged(left, lo, hi).tolist() == want
+        assert rb.sampled(lo, hi).tolist() == [p for p in range(lo, hi) if p % rb.V in rb.COVER]
