@@ -31,7 +31,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import reduce
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -72,40 +72,58 @@ def _powers(base: int, n: int) -> np.ndarray:
     return out
 
 
+@cache
+def _power_table(which: int) -> np.ndarray:
+    """Powers of a base for the longest batch there is; made once in a worker."""
+    return _powers(_BASES[which], BATCH + 2 * PIECE)
+
+
 class Names:
-    """Names of windows of a byte array: polynomial sums modulo 2**64 over random values of the bytes."""
+    """Names of windows of a byte array: polynomial sums modulo 2**64 over random values of the bytes.
+
+    Byte i counts times the base to the i; a window's sum is raised to the same power wherever it begins.
+    """
 
     def __init__(self, raw: np.ndarray, which: int):
-        base = _BASES[which]
-        n = len(raw)
-        self.sums = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum(_TABLES[which][raw] * _powers(base, n), out=self.sums[1:])
-        self.back = _powers(pow(base, -1, 1 << 64), n + 1)
+        self.power = _power_table(which)
+        self.sums = np.zeros(len(raw) + 1, dtype=np.uint64)
+        np.cumsum(_TABLES[which][raw] * self.power[: len(raw)], out=self.sums[1:])
 
     def at(self, pos: np.ndarray, width: int) -> np.ndarray:
-        x = (self.sums[pos + width] - self.sums[pos]) * self.back[pos]
+        x = self.sums[pos + width] - self.sums[pos]
+        x *= self.power[len(self.power) - 1 - pos]
         x ^= x >> np.uint64(32)
         x *= np.uint64(0xD6E8FEB86659FD93)
         x ^= x >> np.uint64(32)
         return x
 
 
-def sampled(lo: int, hi: int) -> np.ndarray:
-    """Positions ``lo <= p < hi`` of a text that are in the sample."""
-    first = lo // V
-    p = (np.arange(first, -(-hi // V))[:, None] * V + np.array(COVER)[None, :]).ravel()
-    return p[(p >= lo) & (p < hi)]
+_IN_COVER = np.isin(np.arange(V), COVER)
+
+
+def sampled(start: np.ndarray, at: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Places of the sample in pieces laid end to end.
+
+    A piece begins at ``start``, holds its text from byte ``at`` on, and has ``count`` places at which a window begins.
+    """
+    p = _spans(start, start + count)
+    return p[_IN_COVER[(p + np.repeat(at - start, count)) % V]]
+
 
+def merged(runs: np.ndarray, start: np.ndarray, at: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Places up to V - 1 bytes before one that is left. ``runs`` are rows of piece, where in its text, and how many."""
+    k = runs[:, 0]
+    first = runs[:, 1] - at[k] + start[k]
+    a = np.maximum(first - (V - 1), start[k])
+    b = np.minimum(first + runs[:, 2], start[k] + count[k])
+    a, b = a[a < b], b[a < b]
+    head = np.r_[True, a[1:] > b[:-1]] if len(a) else np.zeros(0, dtype=bool)
+    return _spans(a[head], b[np.r_[head[1:], True]] if len(b) else b)
 
-def merged(left: np.ndarray, lo: int, hi: int) -> np.ndarray:
-    """Positions ``lo <= p < hi`` up to V - 1 bytes before one of the ascending ``left``."""
-    near = left[np.searchsorted(left, lo) : np.searchsorted(left, hi + V - 1)]
-    if not len(near):
-        return np.zeros(0, dtype=np.int64)
-    head = np.r_[True, near[1:] - (V - 1) > near[:-1] + 1]
-    a = np.maximum(near[head] - (V - 1), lo)
-    b = np.minimum(near[np.r_[head[1:], True]] + 1, hi)
-    n = np.maximum(b - a, 0)
+
+def _spans(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges ``a .. b``, one after the other."""
+    n = b - a
     return np.repeat(a - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
 
 
@@ -155,8 +173,7 @@ def to_runs(places: np.ndarray) -> bytes:
 
 def from_runs(runs: bytes) -> np.ndarray:
     r = np.frombuffer(runs, dtype="<u4").astype(np.int64).reshape(-1, 2)
-    n = r[:, 1]
-    return np.repeat(r[:, 0] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+    return _spans(r[:, 0], r[:, 0] + r[:, 1])
 
 
 _OUT = pa.schema([("shard", pa.int32()), ("uid", pa.int64()), ("kind", pa.int8()), ("blob", pa.binary())])
@@ -169,46 +186,50 @@ def _row(shard: list, uid: list, kind: list, blob: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array(uid, pa.int64()), pa.array(kind, pa.int8()), pa.array(blob, pa.binary())], schema=_OUT)
 
 
-def _pieces(batches: Iterator[pa.RecordBatch], width: int, with_left: bool) -> Iterator[tuple[list, list]]:
-    """Lists of (id, text hash, offset of the piece) and of (bytes, positions in them) of about ``BATCH`` bytes."""
-    who, got, size = [], [], 0
+def _pieces(batches: Iterator[pa.RecordBatch], width: int, with_left: bool) -> Iterator[tuple[list, list, list]]:
+    """Lists of (id, text hash, offset of the piece), of its bytes and of its runs of places left, of about ``BATCH`` bytes."""
+    who, raws, left, size = [], [], [], 0
     for b in batches:
-        left = b.column("places") if with_left else None
-        for i in range(b.num_rows):
-            raw = b.column("raw")[i].as_buffer()
-            raw = memoryview(raw) if raw is not None else memoryview(b"")
-            key = b.column("doc_id")[i].as_py(), b.column("h1")[i].as_py()
-            places = from_runs(left[i].as_py()) if with_left else None
-            last = len(raw) - width + 1
+        ids, hs = b.column("doc_id").to_pylist(), b.column("h1").to_pylist()
+        runs = b.column("places").to_pylist() if with_left else [b""] * b.num_rows
+        for i, raw in enumerate(b.column("raw").to_pylist()):
+            last = len(raw or b"") - width + 1
             for at in range(0, max(last, 0), PIECE):
-                end = min(at + PIECE, last)
-                where = merged(places, at, end) if with_left else sampled(at, end)
-                if len(where):
-                    who.append((*key, at))
-                    got.append((bytes(raw[at : end + width - 1]), where - at))
-                    size += end - at
+                part, theirs = raw, runs[i]
+                if last > PIECE:
+                    part = raw[at : at + PIECE + width - 1]
+                    r = np.frombuffer(theirs, dtype="<u4").reshape(-1, 2)
+                    near = np.searchsorted(r[:, 0], (at, at + PIECE + V)) + (-1, 0)
+                    theirs = r[max(0, near[0]) : near[1]].tobytes()
+                who.append((ids[i], hs[i], at)), raws.append(part), left.append(theirs)
+                size += len(part)
                 if size >= BATCH:
-                    yield who, got
-                    who, got, size = [], [], 0
+                    yield who, raws, left
+                    who, raws, left, size = [], [], [], 0
     if who:
-        yield who, got
+        yield who, raws, left
 
 
 def _alike(raw: np.ndarray, pos: np.ndarray, by: np.ndarray, same: np.ndarray, width: int) -> np.ndarray:
     """Which of the neighbours ``same`` names alike are alike byte for byte; runs on one diagonal are compared once."""
     at = np.flatnonzero(same)
-    a, b = pos[by[at]], pos[by[at + 1]]
-    order = np.lexsort((a, b - a))
-    x, d = a[order], (b - a)[order]
-    head = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (x[1:] > x[:-1] + width)]) if len(x) else np.zeros(0, dtype=np.int64)
-    good = np.ones(len(x), dtype=bool)
-    for i, j in zip(head.tolist(), np.r_[head[1:], len(x)].tolist()):
-        lo, hi, off = int(x[i]), int(x[j - 1]) + width, int(d[i])
-        wrong = np.flatnonzero(raw[lo:hi] != raw[lo + off : hi + off])
-        if len(wrong):
-            good[i:j] = np.searchsorted(wrong, x[i:j] - lo) == np.searchsorted(wrong, x[i:j] - lo + width)
+    if not len(at):
+        return same
+    a, b = pos[by[at]].astype(np.int64), pos[by[at + 1]].astype(np.int64)
+    a, off = np.minimum(a, b), np.abs(b - a)
+    order = np.argsort((off << 32) | a)
+    x, d = a[order], off[order]
+    head = np.r_[True, (d[1:] != d[:-1]) | (x[1:] > x[:-1] + width)]
+    lo, hi = x[head], x[np.r_[head[1:], True]] + width
+    where = _spans(lo, hi)
+    wrong = raw[where] != raw[where + np.repeat(d[head], hi - lo)]
+    if not wrong.any():
+        return same
+    upto = np.r_[0, np.cumsum(wrong)]
+    run = np.cumsum(head) - 1
+    begin = (np.cumsum(hi - lo) - (hi - lo))[run] + x - lo[run]
     out = same.copy()
-    out[at[order]] = good
+    out[at[order]] = upto[begin] == upto[begin + width]
     return out
 
 
@@ -218,11 +239,17 @@ def emit(shards: int, verify: bool, share: int = 0, rounds: int = 1):
     gap = gap_bytes(shards * rounds, 1 if verify else V // len(COVER))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for who, got in _pieces(batches, width, verify):
-            length = np.array([len(x) for x, _ in got], dtype=np.int64)
-            start = np.cumsum(length) - length
-            raw = np.frombuffer(b"".join(x for x, _ in got), dtype=np.uint8)
-            pos = np.concatenate([(w + s).astype(np.int32) for (_, w), s in zip(got, start.tolist())])
+        for who, raws, left in _pieces(batches, width, verify):
+            length, at = np.array([len(x) for x in raws], dtype=np.int64), np.array([x[2] for x in who], dtype=np.int64)
+            start, count = np.cumsum(length) - length, length - width + 1
+            raw = np.frombuffer(b"".join(raws), dtype=np.uint8)
+            if verify:
+                r = np.frombuffer(b"".join(left), dtype="<u4").astype(np.int64).reshape(-1, 2)
+                which = np.repeat(np.arange(len(who)), [len(x) // 8 for x in left])
+                pos = merged(np.column_stack([which, r]), start, at, count)
+            else:
+                pos = sampled(start, at, count)
+            pos = pos.astype(np.int32)
             check = Names(raw, 1).at(pos, width)
             if rounds > 1:
                 ours = (check >> np.uint64(60)) % np.uint64(rounds) == np.uint64(share)
@@ -231,8 +258,7 @@ def emit(shards: int, verify: bool, share: int = 0, rounds: int = 1):
                 continue
             name = Names(raw, 0).at(pos, width) if verify else check
             # a name the batch has twice or more: all its places are repeats, one of them tells other batches
-            by = np.lexsort((check, name)) if verify else np.argsort(name, kind="stable")
-            same = (name[by[1:]] == name[by[:-1]]) & (check[by[1:]] == check[by[:-1]])
+            by, same = _ordered(name, check)
             if verify:
                 same = _alike(raw, pos, by, same, width)
             local = np.sort(pos[by[np.r_[same, False] | np.r_[False, same]]]).astype(np.int64)
@@ -243,7 +269,7 @@ def emit(shards: int, verify: bool, share: int = 0, rounds: int = 1):
             one = by[np.r_[True, ~same]]
             pos, name, check = pos[one], name[one], check[one]
             shard = (((check >> np.uint64(20)) & np.uint64(0xFFFFFFFF)) % np.uint64(shards)).astype(np.int64)
-            one = np.lexsort((pos, shard))
+            one = np.argsort((shard << 32) | pos)
             pos, shard = pos[one].astype(np.int64), shard[one]
             table = np.stack([x[one].astype("<u8") for x in ((name, check) if verify else (name,))], axis=1).view(np.uint8)[:, :size]
             edge = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1], True])
@@ -255,19 +281,31 @@ def emit(shards: int, verify: bool, share: int = 0, rounds: int = 1):
     return run
 
 
+def _ordered(first: np.ndarray, second: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """An order in which equal names are neighbours, and which neighbours are equal."""
+    by = np.argsort(first)
+    x = first[by]
+    same = x[1:] == x[:-1]
+    if second is not None and second is not first:
+        at = np.flatnonzero(same)
+        alike = second[by[at + 1]] == second[by[at]]
+        if not alike.all():  # first words collide: order by both
+            by = np.lexsort((second, first))
+            same = (first[by[1:]] == first[by[:-1]]) & (second[by[1:]] == second[by[:-1]])
+    return by, same
+
+
 def _shared(words: np.ndarray, whose: np.ndarray) -> np.ndarray:
-    """Of rows of one or two 64-bit words: which are equal to a row of another owner. ``whose`` ascends."""
-    by = np.argsort(words[:, 0], kind="stable")
-    same = words[by[1:], 0] == words[by[:-1], 0]
-    if words.shape[1] > 1:
-        alike = words[by[1:], 1] == words[by[:-1], 1]
-        if (same & ~alike).any():  # first words collide: order by both
-            by = np.lexsort((words[:, 1], words[:, 0]))
-            same = (words[by[1:]] == words[by[:-1]]).all(axis=1)
+    """Of rows of one or two 64-bit words: which are equal to a row of another owner."""
+    by, same = _ordered(np.ascontiguousarray(words[:, 0]), np.ascontiguousarray(words[:, 1]) if words.shape[1] > 1 else None)
+    several = by[np.r_[same, False] | np.r_[False, same]]
     head = np.flatnonzero(np.r_[True, ~same])
     n = np.diff(np.r_[head, len(by)])
-    # owners ascend within a class: it is shared if its first and last differ
-    return np.sort(by[np.repeat(whose[by[head]] != whose[by[head + n - 1]], n)])
+    n = n[n > 1]
+    if not len(n):
+        return several
+    start, w = np.cumsum(n) - n, whose[several]
+    return np.sort(several[np.repeat(np.minimum.reduceat(w, start) != np.maximum.reduceat(w, start), n)])
 
 
 def meet(size: int):

@@ -92,8 +92,13 @@ def test_names_that_collide_make_no_repeat():
 
 
 def test_positions():
-    left = np.array([5, 140, 141, 900, 1400])
-    for lo, hi in ((0, 2000), (100, 300), (139, 141), (768, 901), (901, 1268)):
-        want = [p for p in range(lo, hi) if any(x - rb.V < p <= x for x in left.tolist())]
-        assert rb.merged(left, lo, hi).tolist() == want
-        assert rb.sampled(lo, hi).tolist() == [p for p in range(lo, hi) if p % rb.V in rb.COVER]
+    # the pieces of three texts of 300, 900 and 50 places, the second in two pieces
+    texts = {0: (0, 300), 1: (0, 500), 2: (500, 400), 3: (0, 50)}
+    at, count = (np.array(x) for x in zip(*texts.values()))
+    start = np.cumsum(count + 199) - (count + 199)
+    left = [[0, 5, 1], [0, 140, 2], [1, 490, 20], [1, 700, 1], [2, 490, 20], [2, 700, 1], [2, 1400, 3]]
+    got = rb.merged(np.array(left), start, at, count).tolist()
+    want = [start[k] + p - at[k] for k in texts for p in range(at[k], at[k] + count[k]) if any(g == k and f - rb.V < p < f + n for g, f, n in left)]
+    assert got == want
+    assert rb.sampled(start, at, count).tolist() == [start[k] + p - at[k] for k in texts for p in range(at[k], at[k] + count[k]) if p % rb.V in rb.COVER]
+    assert not len(rb.merged(np.zeros((0, 3), dtype=int), start, at, count))
