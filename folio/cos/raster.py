@@ -19,6 +19,9 @@ from .text import apply, mul, page_transform
 
 MAX_PIXELS = 65_535
 MAX_FORM_DEPTH = 32
+#: Cells drawn one by one, at most; beyond that one cell is drawn and looked up. Cells over each other then, each way.
+MAX_CELLS = 10_000
+MAX_OVERLAP = 8
 SUB = 4  # samples a pixel in each direction
 
 
@@ -147,10 +150,11 @@ class Canvas:
         lo_y, hi_y = min(p[1] for p in corners), max(p[1] for p in corners)
         first_i, last_i = int(np.floor((lo_x - box[2]) / xs)), int(np.ceil((hi_x - box[0]) / xs))
         first_j, last_j = int(np.floor((lo_y - box[3]) / ys)), int(np.ceil((hi_y - box[1]) / ys))
-        if (last_i - first_i + 1) * (last_j - first_j + 1) > 10_000:
-            return
         own = d.resolve(pattern.dict.get("Resources")) or {}
         data = d.decoded(pattern)
+        if (last_i - first_i + 1) * (last_j - first_j + 1) > MAX_CELLS:
+            self.repeat(data, own, box, xs, ys, m, inv, clip, (x0, y0, *c.shape), st)
+            return
         for i in range(first_i, last_i + 1):
             for j in range(first_j, last_j + 1):
                 ctm = mul((1, 0, 0, 1, i * xs, j * ys), m)
@@ -162,6 +166,34 @@ class Canvas:
                 cell[ry : ry + r.shape[0], rx : rx + r.shape[1]] = r
                 self.run(data, own, ctm, cell * clip, 1, st["fill"])
 
+    def repeat(self, data: bytes, own: dict, box: list, xs: float, ys: float, m: tuple, inv: tuple, clip: np.ndarray, area: tuple, st: dict) -> None:
+        """Very many cells: one is drawn, on white and on black to learn its opacity, and every pixel looks up its place in it."""
+        wide, high = box[2] - box[0], box[3] - box[1]
+        if wide <= 0 or high <= 0:
+            return
+        w = int(min(self.w, max(1, np.ceil(wide * np.hypot(m[0], m[1])))))
+        h = int(min(self.h, max(1, np.ceil(high * np.hypot(m[2], m[3])))))
+        shots = []
+        for ground in (255, 0):
+            cell = Canvas(self.d, w, h)
+            cell.img[:] = ground
+            cell.run(data, own, (w / wide, 0, 0, h / high, -box[0] * w / wide, -box[1] * h / high), None, 1, st["fill"])
+            shots.append(cell.img.astype(np.float32))
+        alpha = 1 - (shots[0] - shots[1]).mean(axis=2) / 255
+        color = shots[1] / np.maximum(alpha, 1e-6)[..., None]
+        x0, y0, rows, cols = area
+        yy, xx = np.mgrid[y0 : y0 + rows, x0 : x0 + cols] + 0.5
+        px, py = inv[0] * xx + inv[2] * yy + inv[4] - box[0], inv[1] * xx + inv[3] * yy + inv[5] - box[1]
+        part = self.img[y0 : y0 + rows, x0 : x0 + cols]
+        # cells that overlap a place are those that begin up to a cell's width before it; the last begins nearest
+        for i in range(min(MAX_OVERLAP, int(np.ceil(wide / xs))) - 1, -1, -1):
+            for j in range(min(MAX_OVERLAP, int(np.ceil(high / ys))) - 1, -1, -1):
+                u, v = px % xs + i * xs, py % ys + j * ys
+                inside = (u < wide) & (v < high)
+                at = np.clip((v / high * h).astype(int), 0, h - 1), np.clip((u / wide * w).astype(int), 0, w - 1)
+                a = (alpha[at] * inside * clip[y0 : y0 + rows, x0 : x0 + cols])[..., None]
+                part[:] = np.clip(np.rint(part * (1 - a) + color[at] * a), 0, 255).astype(np.uint8)
+
     def image(self, s: Stream, st: dict) -> None:
         d, g = self.d, lambda k: self.d.resolve(s.dict.get(k))
         w, h, bits = g("Width"), g("Height"), g("BitsPerComponent") or 8

@@ -79,7 +79,7 @@ class Interpreter:
         self.d = d
         self.fonts: dict[Any, Font] = {}
         self.glyphs: list[Glyph] = []
-        self.bad_font = False
+        self.bad_font = self.too_deep = False
 
     def font(self, ref: Any) -> Font:
         key = ref.num if isinstance(ref, Ref) else id(ref)
@@ -134,7 +134,7 @@ class Interpreter:
                             step = -part / 1000 * state["size"]
                             vertical = state["font"] is not None and state["font"].vertical
                             tm = mul((1, 0, 0, 1, 0, step) if vertical else (1, 0, 0, 1, step * state["scale"], 0), tm)
-                elif op == "Do" and depth < MAX_FORM_DEPTH:
+                elif op == "Do":
                     form = d.resolve((d.resolve(resources.get("XObject")) or {}).get(args[0]))
                     self.form(form, resources, state["ctm"], depth)
                 elif op == "gs":
@@ -148,6 +148,9 @@ class Interpreter:
     def form(self, form: Any, resources: dict, ctm: tuple, depth: int) -> None:
         if not isinstance(form, Stream) or form.dict.get("Subtype") != "Form":
             return
+        if depth >= MAX_FORM_DEPTH:
+            self.too_deep = True
+            return
         d = self.d
         m = d.resolve(form.dict.get("Matrix"))
         m = tuple(float(d.resolve(x)) for x in m) if isinstance(m, list) and len(m) == 6 else (1, 0, 0, 1, 0, 0)
@@ -180,62 +183,88 @@ class Interpreter:
         return tm
 
 
-def fold(glyphs: list[Glyph]) -> tuple[list[Run], bool]:
-    """Glyphs in drawing order to runs, and whether any glyph's text is unknown.
+class Columns:
+    """Glyphs as columns, without those that cannot be placed and without outlines drawn over a filled glyph.
 
-    A run keeps the size and directions of its first glyph; the gap is measured from where the glyph before ends.
+    ``far`` is where a glyph ends, ``step`` how far each begins from the end of the one before (from its origin where
+    its width is unknown, which ``blind`` marks).
     """
-    runs, missing, filled = [], False, None
-    cur: dict | None = None
-    dot = lambda a, b: a[0] * b[0] + a[1] * b[1]
-    shape_of: tuple = ()
 
-    def close() -> None:
-        if cur is None or not cur["text"].strip():
-            return
-        up, size = cur["up"], cur["size"]
-        xs, ys = [], []
-        for p in (cur["start"], cur["end"]):
-            for k in (ASCENT, ASCENT - 1):
-                xs.append(p[0] + up[0] * k * size)
-                ys.append(p[1] + up[1] * k * size)
-        f = np.float32
-        runs.append(Run(cur["text"], float(f(min(xs))), float(f(min(ys))), float(f(max(xs) - min(xs))), float(f(max(ys) - min(ys))), float(f(size))))
-
-    for g in glyphs:
-        if not shape_of or shape_of[0] is not g.up or shape_of[1] is not g.right:
-            size, along = math.hypot(*g.up), math.hypot(*g.right)
-            sound = math.isfinite(size) and math.isfinite(along) and size > 0 and along > 0
-            up, way = ((g.up[0] / size, g.up[1] / size), (g.right[0] / along, g.right[1] / along)) if sound else (None, None)
-            shape_of = (g.up, g.right)
-        if not sound or not math.isfinite(g.origin[0]) or not math.isfinite(g.origin[1]):
-            continue
-        if g.stroke:
-            if filled == g.origin:
-                continue
-        else:
-            filled = g.origin
-        missing |= g.text is None
-        text = g.text if g.text is not None else "�"
-        after = None if g.advance is None else (g.origin[0] + g.advance[0], g.origin[1] + g.advance[1])
-        end = after or (g.origin[0] + way[0] * BLIND_ADVANCE * size, g.origin[1] + way[1] * BLIND_ADVANCE * size)
-        joins = space = False
-        if cur is not None:
-            at, lo, hi = (cur["after"], BACK, RUN_GAP) if cur["after"] else (cur["last"], BACK_BLIND, GAP_BLIND)
-            delta = (g.origin[0] - at[0], g.origin[1] - at[1])
-            gap, aside = dot(delta, cur["way"]) / cur["size"], dot(delta, cur["up"]) / cur["size"]
-            joins = abs(size - cur["size"]) <= SIZE_TOLERANCE * cur["size"] and dot(way, cur["way"]) >= SAME_WAY and dot(up, cur["up"]) >= SAME_WAY and abs(aside) <= ASIDE and lo <= gap <= hi
-            space = cur["after"] is not None and gap >= WORD_GAP
-        if joins:
-            if space and not cur["text"][-1:].isspace() and not text[:1].isspace():
-                cur["text"] += " "
-            cur["text"] += text
-            cur |= {"last": g.origin, "after": after, "end": end}
-        else:
-            close()
-            cur = {"text": text, "start": g.origin, "end": end, "size": size, "up": up, "way": way, "after": after, "last": g.origin}
-    close()
-    return runs, missing
+    def __init__(self, glyphs: list[Glyph]):
+        xy = lambda f: np.array([f(g) for g in glyphs], dtype=float).reshape(-1, 2)
+        none = (np.nan, np.nan)
+        at, right, up, adv = xy(lambda g: g.origin), xy(lambda g: g.right), xy(lambda g: g.up), xy(lambda g: g.advance or none)
+        with np.errstate(invalid="ignore", divide="ignore", over="ignore"):
+            size, along = np.hypot(*up.T), np.hypot(*right.T)
+            keep = np.isfinite(at).all(axis=1) & np.isfinite(size) & np.isfinite(along) & (size > 0) & (along > 0)
+        stroke = np.array([g.stroke for g in glyphs], dtype=bool)
+        # the last filled glyph up to each one; -1 where there is none
+        filled = np.maximum.accumulate(np.where(keep & ~stroke, np.arange(len(glyphs)), -1)) if len(glyphs) else np.zeros(0, dtype=int)
+        keep &= ~(stroke & (filled >= 0) & (at == at[filled]).all(axis=1))
+        k = np.flatnonzero(keep)
+        self.texts = [glyphs[i].text for i in k.tolist()]
+        self.at, self.size = at[k], size[k]
+        self.way, self.up = right[k] / along[k, None], up[k] / size[k, None]
+        far = self.at + adv[k]
+        blind = np.isnan(far).any(axis=1)
+        self.far = np.where(blind[:, None], self.at + self.way * (BLIND_ADVANCE * self.size)[:, None], far)
+        self.blind = np.r_[False, blind[:-1]]
+        self.step = self.at - np.vstack([self.at[:1], np.where(blind[:, None], self.at, far)[:-1]])
+
+    def against(self, lo: int, hi: int, style: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of glyphs ``lo .. hi``: which go on with the glyph before in a run that began with ``style``, and which after a space."""
+        size, way, up = self.size[style], self.way[style], self.up[style]
+        gap, aside = self.step[lo:hi] @ way / size, self.step[lo:hi] @ up / size
+        blind = self.blind[lo:hi]
+        alike = (np.abs(self.size[lo:hi] - size) <= SIZE_TOLERANCE * size) & (self.way[lo:hi] @ way >= SAME_WAY) & (self.up[lo:hi] @ up >= SAME_WAY)
+        near = (gap >= np.where(blind, BACK_BLIND, BACK)) & (gap <= np.where(blind, GAP_BLIND, RUN_GAP))
+        return alike & near & (np.abs(aside) <= ASIDE), ~blind & (gap >= WORD_GAP)
+
+
+def run_starts(c: Columns) -> tuple[np.ndarray, np.ndarray]:
+    """Flags of the glyphs that begin a run and of those that a space comes before.
+
+    A run is told by the style of its first glyph. Glyphs of one style in a row are looked at together: first against the
+    run they may go on with, and from where that ends against their own style.
+    """
+    n = len(c.size)
+    begins, spaced = np.zeros(n, dtype=bool), np.zeros(n, dtype=bool)
+    shape = np.column_stack([c.size, c.way, c.up])
+    edges = np.r_[0, 1 + np.flatnonzero((shape[1:] != shape[:-1]).any(axis=1)), n] if n else np.zeros(1, dtype=int)
+    style = None
+    for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist()):
+        if style is not None:
+            goes_on, gap = c.against(lo, hi, style)
+            stop = int(np.argmin(goes_on)) if not goes_on.all() else hi - lo
+            spaced[lo : lo + stop] = gap[:stop]
+            lo += stop
+        if lo < hi:
+            goes_on, gap = c.against(lo, hi, lo)
+            goes_on[0] = False
+            begins[lo:hi], spaced[lo:hi] = ~goes_on, gap & goes_on
+            style = lo + int(np.flatnonzero(~goes_on)[-1])
+    return begins, spaced
+
+
+def fold(glyphs: list[Glyph]) -> tuple[list[Run], bool]:
+    """Glyphs in drawing order to runs, and whether any glyph's text is unknown."""
+    c = Columns(glyphs)
+    begins, spaced = run_starts(c)
+    first = np.flatnonzero(begins)
+    last = np.r_[first[1:], len(begins)] - 1
+    # the line's ascent and descent at both ends
+    size, up = c.size[first, None], c.up[first]
+    corners = np.stack([end + up * k * size for end in (c.at[first], c.far[last]) for k in (ASCENT, ASCENT - 1)]) if len(first) else np.zeros((4, 0, 2))
+    low, extent = corners.min(axis=0).astype(np.float32), np.ptp(corners, axis=0).astype(np.float32)
+    runs = []
+    for k, (a, b) in enumerate(zip(first.tolist(), last.tolist())):
+        text = ""
+        for t, gap in zip(c.texts[a : b + 1], spaced[a : b + 1].tolist()):
+            t = "\ufffd" if t is None else t
+            text += " " + t if gap and not text[-1:].isspace() and not t[:1].isspace() else t
+        if text.strip():
+            runs.append(Run(text, *low[k].tolist(), *extent[k].tolist(), float(np.float32(c.size[a]))))
+    return runs, None in c.texts
 
 
 def annotations(d: Document, page: dict, it: Interpreter, ctm: tuple) -> bool:
@@ -283,7 +312,7 @@ def page_text(d: Document, num: int, number: int, with_annotations: bool = True)
         failed = True
     flood = annotations(d, page, it, m) if with_annotations else False
     runs, missing = fold(it.glyphs)
-    return PageText(number, w, h, missing or it.bad_font or flood or failed, runs)
+    return PageText(number, w, h, missing or it.bad_font or it.too_deep or flood or failed, runs)
 
 
 # --- JSON

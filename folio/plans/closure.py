@@ -5,18 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.pdf import stage
+from ..cos.objects import FolioError
+from ..scratch import stage
 
-MAX_DEPTH = 256
+MAX_DEPTH = 4096
 STRUCTURE = ("Page", "Pages", "Catalog", "StructTreeRoot")
 PRUNED = ("Font", "XObject")
 PRUNE_ABOVE = 6
 
 
-def closure(starts: DataFrame, refs: DataFrame, keys: tuple[str, ...] = ("output", "doc_id"), most: int = MAX_DEPTH) -> DataFrame:
+def closure(starts: DataFrame, refs: DataFrame, keys: tuple[str, ...] = ("output", "doc_id"), most: int = MAX_DEPTH, cut: bool = False) -> DataFrame:
     """All objects reached from ``starts(*keys, obj)`` over ``refs(doc_id, src_obj, dst_obj)``: ``*keys, obj, depth``.
 
-    Only objects first reached in a round are followed in the next, so work is linear in the references reached.
+    Only objects first reached in a round are followed in the next, so work is linear in the references reached. A chain
+    longer than ``most`` is an error, as the closure would not be whole, unless ``cut`` asks for the levels up to there.
     """
     seen = stage(starts.select(*keys, "obj").distinct().withColumn("depth", F.lit(0)), "closure")
     front = seen
@@ -29,6 +31,10 @@ def closure(starts: DataFrame, refs: DataFrame, keys: tuple[str, ...] = ("output
         seen = seen.unionByName(front)
         if k % 16 == 0:
             seen = stage(seen, "closure")
+    else:
+        if cut:
+            return seen
+        raise FolioError("pdf", f"references are nested deeper than {most} levels")
     return seen
 
 

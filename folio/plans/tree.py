@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..scratch import stage
+from . import closure
 
 MAX_DEPTH = 256
 
@@ -18,34 +20,69 @@ def _view(df: DataFrame, name: str) -> str:
     return v
 
 
+def doubled(t: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """Page tree edges of documents whose reachable nodes form a tree; and ``doc_id, obj`` of nodes listed more than once.
+
+    A walk follows every listing of a node, so a few nodes that list their kids twice would make it endless. Listings are
+    counted first. Documents with a node listed twice, or with their root listed, are looked at again with what their root
+    reaches, each node once: a node that only an unused part of the file lists a second time does no harm.
+    """
+    spark = t["documents"].sparkSession
+    roots = t["documents"].where("error is null and pages_root is not null").select("doc_id", "pages_root")
+    edges = t["page_edges"].where("kid is not null").select("doc_id", "parent", "ord", "kid")
+
+    def twice(e: DataFrame) -> DataFrame:
+        again = e.groupBy("doc_id", F.col("kid").alias("obj")).agg(F.count("*").alias("n")).where("n > 1").select("doc_id", "obj")
+        root = roots.select("doc_id", F.col("pages_root").alias("obj"))
+        return again.unionByName(e.select("doc_id", F.col("kid").alias("obj")).join(root, ["doc_id", "obj"], "left_semi")).distinct()
+
+    suspect = stage(twice(edges), "listed")
+    if suspect.isEmpty():
+        return edges, suspect
+    docs = suspect.select("doc_id").distinct()
+    theirs = stage(edges.join(docs, "doc_id", "left_semi"), "edges")
+    starts = roots.join(docs, "doc_id", "left_semi").select("doc_id", F.col("pages_root").alias("obj"))
+    found = closure.closure(starts, theirs.select("doc_id", F.col("parent").alias("src_obj"), F.col("kid").alias("dst_obj")), ("doc_id",), MAX_DEPTH + 2, cut=True)
+    reached = stage(theirs.join(found.select("doc_id", F.col("obj").alias("parent")), ["doc_id", "parent"], "left_semi"), "edges").select(*edges.columns)
+    bad = stage(twice(reached), "listed")
+    good = reached.join(bad, "doc_id", "left_anti").select(*edges.columns)
+    return edges.join(docs, "doc_id", "left_anti").select(*edges.columns).unionByName(good), bad
+
+
 def walk(t: dict[str, DataFrame]) -> DataFrame:
-    """Every visited node: ``doc_id, obj, type, kids_error, path, depth, cycle`` and what it inherits.
+    """Every node once: ``doc_id, obj, path, depth, cycle, media, crop, rotate, kind, type`` with what it inherits.
 
-    Children carry what they have or else what their parent carries, so inheritance needs no second walk. A node
-    already among its own ancestors is marked and not followed. One more level than allowed is kept, to be seen.
+    Children carry what they have or else what their parent carries, so inheritance needs no second walk. Documents whose
+    page tree is none have a row with ``cycle`` for each node that is listed more than once, and no others but their root.
+    One more level than allowed is kept, to be seen. The result is written, as the recursion is not to run again for
+    every use; it is linear in the nodes, so no limit on its rows is needed.
     """
     spark = t["documents"].sparkSession
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
+    sound, bad = doubled(t)
     roots = t["documents"].where("error is null").select("doc_id", "pages_root")
-    docs, nodes, edges = _view(roots, "roots"), _view(t["objects"].where("type in ('Page', 'Pages') or kind <> 'stream'").select("doc_id", "obj", "kind", "type", "media", "crop", "rotate"), "nodes"), _view(t["page_edges"].where("kid is not null"), "edges")
-    return spark.sql(f"""
-        WITH RECURSIVE w(doc_id, obj, path, up, depth, cycle, media, crop, rotate) MAX RECURSION LEVEL {MAX_DEPTH + 2} AS (
-          SELECT r.doc_id, r.pages_root, CAST(array() AS array<int>), CAST(array() AS array<bigint>), 0, false, n.media, n.crop, n.rotate
+    docs, nodes, edges = _view(roots, "roots"), _view(t["objects"].where("type in ('Page', 'Pages') or kind <> 'stream'").select("doc_id", "obj", "kind", "type", "media", "crop", "rotate"), "nodes"), _view(sound, "edges")
+    walked = spark.sql(f"""
+        WITH RECURSIVE w(doc_id, obj, path, depth, media, crop, rotate) MAX RECURSION LEVEL {MAX_DEPTH + 2} AS (
+          SELECT r.doc_id, r.pages_root, CAST(array() AS array<int>), 0, n.media, n.crop, n.rotate
           FROM {docs} r LEFT JOIN {nodes} n ON n.doc_id = r.doc_id AND n.obj = r.pages_root
           UNION ALL
-          SELECT e.doc_id, e.kid, concat(w.path, array(e.ord)), concat(w.up, array(w.obj)), w.depth + 1, array_contains(w.up, e.kid) OR e.kid = w.obj,
-            coalesce(n.media, w.media), coalesce(n.crop, w.crop), coalesce(n.rotate, w.rotate)
+          SELECT e.doc_id, e.kid, concat(w.path, array(e.ord)), w.depth + 1, coalesce(n.media, w.media), coalesce(n.crop, w.crop), coalesce(n.rotate, w.rotate)
           FROM w JOIN {edges} e ON e.doc_id = w.doc_id AND e.parent = w.obj
           LEFT JOIN {nodes} n ON n.doc_id = e.doc_id AND n.obj = e.kid
-          WHERE w.depth <= {MAX_DEPTH} AND NOT w.cycle)
-        SELECT w.*, n.kind, n.type FROM w LEFT JOIN {nodes} n ON n.doc_id = w.doc_id AND n.obj = w.obj
+          WHERE w.depth <= {MAX_DEPTH})
+        SELECT w.doc_id, w.obj, w.path, w.depth, false AS cycle, w.media, w.crop, w.rotate, n.kind, n.type FROM w LEFT JOIN {nodes} n ON n.doc_id = w.doc_id AND n.obj = w.obj
     """)
+    none = [F.lit(None).cast(walked.schema[c].dataType).alias(c) for c in ("path", "depth")]
+    rest = [F.lit(None).cast(walked.schema[c].dataType).alias(c) for c in ("media", "crop", "rotate", "kind", "type")]
+    return stage(walked.unionByName(bad.select("doc_id", "obj", *none, F.lit(True).alias("cycle"), *rest)), "walked")
 
 
 def tree_errors(t: dict[str, DataFrame], walked: DataFrame) -> DataFrame:
     """``doc_id, message`` of documents whose page tree cannot be used; the first in a fixed order of kinds."""
-    seen = walked.groupBy("doc_id", "obj").agg(F.count("*").alias("n"), F.max("depth").alias("depth"), F.bool_or("cycle").alias("cycle"), F.first("kind").alias("kind"), F.first("type").alias("type"))
+    seen = walked.groupBy("doc_id", "obj").agg(F.max("depth").alias("depth"), F.bool_or("cycle").alias("cycle"), F.first("kind", True).alias("kind"), F.first("type", True).alias("type"))
     m = (
-        F.when(F.col("cycle") | (F.col("n") > 1), F.struct(F.lit(1).alias("k"), F.concat(F.lit("page tree cycle detected at object "), F.col("obj")).alias("m")))
+        F.when(F.col("cycle"), F.struct(F.lit(1).alias("k"), F.concat(F.lit("page tree cycle detected at object "), F.col("obj")).alias("m")))
         .when(F.col("depth") > MAX_DEPTH, F.struct(F.lit(2).alias("k"), F.lit("page tree exceeds maximum depth").alias("m")))
         .when(F.col("kind").isNull() | (F.col("kind") != "dictionary"), F.struct(F.lit(3).alias("k"), F.concat(F.lit("page tree node "), F.col("obj"), F.lit(" is not a dictionary")).alias("m")))
         .when(F.col("type").isNull(), F.struct(F.lit(4).alias("k"), F.concat(F.lit("page tree node "), F.col("obj"), F.lit(" has no type")).alias("m")))

@@ -9,8 +9,6 @@ from __future__ import annotations
 
 import json
 import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 from typing import Any
 
@@ -21,6 +19,7 @@ from pyspark.sql import functions as F
 from ..cos import geometry, write
 from ..cos.document import Document, with_repair
 from ..cos.objects import FolioError, Name, Ref, Stream, kind_of, references
+from ..scratch import stage
 from ..workers import ship
 
 RECORD = (
@@ -36,25 +35,9 @@ SCHEMA = pa.schema([(n, _ARROW[t]) for n, t in _FIELDS])
 def session_settings(spark: SparkSession) -> SparkSession:
     """What the queries rely on."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
     return spark
 
 
-def shared_dir(spark: SparkSession) -> str:
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.folio.scratch.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="folio-")
-        spark.conf.set("spark.folio.scratch.dir", found)
-    return found
-
-
-def stage(df: DataFrame, name: str = "t") -> DataFrame:
-    """Write to the shared folder and read back."""
-    path = f"{shared_dir(df.sparkSession)}/folio-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def read_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """``doc_id, path, content`` of files; ``doc_id`` is the path."""
     f = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").option("recursiveFileLookup", "true").load(path)

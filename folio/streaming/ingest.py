@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators import files as ops
 from ..plans import tree
+from ..scratch import scope
 from ..sources import pdf
 
 
@@ -39,10 +40,14 @@ def arrivals(files: DataFrame, width: str = "1 minute", late: str = "10 minutes"
 
 
 def write_geometry(files: DataFrame, target: str, checkpoint: str):
-    """Page sizes of arriving files, appended to a table; returns the running query."""
+    """Page sizes of arriving files in a table by ``epoch``; returns the running query.
+
+    A batch that is run again writes its own epoch's folder anew, so no row is there twice.
+    """
 
     def batch(df: DataFrame, epoch: int) -> None:
-        t = pdf.load(df.select("doc_id", "content"), keep=())
-        tree.page_geometry(tree.pages(t)).withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(target)
+        with scope(df.sparkSession):
+            t = pdf.load(df.select("doc_id", "content"), keep=())
+            tree.page_geometry(tree.pages(t)).write.mode("overwrite").parquet(f"{target}/epoch={epoch}")
 
     return files.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).start()

@@ -353,6 +353,15 @@ def test_tilings():
     red, white = [255, 0, 0], [255, 255, 255]
     img = tiling(99999)
     assert img[390, 10].tolist() == red and img[10, 390].tolist() == white and img[340, 10].tolist() == white
+    a, b = tiling(25), None
+    raster.MAX_CELLS, most = 10, raster.MAX_CELLS
+    try:
+        b = tiling(25)
+    finally:
+        raster.MAX_CELLS = most
+    assert np.abs(a.astype(int) - b).max() <= 1
+    tiny = tiling(0.25)  # 640,000 cells, each larger than the step
+    assert tiny[200, 200].tolist() == red and tiny[390, 10].tolist() == red
     img = tiling(50)
     assert img[390, 110].tolist() == red and img[390, 60].tolist() == white and img[290, 10].tolist() == red
 
