@@ -5,30 +5,34 @@ trigrams, whose log-ratio is averaged over a text) predicts whether the text's l
 the codeword with the least loss, each bit weighed by how well its classifier does on held-back training texts.
 The share of the best codeword among all, by loss, is the score; a text whose two best are close is ambiguous.
 
-Learning uses at most ``TRAIN_ROWS`` labelled texts. A null text, or one without a letter, is ``und`` with
-score 0. Null labels are not learned from; without labels every text is ``und``. Repeated rows are kept; empty
-input gives empty output. Extra columns are not read.
+Learning uses at most ``TRAIN_ROWS`` labelled texts of each language, drawn by a hash of their ids. Trigrams are counted
+and margins taken where the texts are; the driver sees one table of counts a language and a few numbers a text.
+
+A null text, or one without a letter (Unicode category L), is ``und`` with score 0. Null labels are not learned from;
+without labels every text is ``und``. Repeated rows are kept; empty input gives empty output. Extra columns are not
+read.
 """
 
 from __future__ import annotations
 
 import itertools
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import regex
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..workers import ship
-from .common import bounded_sample, fold
+from .common import fold, stage
 
-TRAIN_ROWS = 2000
+#: Texts of a language to learn from, at most.
+TRAIN_ROWS = 500
 BUCKETS = 1 << 14
 AMBIGUOUS = 0.15
 CHUNK = 1 << 19
-LETTER = re.compile(r"[^\W\d_]").search
+LETTER = regex.compile(r"\p{L}").search
 
 
 def codewords(n: int) -> np.ndarray:
@@ -127,48 +131,102 @@ class Codes:
         return langs, scores, close
 
 
+def count(text: str) -> np.ndarray:
+    """How often a text has the trigrams of each bucket."""
+    raw = np.frombuffer(_bytes(text), dtype=np.uint8)
+    n = max(0, len(raw) - 2)
+    return sum((np.bincount(trigrams(raw[k : min(n, k + CHUNK) + 2]), minlength=BUCKETS) for k in range(0, n, CHUNK)), np.zeros(BUCKETS, dtype=np.int64))
+
+
+def coded(names: list[str], counts: np.ndarray) -> Codes:
+    """Classifiers for every bit from ``counts[language, bucket]``; all bits are trusted alike."""
+    words = codewords(len(names))
+    p = counts + 0.2
+    p = p / p.sum(axis=1, keepdims=True)
+    table = np.zeros((BUCKETS, words.shape[1]), dtype=np.float32)
+    for b in range(words.shape[1]):
+        up, down = p[words[:, b] > 0], p[words[:, b] < 0]
+        if len(up) and len(down):
+            table[:, b] = np.log(up.mean(axis=0)) - np.log(down.mean(axis=0))
+    return Codes(names, words, table, np.ones(words.shape[1]), np.ones(words.shape[1]))
+
+
+def trusted(codes: Codes, margins: np.ndarray, y: np.ndarray) -> Codes:
+    """``codes`` with scales and weights of bits from margins of texts that the classifiers had not learned from."""
+    if len(codes.langs) > 1 and len(y):
+        codes.scale = 3.0 / np.maximum(1e-6, np.abs(margins).mean(axis=0))
+        codes.trust = np.maximum(0.02, 2 * ((margins > 0) == (codes.words[y] > 0)).mean(axis=0) - 1)
+    return codes
+
+
+def nothing() -> Codes:
+    return Codes([], np.ones((0, 1)), np.zeros((BUCKETS, 1), dtype=np.float32), np.ones(1), np.ones(1))
+
+
 def learn(texts: list[str], langs: list[str]) -> Codes:
     names = sorted(set(langs))
     if not names:
-        return Codes([], np.ones((0, 1)), np.zeros((BUCKETS, 1), dtype=np.float32), np.ones(1), np.ones(1))
-    words = codewords(len(names))
-    number = {x: i for i, x in enumerate(names)}
-    y = np.array([number[x] for x in langs])
+        return nothing()
+    y = np.array([names.index(x) for x in langs])
     counts = np.zeros((2, len(names), BUCKETS))  # the two halves of the sample
     for k, t in enumerate(texts):
-        counts[k % 2, y[k]] += np.bincount(trigrams(np.frombuffer(_bytes(t), dtype=np.uint8)), minlength=BUCKETS)
-
-    def tables(c: np.ndarray) -> np.ndarray:
-        p = c + 0.2
-        p = np.log(p / p.sum(axis=1, keepdims=True))
-        soft = np.exp(p)
-        out = np.zeros((BUCKETS, words.shape[1]), dtype=np.float32)
-        for b in range(words.shape[1]):
-            up, down = soft[words[:, b] > 0], soft[words[:, b] < 0]
-            if len(up) and len(down):
-                out[:, b] = np.log(up.mean(axis=0)) - np.log(down.mean(axis=0))
-        return out
-
-    full = Codes(names, words, tables(counts.sum(axis=0)), np.ones(words.shape[1]), np.ones(words.shape[1]))
-    if len(names) == 1:
-        return full
-    margins = np.zeros((len(texts), words.shape[1]))
+        counts[k % 2, y[k]] += count(t)
+    margins = np.zeros((len(texts), codewords(len(names)).shape[1]))
     for part in (0, 1):
-        c = Codes(names, words, tables(counts[1 - part]), full.scale, full.trust)
-        idx = [k for k in range(len(texts)) if k % 2 == part]
-        margins[idx] = c.margins([texts[k] for k in idx])
-    truth = words[y]
-    full.scale = 3.0 / np.maximum(1e-6, np.abs(margins).mean(axis=0))
-    right = ((margins > 0) == (truth > 0)).mean(axis=0)
-    full.trust = np.maximum(0.02, 2 * right - 1)
-    return full
+        idx = list(range(part, len(texts), 2))
+        margins[idx] = coded(names, counts[1 - part]).margins([texts[k] for k in idx])
+    return trusted(coded(names, counts.sum(axis=0)), margins, y)
+
+
+def training_rows(docs: DataFrame, bound: int = TRAIN_ROWS) -> DataFrame:
+    """``text, lang, half``: of each language at most ``bound`` labelled texts with a letter whose fold of 3 is not 1."""
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    d = d.where("lang is not null").where(F.col("text").rlike(r"\p{L}")).where(~F.coalesce(fold(F.col("doc_id"), 3) == 1, F.lit(False)))
+    h = F.xxhash64(F.lit("sample"), F.col("doc_id"), F.col("lang"))
+    nth = lambda *order: F.row_number().over(Window.partitionBy("lang").orderBy(*order))
+    slim = d.select("doc_id", "lang").withColumn("nth", nth(h, "doc_id")).where(F.col("nth") <= bound).select(F.col("doc_id").alias("c_id"), F.col("lang").alias("c_lang")).distinct()
+    chosen = F.broadcast(stage(slim, "drawn"))  # ``bound`` rows a language
+    rows = d.join(chosen, d["doc_id"].eqNullSafe(chosen["c_id"]) & (d["lang"] == chosen["c_lang"]), "left_semi")
+    # rows that share an id count one by one
+    rows = rows.withColumn("nth", nth(h, "doc_id", F.xxhash64("text"))).where(F.col("nth") <= bound)
+    return stage(rows.select("text", "lang", (F.col("nth") % 2).cast("int").alias("half")), "training")
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: dict = {}
+    for b in batches:
+        for t, lang, half in zip(b.column("text"), b.column("lang").to_pylist(), b.column("half").to_pylist()):
+            held[lang, half] = held.get((lang, half), 0) + count(t.as_py())
+    for (lang, half), c in held.items():
+        yield pa.RecordBatch.from_pydict({"lang": [lang], "half": pa.array([half], pa.int32()), "counts": [c.astype("<i8").tobytes()]})
+
+
+def _added(table: pa.Table) -> pa.Table:
+    c = sum(np.frombuffer(x, dtype="<i8") for x in table.column("counts").to_pylist())
+    return pa.table({"lang": table.column("lang").slice(0, 1), "half": table.column("half").slice(0, 1), "counts": pa.array([c.tobytes()], pa.binary())})
 
 
 def fit(docs: DataFrame, bound: int = TRAIN_ROWS) -> Codes:
     """Learn from labelled texts whose fold of 3 is not 1."""
-    rows = docs.where("lang is not null and text is not null").where(fold(F.col("doc_id"), 3) != 1).select("doc_id", "text", "lang")
-    got = sorted((r for r in bounded_sample(rows, "doc_id", bound) if has_letter(r.text)), key=lambda r: (r.doc_id is None, r.doc_id))
-    return learn([r.text for r in got], [r.lang for r in got])
+    ship(docs.sparkSession)
+    rows = training_rows(docs, bound)
+    schema = "lang string, half int, counts binary"
+    found = rows.mapInArrow(_counted, schema).groupBy("lang", "half").applyInArrow(_added, schema).collect()
+    names = sorted({r.lang for r in found})
+    if not names:
+        return nothing()
+    counts = np.zeros((2, len(names), BUCKETS))
+    for r in found:
+        counts[r.half, names.index(r.lang)] = np.frombuffer(r.counts, dtype="<i8")
+    others = [coded(names, counts[1 - half]) for half in (0, 1)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            m = [others[half].margins([t.as_py()])[0].tolist() for t, half in zip(b.column("text"), b.column("half").to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column("lang"), pa.array(m, pa.list_(pa.float64()))], names=["lang", "m"])
+
+    got = sorted((r.lang, list(r.m)) for r in rows.mapInArrow(run, "lang string, m array<double>").collect())
+    return trusted(coded(names, counts.sum(axis=0)), np.array([m for _, m in got]), np.array([names.index(x) for x, _ in got]))
 
 
 def predict(docs: DataFrame, codes: Codes) -> DataFrame:
