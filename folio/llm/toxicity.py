@@ -1,18 +1,21 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Two transducers are composed. The first reads words and writes one class letter each: insults of a strong or a
-weak kind, threats, targets (whom one addresses), negations, reported speech, clause ends, anything else. The
-second reads a clause's class letters and recognises patterns: a bare insult, an insult with a target, a threat
-with a target, and the negated and reported forms of these. Every matched clause counts once for its pattern;
-a logistic combination of the counts gives the score.
+A lexical transducer reads words and writes one class letter each: insults of a strong or a weak kind, threats, targets
+(whom one addresses), negations, reported speech, clause ends, anything else. The grammar over the letters of a clause
+is composed of five transducers: *negation* rewrites insults up to ``SCOPE`` words after a negation, *reported speech*
+rewrites insults and threats after its verb, *insult* weighs the insults that are left, *target* pairs them with an
+addressee, *threat* pairs threats with one. Only whole clauses get weights, when they end; words by themselves
+get none. The weights of a text's clauses are added by feature, damped, and a logistic combination of these and of the
+share of clauses with an insult gives the score.
 
 Insults are learned from labelled rows: a word, or the beginning of words, is an insult if labelled-toxic texts
-have it far more often than chance allows. The sample of labelled rows is bounded by ``TRAIN_ROWS``. Threats,
-targets, negations and reporting verbs are listed for four languages.
+have it far more often than chance allows. Words are counted by aggregation over a sample of at most ``TRAIN_ROWS``
+labelled rows; the driver sees the words that pass and a few numbers a row. Threats, targets, negations and reporting
+verbs are listed for four languages.
 
-A null or empty text has no clause and gets the score of a text without matches. Null labels are not learned
-from; without any labelled row of both kinds nothing is an insult but the listed seeds. Repeated rows are kept
-(and learned once); empty input gives empty output. Extra columns are not read.
+Time is linear in a text's length. A null or empty text has no clause and gets the score of a text without matches. Null
+labels are not learned from; without any labelled row of both kinds nothing is an insult but the listed seeds.
+Repeated rows are kept (and learned once); empty input gives empty output. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -24,11 +27,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..workers import ship
 from .common import fold, stage
+from .transducers import Compiled, Transducer
 
 #: Labelled rows used for learning, at most.
 TRAIN_ROWS = 6000
@@ -46,23 +50,41 @@ PREFIXES = (3, 4, 5, 6, 7, 8)
 #: Base-10 logarithm of the chance below which a word is taken for an insult.
 SURE, LIKELY = -9.0, -5.5
 
-#: Clause patterns over class letters: I strong insult, J weak insult, T threat, G target, N negation, R report.
+#: Words after a negation that it reaches.
+SCOPE = 3
+#: What a clause can be weighed for. Letters: I strong insult, J weak insult, T threat, G target, N negation, R report,
+#: o anything else; n and q are negated and reported insults.
 PATTERNS = [
-    ("insult", re.compile(rb"[IJ]")),
-    ("strong", re.compile(rb"I")),
-    ("directed", re.compile(rb"G[^.]*[IJ]|[IJ][^.]*G")),
-    ("repeated", re.compile(rb"[IJ][^.]*[IJ]")),
-    ("threat", re.compile(rb"T[^.]*G|G[^.]*T")),
-    ("negated", re.compile(rb"N.?.?[IJ]")),
-    ("reported", re.compile(rb"R[^.]*[IJ]")),
+    ("insult", "an insult that is neither negated nor reported"),
+    ("strong", "a strong one"),
+    ("repeated", "two or more"),
+    ("directed", "an insult and a target"),
+    ("threat", "a threat and a target"),
+    ("negated", "a negated insult"),
+    ("reported", "a reported insult"),
 ]
-CLAUSE = re.compile(rb"[^.]*[IJT][^.]*")
+LETTERS, REWRITTEN = "IJTGNRo", "IJTGNRonq"
+
+
+def grammar() -> Transducer:
+    """The composition of the five transducers."""
+    negation = Transducer.grown(0, LETTERS, lambda left, a: (SCOPE if a == "N" else max(0, left - 1), "n" if left and a in "IJ" else a), lambda s: ())
+    reported = Transducer.grown(False, LETTERS + "n", lambda said, a: (said or a == "R", "q" if said and a in "IJ" else "o" if said and a == "T" else a), lambda s: ())
+    # how many insults, up to two; whether one is strong; whether one is negated, reported
+    seen = lambda s, a: ((min(2, s[0] + (a in "IJ")), s[1] or a == "I", s[2] or a == "n", s[3] or a == "q"), a)
+    names = lambda s: [n for n, x in zip(("insult", "strong", "repeated", "negated", "reported"), (s[0] > 0, s[1], s[0] > 1, s[2], s[3])) if x]
+    insult = Transducer.grown((0, False, False, False), REWRITTEN, seen, names)
+    pair = lambda of, name: Transducer.grown((False, False), REWRITTEN, lambda s, a: ((s[0] or a in of, s[1] or a == "G"), a), lambda s: (name,) * all(s))
+    return negation.then(reported).then(insult).then(pair("IJ", "directed")).then(pair("T", "threat"))
+
+
+GRAMMAR = Compiled(grammar(), [n for n, _ in PATTERNS])
 
 
 class Lexicon(dict):
     """Word -> class letter; beginnings of words are looked up once per word and remembered."""
 
-    LIMIT = 300_000
+    LIMIT, LONGEST = 300_000, 40
 
     def __init__(self, strong: set[str], weak: set[str], strong_stems: set[str], weak_stems: set[str]):
         super().__init__()
@@ -85,9 +107,10 @@ class Lexicon(dict):
                     break
                 if (s := self.stems.get(word[:n])) is not None:
                     c = s if c != ord("I") else c
-        if len(self) > self.LIMIT:
-            self.clear()
-        self[word] = c
+        if len(word) <= self.LONGEST:
+            if len(self) > self.LIMIT:
+                self.clear()
+            self[word] = c
         return c
 
     def classes(self, text: str) -> bytes:
@@ -95,14 +118,16 @@ class Lexicon(dict):
 
 
 def features(classes: bytes) -> np.ndarray:
-    """Of each pattern how many clauses match, damped; last, matches for each root of the text's length."""
-    counts = np.zeros(len(PATTERNS) + 1)
-    if any(x in classes for x in b"IJT"):
-        for clause in CLAUSE.findall(classes):
-            for k, (_, p) in enumerate(PATTERNS):
-                counts[k] += p.search(clause) is not None
-        counts[-1] = 10 * (classes.count(b"I") + classes.count(b"J")) / math.sqrt(len(classes) + 25)
-    return np.log1p(counts)
+    """The weights of all clauses by feature, damped; last, the share of clauses with an insult, more for more of them."""
+    total, hits, n = np.zeros(len(PATTERNS)), 0, 0
+    if b"I" in classes or b"J" in classes or b"T" in classes:
+        for clause in classes.split(b"."):
+            n += clause != b""
+            if b"I" in clause or b"J" in clause or b"T" in clause:
+                w = GRAMMAR.weigh(clause)
+                total += w
+                hits += w[0] > 0
+    return np.log1p(np.r_[total, 10 * hits / math.sqrt(n + 4)])
 
 
 def _chance(k: int, n: int, rate: float) -> float:
@@ -114,31 +139,37 @@ def _chance(k: int, n: int, rate: float) -> float:
     return -n * d / math.log(10)
 
 
-def learn_lexicon(texts: list[str], toxic: list[int]) -> Lexicon:
-    """Insults and their beginnings from labelled texts."""
-    word_tox, word_all, stem_tox, stem_all = Counter(), Counter(), Counter(), Counter()
+def vocabulary(text: str) -> tuple[set[str], set[str]]:
+    """The words of a text and their beginnings."""
+    w = {x for x in TOKEN.findall(text.lower()) if x not in END and len(x) <= Lexicon.LONGEST}
+    return w, {x[:n] for x in w for n in PREFIXES if n <= len(x)}
+
+
+def counted(texts: list[str], toxic: list[int]) -> dict[tuple[str, bool], list[int]]:
+    """(word, whether it is a beginning) -> in how many texts, and in how many toxic ones."""
+    out: dict[tuple[str, bool], list[int]] = {}
     for t, y in zip(texts, toxic):
-        w = {x for x in TOKEN.findall(t.lower()) if x not in END}
-        s = {x[:n] for x in w for n in PREFIXES if n <= len(x)}
-        word_all.update(w)
-        stem_all.update(s)
-        if y:
-            word_tox.update(w)
-            stem_tox.update(s)
-    rate = min(max(sum(toxic) / max(1, len(toxic)), 1e-4), 0.5)
-
-    def pick(tox: Counter, every: Counter) -> dict[str, tuple[float, float]]:
-        out = {}
-        for x, k in tox.items():
-            n = every[x]
-            if k >= 4 and k >= (0.6 + 0.4 * rate) * n and (p := _chance(k, n, rate)) < LIKELY:
-                out[x] = (p, k / n)
-        return out
-
-    words, stems = pick(word_tox, word_all), pick(stem_tox, stem_all)
+        for group, stem in zip(vocabulary(t), (False, True)):
+            for x in group:
+                c = out.setdefault((x, stem), [0, 0])
+                c[0] += 1
+                c[1] += y
+    return out
+
+
+def base_rate(n: int, toxic: int) -> float:
+    return min(max(toxic / max(1, n), 1e-4), 0.5)
+
+
+def lexicon_of(counts: dict[tuple[str, bool], list[int]], rate: float) -> Lexicon:
+    """Insults and their beginnings, from counts."""
+    words, stems = {}, {}
+    for (x, stem), (n, k) in counts.items():
+        if k >= 4 and k >= (0.6 + 0.4 * rate) * n and (p := _chance(k, n, rate)) < LIKELY:
+            (stems if stem else words)[x] = (p, k / n)
     # a stem says more than a word it begins, and a shorter stem more than a longer, if nearly as pure
     kept: dict[str, tuple[float, float]] = {}
-    for s in sorted(stems, key=len):
+    for s in sorted(stems, key=lambda s: (len(s), s)):
         p, pure = stems[s]
         if not any(kept[s[:n]][1] >= pure - 0.03 for n in range(min(PREFIXES), len(s)) if s[:n] in kept):
             kept[s] = (p, pure)
@@ -147,6 +178,10 @@ def learn_lexicon(texts: list[str], toxic: list[int]) -> Lexicon:
     return Lexicon(strong, set(words) - strong | set(SEEDS) - strong, {s for s, x in kept.items() if strength(*x)}, {s for s, x in kept.items() if not strength(*x)})
 
 
+def learn_lexicon(texts: list[str], toxic: list[int]) -> Lexicon:
+    return lexicon_of(counted(texts, toxic), base_rate(len(toxic), sum(toxic)))
+
+
 def fit_weights(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     """Logistic regression by Newton steps; the last weight is the constant."""
     a = np.hstack([x, np.ones((len(x), 1))])
@@ -164,7 +199,7 @@ def fit_weights(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
 
 
 class Grammar:
-    """The composed transducers with their weights."""
+    """The lexicon, and what each feature of the composed grammar is worth."""
 
     def __init__(self, lexicon: Lexicon, weights: np.ndarray):
         self.lexicon, self.weights = lexicon, weights
@@ -175,13 +210,15 @@ class Grammar:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
+def weighed(lexicon: Lexicon, x: np.ndarray, y: np.ndarray) -> Grammar:
+    if not len(y) or y.min() == y.max():
+        return Grammar(lexicon, np.r_[np.full(len(PATTERNS) + 1, 1.0), -2.0])
+    return Grammar(lexicon, fit_weights(x, y))
+
+
 def learn(texts: list[str], toxic: list[int]) -> Grammar:
     """Words are learned from one half and weighed on the other, and the other way round, so that the weights
     know how learned words do on texts they were not learned from."""
-    lexicon = learn_lexicon(texts, toxic)
-    y = np.array(toxic, dtype=float)
-    if not len(y) or y.min() == y.max():
-        return Grammar(lexicon, np.r_[np.full(len(PATTERNS) + 1, 1.0), -2.0])
     half = np.arange(len(texts)) % 2
     x = np.zeros((len(texts), len(PATTERNS) + 1))
     for part in (0, 1):
@@ -189,28 +226,77 @@ def learn(texts: list[str], toxic: list[int]) -> Grammar:
         lex = learn_lexicon([texts[i] for i in other], [toxic[i] for i in other])
         for i in np.flatnonzero(half == part):
             x[i] = features(lex.classes(texts[i]))
-    return Grammar(lexicon, fit_weights(x, y))
+    return weighed(learn_lexicon(texts, toxic), x, np.array(toxic, dtype=float))
+
 
+def training_rows(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_ROWS) -> DataFrame:
+    """``text, toxic, half``: at most ``bound`` labelled rows whose fold of 5 is not 0, each text once.
 
-def training_rows(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_ROWS) -> tuple[list[str], list[int]]:
-    """A bounded sample of labelled texts whose fold of 5 is not 0, without repeated texts."""
+    Rows are drawn by a hash of their ids, then by their texts', so the draw is the same in every run; the two halves are
+    of alternating rows in the order of ids.
+    """
     l = labels.where("toxic is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     l = stage(l.where(fold(F.col("doc_id"), 5) != 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "labels")
+    h = F.xxhash64(F.lit("sample"), F.col("doc_id"))
     n = l.count()
     if n > bound:
         cut = int(bound / n * 1.05 * (1 << 30)) + 1
-        h = F.xxhash64(F.lit("sample"), F.col("doc_id"))
         l = l.where(F.pmod(h, F.lit(1 << 30)) < cut).orderBy(h, "doc_id").limit(bound)
     chosen = F.broadcast(l)  # at most ``bound`` rows
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").join(chosen, "doc_id").limit(2 * bound).collect()
-    seen = {}
-    for r in sorted(rows, key=lambda r: r.doc_id):
-        seen.setdefault(r.text, r.toxic)
-    return list(seen), list(seen.values())
+    of_text = [F.xxhash64(F.lit(k), F.col("text")).alias(f"h{k}") for k in (1, 2)]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null").join(chosen, "doc_id").select("*", *of_text)
+    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("h1", "h2").orderBy("doc_id"))).where("nth = 1")
+    # ids may repeat: the bound holds for rows as well
+    rows = stage(rows.orderBy(h, "doc_id", "h1").limit(bound), "drawn")
+    order = Window.orderBy("doc_id", "h1")  # at most ``bound`` rows
+    halves = F.broadcast(rows.select("doc_id", "h1", "h2").withColumn("half", (F.row_number().over(order) - 1) % 2))
+    return stage(rows.join(halves, ["doc_id", "h1", "h2"]).select("text", "toxic", "half"), "training")
+
+
+def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for at in range(0, b.num_rows, 64):
+            c = b.slice(at, 64).to_pydict()
+            out: Counter = Counter()
+            for t, y, half in zip(c["text"], c["toxic"], c["half"]):
+                for group, stem in zip(vocabulary(t), (False, True)):
+                    out.update((x, stem, half, y) for x in group)
+            cols = list(zip(*out)) if out else [(), (), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.bool_()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int32()), pa.array(list(out.values()), pa.int64())], names=["word", "stem", "half", "toxic", "n"])
+
+
+def lexicons(rows: DataFrame) -> tuple[Lexicon, Lexicon, Lexicon]:
+    """From half 0, half 1 and all of ``rows(text, toxic, half)``: words counted on executors, candidates picked there."""
+    size = {(r.half, r.toxic): r["count"] for r in rows.groupBy("half", "toxic").count().collect()}
+    counts = rows.mapInArrow(_count_batches, "word string, stem boolean, half int, toxic int, n long").groupBy("word", "stem")
+    of = lambda cond: F.sum(F.when(cond, F.col("n")).otherwise(0))
+    cells = [(half, y) for half in (0, 1) for y in (0, 1)]
+    table = counts.agg(*[of((F.col("half") == half) & (F.col("toxic") == y)).alias(f"n{half}{y}") for half, y in cells])
+
+    def could(n: Column, k: Column) -> Column:
+        return (k >= 4) & (k >= 0.6 * n)
+
+    table = table.where(could(F.col("n00") + F.col("n01"), F.col("n01")) | could(F.col("n10") + F.col("n11"), F.col("n11")) | could(sum((F.col(f"n{h}{y}") for h, y in cells), F.lit(0)), F.col("n01") + F.col("n11")))
+    got = table.collect()
+    out = []
+    for halves in ((0,), (1,), (0, 1)):
+        n, k = sum(size.get((h, y), 0) for h in halves for y in (0, 1)), sum(size.get((h, 1), 0) for h in halves)
+        out.append(lexicon_of({(r.word, r.stem): [sum(r[f"n{h}{y}"] for h in halves for y in (0, 1)), sum(r[f"n{h}1"] for h in halves)] for r in got}, base_rate(n, k)))
+    return tuple(out)
 
 
 def fit(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_ROWS) -> Grammar:
-    return learn(*training_rows(docs, labels, bound))
+    ship(docs.sparkSession)
+    rows = training_rows(docs, labels, bound)
+    zero, one, every = lexicons(rows)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = [features((zero, one)[1 - half].classes(t)).tolist() for t, half in zip(b.column("text").to_pylist(), b.column("half").to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.array(x, pa.list_(pa.float64()))], names=["toxic", "x"])
+
+    got = sorted((list(r.x), r.toxic) for r in rows.mapInArrow(run, "toxic int, x array<double>").collect())
+    return weighed(every, np.array([x for x, _ in got]).reshape(len(got), len(PATTERNS) + 1), np.array([y for _, y in got], dtype=float))
 
 
 def score(docs: DataFrame, grammar: Grammar) -> DataFrame:
