@@ -24,6 +24,9 @@ SHINGLE = 5
 #: Documents of a chunk, on average, when documents are put in order.
 CHUNK = 1024
 PAIR = 0x0000000100000001
+#: Documents whose id is divisible by this are looked up among all; the radius of the search in bits.
+EVERY = 100
+RADIUS = 3
 
 
 def terms(text: Column, shingle: int = SHINGLE) -> Column:
@@ -107,7 +110,8 @@ def with_next(docs: DataFrame, chunk: int = CHUNK) -> tuple[DataFrame, int]:
 def edited_report(docs: DataFrame) -> DataFrame:
     """Fingerprints of every text and of its edited text, with their likeness.
 
-    ``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next``.
+    ``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n_near``; ``n_near`` is how
+    many other documents the search finds within its radius of those whose id is divisible by ``EVERY``, else null.
     """
     d, n = with_next(docs)
     size = F.char_length("text")
@@ -123,12 +127,15 @@ def edited_report(docs: DataFrame) -> DataFrame:
     own = f.where("tag = 0").select("rank", *extra, F.col("fp").alias("a"))
     changed = f.where("tag = 1").select("rank", F.col("fp").alias("b"))
     following = f.where("tag = 0").select(F.pmod(F.col("rank") - 1, F.lit(max(n, 1))).alias("rank"), F.col("fp").alias("c"))
-    j = own.join(changed, "rank").join(following, "rank")
+    asked = (F.col("doc_id") % EVERY == 0) & F.col("doc_id").isNotNull()
+    near = neighbours(own.where(asked).select(F.col("a").alias("fp")), own.select(F.col("a").alias("fp")))
+    j = own.join(changed, "rank").join(following, "rank").join(near.select(F.col("fp").alias("a"), "n"), "a", "left")
     hexed = lambda c: F.lpad(F.lower(F.hex(c)), 16, "0")
     return j.select(
         "doc_id", "n_chars", F.concat(*[hexed(f"q{i}") for i in range(4)]).alias("edited_sha256"),
         hexed("a").alias("fingerprint"), hexed("b").alias("edited_fingerprint"),
         likeness(F.col("a"), F.col("b")).alias("near_edited"), likeness(F.col("a"), F.col("c")).alias("near_next"),
+        F.when(asked, F.coalesce("n", F.lit(1)) - 1).cast("long").alias("n_near"),
     )
 
 
@@ -143,7 +150,14 @@ def tables(radius: int) -> list[int]:
     return [_signed(a | b | c) for a, b, c in itertools.combinations(masks, 3)]
 
 
-def search(queries: DataFrame, index: DataFrame, radius: int = 3) -> DataFrame:
+def neighbours(queries: DataFrame, index: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """``fp, n``: how many rows of ``index(fp)`` are within ``radius`` of each fingerprint of ``queries(fp)``."""
+    rows = stage(index.groupBy("fp").agg(F.count("*").alias("n")), "index")
+    found = search(queries, rows, radius).join(rows, "fp")
+    return found.groupBy(F.col("q_fp").alias("fp")).agg(F.sum("n").alias("n"))
+
+
+def search(queries: DataFrame, index: DataFrame, radius: int = RADIUS) -> DataFrame:
     """``q_fp, fp, distance`` of all distinct fingerprints of ``index(fp)`` within ``radius`` of those of ``queries(fp)``.
 
     A pair may meet in several tables; it is kept in the first one only, so no pair has to be remembered.
