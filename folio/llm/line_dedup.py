@@ -11,7 +11,7 @@ Everything is DataFrame code; what is gathered per line is a sketch, per documen
 Blank lines are never removed. A null text stays null and has no lines; a null source is no site. A document is
 known by its id and the hash of its text, so rows without an id, or that share one, lose only their own lines; rows
 alike in both are treated as one document. Rows without an id come last. Empty input gives empty output.
-Extra columns pass through :func:`remove_boilerplate` and are not read otherwise.
+Extra columns, whatever their names, pass through :func:`remove_boilerplate` and are not read otherwise.
 """
 
 from __future__ import annotations
@@ -52,7 +52,7 @@ def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES, band: float = BAND
 
 
 def removals(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
-    """``r_id, r_hash, gone``: of each document that loses lines, their positions."""
+    """``_folio_id, _folio_hash, _folio_gone``: of each document that loses lines, their positions."""
     lines = stage(line_hashes(docs), "lines")
     found = stage(boilerplate(lines, min_sites), "boilerplate")
     hits = lines.join(found, ["h1", "h2"])
@@ -61,11 +61,11 @@ def removals(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     first = hits.where(F.col("doc_id").eqNullSafe(F.col("first_doc"))).groupBy("h1", "h2").agg(F.min(place).alias("first_place"))
     hits = hits.join(first, ["h1", "h2"], "left")
     stays = F.col("doc_id").eqNullSafe(F.col("first_doc")) & place.eqNullSafe(F.col("first_place"))
-    return hits.where(~stays).groupBy(F.col("doc_id").alias("r_id"), F.col("text_hash").alias("r_hash")).agg(F.collect_set("pos").alias("gone"))
+    return hits.where(~stays).groupBy(F.col("doc_id").alias("_folio_id"), F.col("text_hash").alias("_folio_hash")).agg(F.collect_set("pos").alias("_folio_gone"))
 
 
 def _with_gone(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["r_id"]) & (F.xxhash64(docs["text"]) == gone["r_hash"]), "left")
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_folio_id"]) & (F.xxhash64(docs["text"]) == gone["_folio_hash"]), "left")
 
 
 def _without(text: Column, gone: Column) -> Column:
@@ -80,7 +80,7 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame
     """``docs`` with boilerplate lines removed from ``text`` and ``n_chars`` counted anew where it exists."""
     gone = removals(docs, min_sites)
     out = _with_gone(docs, gone)
-    text = _without(F.col("text"), F.col("gone"))
+    text = _without(F.col("text"), F.col("_folio_gone"))
     cols = [text.alias(c) if c == "text" else F.char_length(text).cast("long").alias(c) if c == "n_chars" else docs[c] for c in docs.columns]
     return out.select(*cols)
 
@@ -91,4 +91,4 @@ def report(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     gone = removals(d, min_sites)
     out = _with_gone(d, gone)
     n = (F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"), F.lit(""))) + 1).cast("long")
-    return out.select("doc_id", n.alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"), F.sha2(_without(F.col("text"), F.col("gone")), 256).alias("kept_sha256"))
+    return out.select("doc_id", n.alias("n_lines"), F.coalesce(F.size("_folio_gone"), F.lit(0)).cast("long").alias("n_removed"), F.sha2(_without(F.col("text"), F.col("_folio_gone")), 256).alias("kept_sha256"))

@@ -13,13 +13,14 @@ shard's work stays bounded; near-copies differ in some bit and so spread over th
 Nulls: a null text counts as empty and has fingerprint zero. A null id takes no part in the choice of a
 component's id unless all its ids are null. Fingerprints, not ids, are linked, so rows without an id or with a
 shared one are never joined by it. Repeated rows are kept by :func:`classes`. Empty input gives empty output.
-Extra columns are not read by :func:`fingerprints` and pass through :func:`keep_one`.
+Extra columns, whatever their names, are not read by :func:`fingerprints` and pass through :func:`keep_one`.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -103,8 +104,9 @@ def shard_of(fp: np.ndarray, lanes: int) -> np.ndarray:
     return out
 
 
+@cache
 def ball_flips(lanes: int, half: int = HALF) -> dict[int, np.ndarray]:
-    """The flips of at most ``half`` bits, by what they do to a shard's number."""
+    """The flips of at most ``half`` bits, by what they do to a shard's number; made once in a worker."""
     width = 64 // lanes
     by: dict[int, list[int]] = {0: [0]}
     frontier = [(0, -1, 0)]
@@ -244,13 +246,15 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, half: int = HALF) -> DataF
 
     A row is known by its id and text, so rows without an id, or that share one, are judged by their texts alone.
     """
-    of_text = [F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), F.col("text")).alias("h2")]
+    of_text = [F.xxhash64("text").alias("_folio_h1"), F.xxhash64(F.lit(1), F.col("text")).alias("_folio_h2")]
     fps = stage(fingerprints(docs, shingle, of_text), "fp")
-    order = [F.col("doc_id").asc_nulls_last(), "h1", "h2"]
-    first = lambda df, key: df.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("_n = 1").drop("_n")
-    best = first(fps, "fp")
-    best = first(best.join(_rooted(fps, half), F.col("fp") == F.col("l_fp")), "root").select(F.col("doc_id").alias("k_id"), F.col("h1").alias("k_h1"), F.col("h2").alias("k_h2"))
-    of_row = docs.select("*", of_text[0].alias("_h1"), of_text[1].alias("_h2"))
-    kept = of_row.join(best, of_row["doc_id"].eqNullSafe(best["k_id"]) & (of_row["_h1"] == best["k_h1"]) & (of_row["_h2"] == best["k_h2"]), "left_semi")
-    one = Window.partitionBy("doc_id", "_h1", "_h2").orderBy("_h1", *[F.col(c) for c in docs.columns if c not in ("doc_id", "text")])
-    return kept.withColumn("_n", F.row_number().over(one)).where("_n = 1").select(*docs.columns)
+    order = [F.col("doc_id").asc_nulls_last(), "_folio_h1", "_folio_h2"]
+    nth = lambda key: F.row_number().over(Window.partitionBy(key).orderBy(*order))
+    best = fps.withColumn("nth", nth("fp")).where("nth = 1")
+    best = best.join(_rooted(fps, half), F.col("fp") == F.col("l_fp")).withColumn("nth", nth("root")).where("nth = 1")
+    best = best.select(F.col("doc_id").alias("_folio_id"), F.col("_folio_h1").alias("_folio_k1"), F.col("_folio_h2").alias("_folio_k2"))
+    of_row = docs.select("*", *of_text)
+    kept = of_row.join(best, F.col("doc_id").eqNullSafe(F.col("_folio_id")) & (F.col("_folio_h1") == F.col("_folio_k1")) & (F.col("_folio_h2") == F.col("_folio_k2")), "left_semi")
+    # rows alike in id and text: one of them, by the other columns
+    one = Window.partitionBy("doc_id", "_folio_h1", "_folio_h2").orderBy("_folio_h1", *[F.col(c) for c in docs.columns if c not in ("doc_id", "text")])
+    return kept.withColumn("_folio_n", F.row_number().over(one)).where("_folio_n = 1").select(*docs.columns)
