@@ -2,56 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+from ..scratch import stage
+
 #: A word: a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder every node can read: ``spark.checkpoint.dir``, or one of our own where it is unset."""
-    sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.conf.get("spark.folio.scratch.dir", None)
-        if not found:
-            found = "file://" + tempfile.mkdtemp(prefix="folio-")
-            spark.conf.set("spark.folio.scratch.dir", found)
-    return found
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # the session may be gone by now
-        pass
-
-
-def stage(df: DataFrame, name: str = "t") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: a cut in the lineage that outlives any executor.
-
-    Once it is written, the shuffle files that it took are of no more use and go.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/folio-{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def words(text: Column) -> Column:
     """The words of ``text``; null counts as empty."""
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
@@ -71,11 +30,16 @@ def fold(doc_id: Column, modulus: int) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(modulus))
 
 
-def bounded_sample(df: DataFrame, key: str, bound: int) -> list:
-    """At most ``bound`` rows, picked by a hash of ``key``; fewer than twice the bound ever leave the executors."""
-    n = df.count()
-    if n > bound:
-        cut = int(bound / n * 1.02 * (1 << 30)) + 1
-        df = df.where(F.pmod(F.xxhash64(F.lit("sample"), F.col(key)), F.lit(1 << 30)) < cut)
-    # ties and the last few rows over the bound fall by the same order in every run
-    return df.orderBy(F.xxhash64(F.lit("sample"), F.col(key)), F.col(key)).limit(bound).collect()
+def running(df: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """``df`` with a running total, its own row included, of each of ``sums`` in the given order.
+
+    Rows are dealt by ranges of the order, summed inside each range, and the ranges' totals are added up; so no task
+    sees more than a range, and the driver sees nothing.
+    """
+    d = stage(df.repartitionByRange(*order).withColumn("_folio_range", F.spark_partition_id()), "ordered")
+    inside = Window.partitionBy("_folio_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.orderBy("_folio_range").rowsBetween(Window.unboundedPreceding, -1)  # as many rows as ranges
+    totals = d.groupBy("_folio_range").agg(*[F.sum(c).alias(f"_folio_{n}") for n, c in sums.items()])
+    base = totals.select("_folio_range", *[F.coalesce(F.sum(f"_folio_{n}").over(before), F.lit(0)).alias(f"_folio_{n}") for n in sums])
+    out = d.join(F.broadcast(base), "_folio_range")
+    return out.select(*df.columns, *[(F.col(f"_folio_{n}") + F.sum(c).over(inside)).alias(n) for n, c in sums.items()])

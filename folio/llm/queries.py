@@ -16,7 +16,7 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = mixing.mix(documents(spark, sf_dir))
+    m = mixing.mix(documents(spark, sf_dir), exact=True)
     return m.select("doc_id", "size", "source_size", "target", "taken")
 
 
@@ -90,33 +90,26 @@ running AS (
 capping AS (SELECT *, (total - 3 * s0) * weight >= 3 * source_size * (all_w - w0) AS capped FROM running),
 targets AS (
   SELECT source, src, source_size, total, CASE WHEN capped THEN (3 * source_size)::DOUBLE ELSE
-      (weight * (total - 3 * coalesce(sum(source_size) FILTER (WHERE capped) OVER (), 0)))::DOUBLE
-      / (all_w - coalesce(sum(weight) FILTER (WHERE capped) OVER (), 0))::DOUBLE END AS target,
-    greatest(16, ceil(total::DOUBLE / 1048576.0))::BIGINT AS block
+      weight::DOUBLE * (total - 3 * coalesce(sum(source_size) FILTER (WHERE capped) OVER (), 0))::DOUBLE
+      / (all_w - coalesce(sum(weight) FILTER (WHERE capped) OVER (), 0))::DOUBLE END AS target
   FROM capping),
-quotas AS (SELECT *, floor(target)::BIGINT AS quota, ceil(source_size::DOUBLE / block::DOUBLE)::BIGINT AS blocks FROM targets),
-summed AS (SELECT *, (sum(quota) OVER (ORDER BY src ROWS UNBOUNDED PRECEDING))::BIGINT AS cum, (sum(quota) OVER ())::BIGINT AS quota_sum FROM quotas),
+quotas AS (SELECT *, floor(target)::BIGINT AS quota FROM targets),
+cut AS (SELECT *, least(greatest(16, ceil(total::DOUBLE / 1048576.0))::BIGINT, greatest(1, quota // 64)) AS block FROM quotas),
+blocked AS (SELECT *, ceil(quota::DOUBLE / block::DOUBLE)::BIGINT AS blocks FROM cut),
+summed AS (SELECT *, (sum(blocks) OVER (ORDER BY src ROWS UNBOUNDED PRECEDING))::BIGINT AS cum, (sum(blocks) OVER ())::BIGINT AS all_blocks FROM blocked),
 plan AS (
-  SELECT *, floor((cum - quota)::DOUBLE * 2147483648.0 / quota_sum::DOUBLE)::BIGINT AS lo,
-    floor(cum::DOUBLE * 2147483648.0 / quota_sum::DOUBLE)::BIGINT AS hi FROM summed WHERE quota_sum > 0),
+  SELECT *, floor((cum - blocks)::DOUBLE * 2147483648.0 / all_blocks::DOUBLE)::BIGINT AS lo,
+    floor(cum::DOUBLE * 2147483648.0 / all_blocks::DOUBLE)::BIGINT AS hi FROM summed WHERE all_blocks > 0),
 slots AS (
-  SELECT i AS slot, ((i % 2147483648) * 1327217885) % 2147483648 AS point
-  FROM (SELECT unnest(range((SELECT ceil(max(total)::DOUBLE / max(block)::DOUBLE)::BIGINT FROM plan))) AS i)),
-ranked AS (
-  SELECT p.src, p.blocks, row_number() OVER (PARTITION BY p.src ORDER BY s.slot) - 1 AS rank
-  FROM slots s JOIN plan p ON s.point >= p.lo AND s.point < p.hi WHERE p.blocks > 0),
-times AS (SELECT src, rank % blocks AS block_no, count(*) AS times FROM ranked WHERE rank // blocks < 3 GROUP BY ALL),
+  SELECT i AS slot, ((i % 2147483648) * 1327217885) % 2147483648 AS point FROM (SELECT unnest(range((SELECT 3 * max(all_blocks) FROM plan))) AS i)),
+held AS (SELECT p.src, count(*) AS n FROM slots s JOIN plan p ON s.point >= p.lo AND s.point < p.hi GROUP BY p.src),
+got AS (SELECT s.source, s.source_size, s.target, s.src, least(s.quota, least(s.blocks, coalesce(h.n, 0)) * s.block) AS got FROM summed s LEFT JOIN held h ON h.src = s.src),
 placed AS (
-  SELECT d.doc_id, d.size, p.source_size, p.target, p.src, p.block,
-    sum(d.size) OVER (PARTITION BY p.src ORDER BY md5(d.doc_id::VARCHAR), d.doc_id, d.size ROWS UNBOUNDED PRECEDING)::BIGINT - d.size AS start
-  FROM sized d JOIN targets p ON d.source IS NOT DISTINCT FROM p.source),
-pieces AS (
-  SELECT p.*, unnest(range(start // block, greatest(start, start + size - 1) // block + 1)) AS block_no FROM placed p)
+  SELECT d.doc_id, d.size, g.*, sum(d.size) OVER (PARTITION BY g.src ORDER BY md5(d.doc_id::VARCHAR), d.doc_id, d.size ROWS UNBOUNDED PRECEDING)::BIGINT - d.size AS start
+  FROM sized d JOIN got g ON d.source IS NOT DISTINCT FROM g.source)
 SELECT doc_id, size, source_size, target,
-  sum(greatest(0, least(start + size, (q.block_no + 1) * block) - greatest(start, q.block_no * block)) * coalesce(times, 0))::BIGINT AS taken
-FROM pieces q
-LEFT JOIN times t ON t.src = q.src AND t.block_no = q.block_no
-GROUP BY doc_id, size, source_size, target
+  (greatest(0, least(size, got - start)) + greatest(0, least(size, got - source_size - start)) + greatest(0, least(size, got - 2 * source_size - start)))::BIGINT AS taken
+FROM placed
 """
 
 ORACLES["op7_repeated_bytes"] = """
@@ -143,10 +136,22 @@ FROM d LEFT JOIN cut c ON c.doc_id = d.doc_id
 
 
 def _quality_sql() -> str:
-    """The fixed rules and every concentration step, written out."""
+    """The fixed rules, the three starts and every concentration step, written out. A step past the last that changes anything changes nothing."""
     q, dims = quality_rules, range(quality_rules.DIMS)
+    lower = [(i, j) for i in dims for j in range(i + 1)]
     xs = ", ".join(f"x{i}" for i in dims)
     floor = [(1000 * f) ** 2 for f in q.FLOORS]
+
+    def chol(cov: dict) -> str:
+        out = []
+        for i, j in lower:
+            less = "".join(f" - l{i}{x} * l{j}{x}" for x in range(j))
+            out.append(f"sqrt(greatest(greatest(0, {cov[i, j]}) + {floor[i]}{less}, {floor[i] * 0.01})) AS l{i}{i}" if i == j else f"({cov[i, j]}{less}) / l{j}{j} AS l{i}{j}")
+        return ", ".join(out)
+
+    means, factors = ", ".join(f"m{i}" for i in dims), ", ".join(f"l{i}{j}" for i, j in lower)
+    spread = {(i, j): f"(p{i}{j} - m{i} * m{j})" for i, j in lower}
+    sums = ", ".join([f"sum(x{i}) / count(*) AS m{i}" for i in dims] + [f"sum(x{i} * x{j}) / count(*) AS p{i}{j}" for i, j in lower])
     ctes = [
         "d AS (SELECT doc_id, lang, source, coalesce(text, '') AS t FROM documents)",
         "wd AS (SELECT *, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM d)",
@@ -155,14 +160,24 @@ def _quality_sql() -> str:
         "gaps AS (SELECT doc_id, lead(i) OVER (PARTITION BY doc_id ORDER BY i) - i AS gap FROM rep)",
         "cover AS (SELECT doc_id, sum(least(5, coalesce(gap, 5)))::BIGINT AS r FROM gaps GROUP BY doc_id)",
         "base AS (SELECT wd.doc_id, lang, source, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(r, 0) AS n_repeat_words FROM wd LEFT JOIN cover USING (doc_id))",
-        f"stats AS (SELECT *, n_words < {q.LEAST_WORDS} OR 100 * n_repeat_words > {q.MOST_REPEATED} * n_words AS base_failed FROM base)",
-        "by_group AS (SELECT lang AS g_lang, source AS g_source, count(*) FILTER (WHERE NOT base_failed) AS n FROM stats GROUP BY ALL)",
-        f"grouped AS (SELECT g_lang, g_source, CASE WHEN n >= {q.LEAST_ROWS} THEN coalesce('=' || g_lang, '-') || chr(31) || coalesce('=' || g_source, '-') WHEN sum(n) OVER (PARTITION BY g_lang) >= {q.LEAST_ROWS} THEN coalesce('=' || g_lang, '-') ELSE 'all' END AS grp FROM by_group)",
-        """v AS (SELECT s.*, grp, n_words + 10.0::DOUBLE AS n, round(ln(1 + n_words::DOUBLE) * 1000) AS x0, round(ln((word_chars + 50) / n) * 1000) AS x1, round(ln(1 + 10 * n_symbols / n) * 1000) AS x2,
-          round(ln(1 + 10 * n_dup_lines / n) * 1000) AS x3, round(n_repeat_words / n * 1000) AS x4 FROM stats s JOIN grouped g ON s.lang IS NOT DISTINCT FROM g_lang AND s.source IS NOT DISTINCT FROM g_source)""",
-        f"u AS (SELECT grp, {xs} FROM v WHERE NOT base_failed)",
+        f"stats AS MATERIALIZED (SELECT *, n_words < {q.LEAST_WORDS} OR 100 * n_repeat_words > {q.MOST_REPEATED} * n_words AS base_failed FROM base)",
+        # a row's estimate: its language and source, its language or all, the first with enough rows
+        "sized AS (SELECT *, count(*) FILTER (WHERE NOT base_failed) OVER (PARTITION BY lang, source) AS n_own, count(*) FILTER (WHERE NOT base_failed) OVER (PARTITION BY lang) AS n_lang FROM stats)",
+        f"v AS MATERIALIZED (SELECT *, CASE WHEN n_own >= {q.LEAST_ROWS} THEN {{'l': lang, 's': source, 'k': 2}} WHEN n_lang >= {q.LEAST_ROWS} THEN {{'l': lang, 's': NULL, 'k': 1}} ELSE {{'l': NULL, 's': NULL, 'k': 0}} END AS grp,"
+        """ n_words + 10.0::DOUBLE AS n, round(ln(1 + n_words::DOUBLE) * 1000) AS x0, round(ln((word_chars + 50) / n) * 1000) AS x1, round(ln(1 + 10 * n_symbols / n) * 1000) AS x2,
+          round(ln(1 + 10 * n_dup_lines / n) * 1000) AS x3, round(n_repeat_words / n * 1000) AS x4 FROM sized)""",
+        "asked AS (SELECT DISTINCT grp FROM v)",
+        f"u AS MATERIALIZED (SELECT a.grp, {xs} FROM asked a JOIN v ON NOT base_failed AND (a.grp.k = 0 OR v.lang IS NOT DISTINCT FROM a.grp.l) AND (a.grp.k < 2 OR v.source IS NOT DISTINCT FROM a.grp.s))",
         "q AS (SELECT grp, " + ", ".join(f"quantile_cont(x{i}, [0.25, 0.5, 0.75]) AS q{i}" for i in dims) + " FROM u GROUP BY grp)",
-        "c0 AS (SELECT grp, " + ", ".join(f"q{i}[2] AS m{i}, greatest((q{i}[3] - q{i}[1]) * 0.7413, {1000 * q.FLOORS[i]}::DOUBLE) AS l{i}{i}" for i in dims) + "".join(f", 0.0::DOUBLE AS l{i}{j}" for i in dims for j in range(i)) + " FROM q)",
+        "ce AS MATERIALIZED (SELECT grp, " + ", ".join(f"q{i}[2] AS c{i}, greatest((q{i}[3] - q{i}[1]) * 0.7413, {1000 * q.FLOORS[i]}::DOUBLE) AS e{i}" for i in dims) + " FROM q)",
+        "st0 AS (SELECT grp, 0 AS st, " + ", ".join(f"c{i} AS m{i}" for i in dims) + ", " + chol({(i, j): f"(e{i} * e{i} - {floor[i]})" if i == j else "0.0::DOUBLE" for i, j in lower}) + " FROM ce)",
+        f"mo AS (SELECT grp, {sums} FROM u GROUP BY grp)",
+        f"st1 AS (SELECT grp, 1 AS st, {means}, {chol(spread)} FROM mo)",
+        "y AS (SELECT u.grp, " + ", ".join(f"round(least({q.WINSOR}, greatest(-{q.WINSOR}, (x{i} - c{i}) / e{i})) * 1000) AS x{i}" for i in dims) + " FROM u JOIN ce ON u.grp = ce.grp)",
+        f"my AS (SELECT grp, {sums} FROM y GROUP BY grp)",
+        "wy AS (SELECT my.grp, " + ", ".join([f"c{i} + e{i} * m{i} / 1000 AS w{i}" for i in dims] + [f"e{i} * e{j} * ((p{i}{j} - m{i} * m{j}) / 1e6::DOUBLE) AS v{i}{j}" for i, j in lower]) + " FROM my JOIN ce ON my.grp = ce.grp)",
+        "st2 AS (SELECT grp, 2 AS st, " + ", ".join(f"w{i} AS m{i}" for i in dims) + ", " + chol({(i, j): f"v{i}{j}" for i, j in lower}) + " FROM wy)",
+        "c0 AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT grp, st, {means}, {factors} FROM st{k}" for k in range(3)) + ")",
     ]
 
     def distance(rows: str, centre: str, join: str, keep: str) -> str:
@@ -170,22 +185,18 @@ def _quality_sql() -> str:
         return f"SELECT {keep}, {z}, " + " + ".join(f"z{i} * z{i}" for i in dims) + f" AS d2 FROM {rows} r {join} {centre} c ON r.grp = c.grp"
 
     for k in range(q.STEPS):
-        scale = repr(q.consistency()) if k == q.STEPS - 1 else "1.0"
-        ctes.append(f"d{k} AS ({distance('u', f'c{k}', 'JOIN', 'r.grp AS grp, ' + xs)})")
-        ctes.append(f"b{k} AS (SELECT *, floor(log2(1 + d2) * 256) AS bin FROM d{k})")
-        ctes.append(f"h{k} AS (SELECT grp, bin, sum(count(*)) OVER (PARTITION BY grp ORDER BY bin) AS cum, sum(count(*)) OVER (PARTITION BY grp) AS n FROM b{k} GROUP BY grp, bin)")
-        ctes.append(f"e{k} AS (SELECT grp, min(bin) AS last FROM h{k} WHERE cum >= ceil({q.H} * n) GROUP BY grp)")
-        sums = ", ".join([f"avg(x{i}) AS m{i}" for i in dims] + [f"sum(x{i} * x{j}) / count(*) AS p{i}{j}" for i in dims for j in range(i + 1)])
-        ctes.append(f"s{k} AS (SELECT b.grp, {sums} FROM b{k} b JOIN e{k} e ON b.grp = e.grp AND bin <= last GROUP BY b.grp)")
-        chol = []
-        for i in dims:
-            for j in range(i + 1):
-                cov = f"{scale}::DOUBLE * (p{i}{j} - m{i} * m{j})"
-                less = "".join(f" - l{i}{x} * l{j}{x}" for x in range(j))
-                chol.append(f"sqrt(greatest(greatest(0, {cov}) + {floor[i]}{less}, {floor[i] * 0.01})) AS l{i}{i}" if i == j else f"({cov}{less}) / l{j}{j} AS l{i}{j}")
-        ctes.append(f"c{k + 1} AS (SELECT grp, " + ", ".join(f"m{i}" for i in dims) + ", " + ", ".join(chol) + f" FROM s{k})")
+        ctes.append(f"d{k} AS ({distance('u', f'c{k}', 'JOIN', 'r.grp AS grp, st, ' + xs)})")
+        ctes.append(f"b{k} AS MATERIALIZED (SELECT *, floor(log2(1 + d2) * 256) AS bin FROM d{k})")
+        ctes.append(f"h{k} AS (SELECT grp, st, bin, sum(count(*)) OVER (PARTITION BY grp, st ORDER BY bin) AS cum, sum(count(*)) OVER (PARTITION BY grp, st) AS n FROM b{k} GROUP BY grp, st, bin)")
+        ctes.append(f"e{k} AS (SELECT grp, st, min(bin) AS last FROM h{k} WHERE cum >= ceil({q.H} * n) GROUP BY grp, st)")
+        ctes.append(f"s{k} AS MATERIALIZED (SELECT b.grp, b.st, {sums} FROM b{k} b JOIN e{k} e ON b.grp = e.grp AND b.st = e.st AND bin <= last GROUP BY b.grp, b.st)")
+        ctes.append(f"c{k + 1} AS MATERIALIZED (SELECT grp, st, {means}, {chol(spread)} FROM s{k})")
+    least = " * ".join(f"l{i}{i}" for i in dims)
+    ctes.append(f"won AS (SELECT grp, arg_min(st, ({least}, st)) AS st FROM c{q.STEPS} GROUP BY grp)")
+    scaled = {(i, j): f"{q.consistency()!r}::DOUBLE * (p{i}{j} - m{i} * m{j})" for i, j in lower}
+    ctes.append(f"last AS (SELECT s.grp, {means}, {chol(scaled)} FROM s{q.STEPS - 1} s JOIN won w ON s.grp = w.grp AND s.st = w.st)")
     cols = "doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed"
-    ctes.append(f"far AS ({distance('v', f'c{q.STEPS}', 'LEFT JOIN', cols)})")
+    ctes.append(f"far AS ({distance('v', 'last', 'LEFT JOIN', cols)})")
     return "WITH " + ",\n".join(ctes) + f"\nSELECT {cols}, NOT base_failed AND coalesce(d2 <= {q.CUTOFF}, true) AS kept FROM far"
 
 
