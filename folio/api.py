@@ -119,7 +119,7 @@ def split_pages(path: str, pattern: str, pages_per_file: int = 1, password: str
     def run(d: Document) -> list[tuple[str, bytes]]:
         pages = A.whole(d)
         n = -(-len(pages) // pages_per_file)
-        return [(pattern.replace("%d", str(k + 1).zfill(len(str(n)))), A.assemble([A.Part(d, pages[k * pages_per_file : (k + 1) * pages_per_file], True)], copy_annotations)) for k in range(n)]
+        return [(pattern.replace("%d", str(k).zfill(len(str(n)))), b) for k, b in enumerate(A.chunks(d, pages, pages_per_file, copy_annotations), 1)]
 
     files = with_repair(_read(path), run, password, path)
     _write_all(files)
@@ -129,7 +129,7 @@ def split_pages(path: str, pattern: str, pages_per_file: int = 1, password: str
 def merge(inputs: list[MergeInput], output: str, password: str | None = None, byte_copy: bool = False, copy_annotations: bool = True) -> None:
     if not inputs:
         raise FolioError("range", "nothing to merge")
-    from .operators.files import _merged
+    from .operators.files import merge_to
 
     for i in inputs:
         for g in i.groups:
@@ -140,7 +140,16 @@ def merge(inputs: list[MergeInput], output: str, password: str | None = None, by
         if plain and os.path.abspath(inputs[0].path) != os.path.abspath(output):
             _write(output, data)
             return
-    _write(output, _merged([(k, i.path, ";".join(i.groups) or None, _read(i.path)) for k, i in enumerate(inputs)], password))
+    parts = [(k, i.path, ";".join(i.groups) or None, _read(i.path)) for k, i in enumerate(inputs)]
+    temp = Path(f"{output}.{os.getpid()}.part")
+    try:
+        with temp.open("wb") as f:
+            merge_to(lambda: (f.seek(0), f.truncate()) and f.write, parts, password, copy_annotations)
+        os.replace(temp, output)
+    except OSError as x:
+        raise FolioError("io", f"{output}: {x.strerror}") from None
+    finally:
+        temp.unlink(missing_ok=True)
 
 
 def _selected(d: Document, pages: str | None) -> tuple[list[int], list[int]]:

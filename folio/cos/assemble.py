@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import io
+from collections.abc import Callable, Iterator
 from typing import Any, NamedTuple
 
 from . import content, write
@@ -26,28 +28,57 @@ class Part(NamedTuple):
 
 
 class Output:
-    """Objects of the file to be, numbered in the order they are first reached."""
+    """The file to be, written object by object as they are finished; numbers are given in the order objects are first reached.
 
-    def __init__(self, copy_annotations: bool = True):
-        self.objects: dict[int, Any] = {1: None, 2: None}
+    ``base`` holds what many outputs share: its objects come first, with the same numbers in each.
+    """
+
+    def __init__(self, sink: Callable[[bytes], Any], copy_annotations: bool = True, base: Template | None = None):
+        self.writer = write.Writer(sink)
         self._last = 2
         self.kids: list[Ref] = []
         self.info: Ref | None = None
         self.metadata: Ref | None = None
         self.copy_annotations = copy_annotations
+        if base is not None:
+            self._last = base.last
+            for num, body in base.bodies:
+                self.writer.raw(num, body)
 
-    def new(self, v: Any = None) -> int:
+    def new(self) -> int:
         self._last += 1
-        self.objects[self._last] = v
         return self._last
 
-    def finish(self) -> bytes:
+    def put(self, num: int, v: Any) -> None:
+        self.writer.object(num, v)
+
+    def finish(self) -> None:
         catalog = {Name("Type"): Name("Catalog"), Name("Pages"): Ref(2, 0)}
         if self.metadata:
             catalog[Name("Metadata")] = self.metadata
-        self.objects[1] = catalog
-        self.objects[2] = {Name("Type"): Name("Pages"), Name("Kids"): self.kids, Name("Count"): len(self.kids)}
-        return write.file(self.objects, Ref(1, 0), self.info)
+        self.put(1, catalog)
+        self.put(2, {Name("Type"): Name("Pages"), Name("Kids"): self.kids, Name("Count"): len(self.kids)})
+        self.writer.finish(Ref(1, 0), self.info)
+
+
+class Template:
+    """Objects that many outputs of one document share, in the bytes and with the numbers they have in each."""
+
+    def __init__(self, numbers: dict[int, int], bodies: list[tuple[int, bytes]], links: dict[int, set[int]]):
+        self.numbers, self.bodies, self.links = numbers, bodies, links
+        self.last = max(numbers.values(), default=2)
+        self._known: dict[frozenset, bool] = {}
+
+    def all_reached(self, touched: frozenset) -> bool:
+        """Whether the shared objects are just those that ``touched`` lead to: else an output would hold what it has no use for."""
+        if touched not in self._known:
+            seen, todo = set(touched), list(touched)
+            while todo:
+                new = self.links[todo.pop()] - seen
+                seen |= new
+                todo += new
+            self._known[touched] = len(seen) == len(self.numbers)
+        return self._known[touched]
 
 
 class Copier:
@@ -56,8 +87,9 @@ class Copier:
     def __init__(self, doc: Document, out: Output):
         self.doc, self.out = doc, out
         self.map: dict[int, int] = {}
+        self.touched: set[int] = set()
         self.todo: list[tuple[int, bool]] = []
-        self.later: list[tuple[int, Any]] = []  # annotations of pages already copied
+        self.later: list[tuple[int, dict, Any]] = []  # pages that wait for their annotations
         self.prune_forms = False
 
     def inherited(self, num: int, key: str) -> Any:
@@ -97,32 +129,44 @@ class Copier:
                 continue
             done[k] = self.value(x, False)
         done[Name("Parent")] = Ref(2, 0)
-        self.out.objects[own] = done
-        self.drain()
         if "Annots" in p:
-            self.later.append((own, p["Annots"]))
+            self.later.append((own, done, p["Annots"]))
+        else:
+            self.out.put(own, done)
+        self.drain()
 
     def annots(self) -> None:
         """Annotations come last: only then is it known which pages came along."""
-        for own, x in self.later:
-            v = self.value(x, True)
-            self.out.objects[own][Name("Annots")] = v
+        for own, page, x in self.later:
+            self.out.put(own, page | {Name("Annots"): self.value(x, True)})
             self.drain()
+        self.later.clear()
 
     def value(self, v: Any, guarded: bool) -> Any:
-        """``v`` with references renumbered; ``guarded`` cuts those that lead back into the document's structure."""
-        if isinstance(v, Ref):
-            return self.reference(v, guarded)
-        if isinstance(v, list):
-            return [self.value(x, guarded) for x in v]
-        if isinstance(v, dict):
-            return {k: self.value(x, guarded) for k, x in v.items() if not (guarded and k == "Kids")}
+        """``v`` with references renumbered; ``guarded`` cuts those that lead back into the document's structure.
+
+        Nesting costs no recursion: containers are made empty and filled from a list of what is left to do.
+        """
         if isinstance(v, Stream):
-            return Stream({k: self.value(x, guarded) for k, x in v.dict.items() if k != "Length" and not (guarded and k == "Kids")}, v.raw)
-        return v
+            return Stream(self.value({k: x for k, x in v.dict.items() if k != "Length"}, guarded), v.raw)
+        top: list = [None]
+        todo: list[tuple[Any, Any, Any]] = [(top, 0, v)]
+        while todo:
+            into, key, x = todo.pop()
+            if isinstance(x, Ref):
+                x = self.reference(x, guarded)
+            elif isinstance(x, list):
+                x, old = [None] * len(x), x
+                todo += [(x, i, y) for i, y in reversed(list(enumerate(old)))]
+            elif isinstance(x, dict):
+                x, old = dict.fromkeys(k for k in x if not (guarded and k == "Kids")), x
+                todo += [(x, k, old[k]) for k in reversed(x)]
+            into[key] = x
+        return top[0]
 
     def reference(self, r: Ref, guarded: bool) -> Any:
         if r.num in self.map:
+            self.touched.add(r.num)
             return Ref(self.map[r.num], 0)
         if guarded:
             v = self.doc.get(r.num)
@@ -141,7 +185,7 @@ class Copier:
                 v = self.pruned_form(v)
             if isinstance(v, dict) and v.get("Type") == "Page":
                 v = {k: x for k, x in v.items() if k != "Parent"}
-            self.out.objects[self.map[num]] = self.value(v, guarded)
+            self.out.put(self.map[num], self.value(v, guarded))
 
     # -- pruning
 
@@ -194,7 +238,9 @@ class Copier:
             if isinstance(info, Ref) and isinstance(self.doc.resolve(info), dict):
                 self.out.info = self.reference(info, True)
             elif isinstance(info, dict):
-                self.out.info = Ref(self.out.new(self.value(info, True)), 0)
+                v = self.value(info, True)
+                self.out.info = Ref(self.out.new(), 0)
+                self.out.put(self.out.info.num, v)
             xmp = self.doc.catalog().get("Metadata")
             if isinstance(xmp, Ref) and isinstance(self.doc.resolve(xmp), Stream):
                 self.out.metadata = self.reference(xmp, True)
@@ -203,9 +249,9 @@ class Copier:
             pass
 
 
-def assemble(parts: list[Part], copy_annotations: bool = True) -> bytes:
-    """One file of all ``parts`` in order; the first gives the metadata."""
-    out = Output(copy_annotations)
+def assemble_to(sink: Callable[[bytes], Any], parts: list[Part], copy_annotations: bool = True) -> None:
+    """One file of all ``parts`` in order, into ``sink``; the first gives the metadata. What is copied is not kept."""
+    out = Output(sink, copy_annotations)
     for k, part in enumerate(parts):
         c = Copier(part.doc, out)
         if k == 0:
@@ -215,7 +261,65 @@ def assemble(parts: list[Part], copy_annotations: bool = True) -> bytes:
         c.annots()
     if parts:
         first.donate()
-    return out.finish()
+    out.finish()
+
+
+def assemble(parts: list[Part], copy_annotations: bool = True) -> bytes:
+    out = io.BytesIO()
+    assemble_to(out.write, parts, copy_annotations)
+    return out.getvalue()
+
+
+def template(doc: Document, pages: list[int]) -> Template | None:
+    """What the first, the middle and the last of ``pages`` all need; None if that is nothing, or takes in a page."""
+    shared: set[int] | None = None
+    for n in {pages[0], pages[len(pages) // 2], pages[-1]}:
+        c = Copier(doc, Output(lambda b: None, False))
+        c.page(n, True)
+        shared = set(c.map) if shared is None else shared & set(c.map)
+    if len(pages) < 3 or not shared or any(isinstance(v := doc.get(n), dict) and v.get("Type") == "Page" for n in shared):
+        return None
+    got: list[bytes] = []
+    out = Output(got.append, False)
+    c = Copier(doc, out)
+    c.prune_forms = True
+    links: dict[int, set[int]] = {}
+    bodies = []
+    for n in sorted(shared):
+        c.reference(Ref(n, 0), False)
+    while c.todo:
+        num, _ = c.todo.pop()
+        got.clear()
+        c.touched = set()
+        before = set(c.map)
+        v = doc.get(num)
+        out.put(c.map[num], c.value(c.pruned_form(v) if isinstance(v, Stream) else v, False))
+        if set(c.map) != before:  # what three pages share leads to nothing else, or it is no template
+            return None
+        links[num] = set(c.touched)
+        bodies.append((c.map[num], b"".join(got)))
+    return Template(dict(c.map), sorted(bodies), links)
+
+
+def chunks(doc: Document, pages: list[int], per_file: int, copy_annotations: bool = True) -> Iterator[bytes]:
+    """Files of ``per_file`` of ``pages`` each. What all share is copied once; a file that needs less is made without that."""
+    base = template(doc, pages) if len(pages) > per_file else None
+    for at in range(0, len(pages), per_file):
+        part = pages[at : at + per_file]
+        if base is not None:
+            buf = io.BytesIO()
+            out = Output(buf.write, copy_annotations, base)
+            c = Copier(doc, out)
+            c.map = dict(base.numbers)
+            for n in part:
+                c.page(n, True)
+            c.annots()
+            if base.all_reached(frozenset(c.touched & set(base.numbers))):
+                c.donate()
+                out.finish()
+                yield buf.getvalue()
+                continue
+        yield assemble([Part(doc, part, True)], copy_annotations)
 
 
 # --- a file's own pages, selected and cut

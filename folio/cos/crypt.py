@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 from typing import Any
 
-from .objects import FolioError, Hex, Stream
+from .objects import FolioError, Hex, Name, Stream
 
 #: Padding of short passwords. Fixed value.
 PAD = bytes.fromhex("28BF4E5E4E758A4164004E56FFFA01082E2E00B6D0683E802F0CA9FE6453697A")
@@ -235,3 +235,68 @@ class Handler:
         if isinstance(v, bytes):
             return type(v)(self.data(v, num, gen, self.strings)) if isinstance(v, Hex) else self.data(v, num, gen, self.strings)
         return v
+
+
+class Sealer:
+    """Encrypts for a new file: ``rc4`` (128 bits), ``aes128`` or ``aes256`` (revision 6). Keys and salts follow from ``seed``."""
+
+    def __init__(self, kind: str, user: bytes, owner: bytes, seed: bytes):
+        self.kind, self.seed = kind, seed
+        draw = lambda what, n: hashlib.shake_256(what + seed).digest(n)
+        self.file_id = draw(b"id", 16)
+        name = lambda x: Name(x)
+        base = {name("Filter"): name("Standard"), name("P"): -4}
+        filters = lambda m: {name("CF"): {name("StdCF"): {name("CFM"): name(m)}}, name("StmF"): name("StdCF"), name("StrF"): name("StdCF")}
+        if kind == "aes256":
+            self.key = draw(b"key", 32)
+
+            def wrap(password: bytes, which: bytes, user_entry: bytes) -> tuple[bytes, bytes]:
+                check, salt = draw(which + b"check", 8), draw(which + b"salt", 8)
+                return hash_r6(password, check, user_entry) + check + salt, aes_cbc(hash_r6(password, salt, user_entry), bytes(16), self.key, True)
+
+            u, ue = wrap(user, b"user", b"")
+            o, oe = wrap(owner, b"owner", u)
+            perms = (-4 & 0xFFFFFFFF).to_bytes(4, "little") + b"\xff\xff\xff\xffTadb" + draw(b"perms", 4)
+            more = {"V": 5, "R": 6, "Length": 256, "U": u, "UE": ue, "O": o, "OE": oe, "Perms": aes_cbc(self.key, bytes(16), perms, True)}
+            self.dict = base | {name(k): v for k, v in more.items()} | filters("AESV3")
+            return
+        k = hashlib.md5((owner + PAD)[:32]).digest()
+        for _ in range(50):
+            k = hashlib.md5(k).digest()
+        o = (user + PAD)[:32]
+        for i in range(20):
+            o = rc4(bytes(x ^ i for x in k), o)
+        k = hashlib.md5((user + PAD)[:32] + o + (-4 & 0xFFFFFFFF).to_bytes(4, "little") + self.file_id).digest()
+        for _ in range(50):
+            k = hashlib.md5(k).digest()
+        self.key = k
+        u = hashlib.md5(PAD + self.file_id).digest()
+        for i in range(20):
+            u = rc4(bytes(x ^ i for x in k), u)
+        aes = kind == "aes128"
+        more = {"V": 4 if aes else 2, "R": 4 if aes else 3, "Length": 128, "O": o, "U": u + bytes(16)}
+        self.dict = base | {name(x): v for x, v in more.items()} | (filters("AESV2") if aes else {})
+
+    def data(self, raw: bytes, num: int, nth: int) -> bytes:
+        key = self.key
+        if self.kind != "aes256":
+            key = hashlib.md5(key + num.to_bytes(3, "little") + bytes(2) + (b"sAlT" if self.kind == "aes128" else b"")).digest()
+        if self.kind == "rc4":
+            return rc4(key, raw)
+        iv, fill = hashlib.shake_256(self.seed + b"%d %d" % (num, nth)).digest(16), 16 - len(raw) % 16
+        return iv + aes_cbc(key, iv, raw + bytes([fill]) * fill, True)
+
+    def value(self, v: Any, num: int) -> Any:
+        """``v`` with its strings and stream data encrypted as those of object ``num``."""
+        nth = iter(range(1 << 30))
+
+        def walk(x: Any) -> Any:
+            if isinstance(x, Stream):
+                return Stream(walk(x.dict), self.data(x.raw, num, next(nth)))
+            if isinstance(x, dict):
+                return {k: walk(y) for k, y in x.items()}
+            if isinstance(x, list):
+                return [walk(y) for y in x]
+            return Hex(self.data(x, num, next(nth))) if isinstance(x, bytes) else x
+
+        return walk(v)

@@ -17,7 +17,7 @@ MAX_DEPTH = 256
 MAX_HOPS = 256
 MAX_MEMBERS = 65_536
 _HEAD = re.compile(rb"(\d{1,10})[" + SPACE + rb"]+(\d{1,5})[" + SPACE + rb"]+obj(?![A-Za-z0-9])")
-_SWEEP = re.compile(rb"(?<![^" + SPACE + rb"()<>\[\]{}/%A-Za-z])(?<!\d)(\d{1,10})[" + SPACE + rb"]+(\d{1,5})[" + SPACE + rb"]+obj(?![A-Za-z0-9])")
+_SWEEP = re.compile(rb"(?<![^" + SPACE + rb"()<>\[\]{}/%A-Za-z])(?<!\d)(\d{1,10})[" + SPACE + rb"]+(\d{1,5})[" + SPACE + rb"]+obj(?![A-Za-z0-9])(?=[" + SPACE + rb"]*(?:[<\[(/+\-.0-9%]|true|false|null|endobj|\Z))")
 _EOL = re.compile(rb"\r\n|\n|\r")
 _ENTRY = re.compile(rb"[" + SPACE + rb"]*(\d{1,20})[" + SPACE + rb"]+(\d{1,10})[" + SPACE + rb"]+([nf])")
 _VERSION = re.compile(rb"%PDF-([0-9.]+)")

@@ -143,6 +143,23 @@ def flate(raw: bytes) -> bytes:
     raise broken("FlateDecode: corrupt data")
 
 
+def _tiff(data: bytes, row: int, colors: int, bits: int, columns: int) -> bytes:
+    """Each sample is the difference from the one of its colour before it in the row; samples have 1 to 16 bits."""
+    if bits not in (1, 2, 4, 8, 16):
+        raise broken("bad number of bits in a TIFF predictor")
+    lines = np.frombuffer(data, dtype=np.uint8).reshape(-1, row)
+    if bits == 16:
+        a = lines.view(">u2").reshape(-1, columns, colors)
+        return np.cumsum(a, axis=1, dtype=np.uint16).astype(">u2").tobytes()
+    if bits == 8:
+        return np.cumsum(lines.reshape(-1, columns, colors), axis=1, dtype=np.uint8).tobytes()
+    flat = np.unpackbits(lines, axis=1)[:, : columns * colors * bits]
+    a = np.packbits(flat.reshape(-1, bits), axis=1) >> (8 - bits)
+    a = np.cumsum(a.reshape(-1, columns, colors), axis=1, dtype=np.uint8) & ((1 << bits) - 1)
+    flat = np.unpackbits(a.reshape(-1, 1), axis=1)[:, 8 - bits :]
+    return np.packbits(flat.reshape(len(lines), -1), axis=1).tobytes()
+
+
 def unpredict(data: bytes, parms: dict) -> bytes:
     p = parms.get("Predictor", 1)
     if p in (None, 1):
@@ -150,10 +167,7 @@ def unpredict(data: bytes, parms: dict) -> bytes:
     colors, bpc, columns = (parms.get(k, v) for k, v in (("Colors", 1), ("BitsPerComponent", 8), ("Columns", 1)))
     bpp, row = max(1, colors * bpc // 8), (colors * bpc * columns + 7) // 8
     if p == 2:
-        if bpc != 8:
-            raise FolioError("unsupported", "TIFF predictor of other than 8 bits")
-        a = np.frombuffer(data[: len(data) // row * row], dtype=np.uint8).reshape(-1, columns, colors)
-        return np.cumsum(a, axis=1, dtype=np.uint8).tobytes()
+        return _tiff(data[: len(data) // row * row], row, colors, bpc, columns)
     out, prev = [], np.zeros(row, dtype=np.uint8)
     for at in range(0, len(data), row + 1):
         tag = data[at]

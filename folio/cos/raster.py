@@ -38,6 +38,13 @@ def png(rgb: np.ndarray) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 2, 0, 0, 0)) + part(b"IDAT", zlib.compress(raw.tobytes(), 6)) + part(b"IEND", b"")
 
 
+def read_png(data: bytes) -> np.ndarray:
+    """The pixels of an image that :func:`png` wrote."""
+    w, h = struct.unpack(">II", data[16:24])
+    n = struct.unpack(">I", data[33:37])[0]
+    return np.frombuffer(zlib.decompress(data[41 : 41 + n]), dtype=np.uint8).reshape(h, 1 + 3 * w)[:, 1:].reshape(h, w, 3)
+
+
 def coverage(polys: list[np.ndarray], width: int, height: int, even_odd: bool) -> tuple[np.ndarray, int, int] | None:
     """Share of each pixel inside the polygons, over their bounding box within the page; and the box's corner."""
     pts = np.concatenate(polys) if polys else np.zeros((0, 2))

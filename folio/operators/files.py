@@ -7,8 +7,11 @@ error, or raises in ``strict`` mode.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import io
+from collections.abc import Callable, Iterator
+from typing import Any
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -116,9 +119,8 @@ def split_pages(files: DataFrame, pattern: str, per_file: int = 1, password: str
     def run(_, d: Document) -> Iterator[tuple]:
         pages = A.whole(d)
         files_n = -(-len(pages) // per_file)
-        for k in range(files_n):
-            part = pages[k * per_file : (k + 1) * per_file]
-            yield pattern.replace("%d", str(k + 1).zfill(len(str(files_n)))), A.assemble([A.Part(d, part, True)])
+        for k, content in enumerate(A.chunks(d, pages, per_file), 1):
+            yield pattern.replace("%d", str(k).zfill(len(str(files_n)))), content
 
     return _each(files, f"doc_id string, path string, content binary, {ERROR}", _schema(("path", pa.string()), ("content", pa.binary())), run, password, mode)
 
@@ -126,8 +128,8 @@ def split_pages(files: DataFrame, pattern: str, per_file: int = 1, password: str
 def merge(files: DataFrame, inputs: DataFrame, password: str | None = None, byte_copy: bool = False) -> DataFrame:
     """``output, content, error`` of ``inputs(output, input_ord, doc_id, spec)``; a null ``spec`` takes all pages.
 
-    Content is deduplicated per output: a document that is input twice travels twice, one that is wanted by many outputs
-    goes to each of them, as their files need it.
+    A document that is input twice to an output travels twice, one that is wanted by many outputs goes to each of them, as
+    their files need it.
     """
     rows = inputs.select(F.col("output").cast("string").alias("output"), F.col("input_ord").cast("int").alias("input_ord"), F.col("doc_id").cast("string").alias("doc_id"), "spec").join(_slim(files), "doc_id", "left")
 
@@ -148,7 +150,16 @@ def merge(files: DataFrame, inputs: DataFrame, password: str | None = None, byte
 
 
 def _merged(parts: list[tuple], password: str | None) -> bytes:
-    """Inputs in order; one whose offsets prove wrong while it is copied is rebuilt and the merge begun anew."""
+    out = io.BytesIO()
+    merge_to(lambda: (out.seek(0), out.truncate()) and out.write, parts, password)
+    return out.getvalue()
+
+
+def merge_to(begin: Callable[[], Callable[[bytes], Any]], parts: list[tuple], password: str | None, copy_annotations: bool = True) -> None:
+    """Inputs in order, written as they are copied; one whose offsets prove wrong on the way is rebuilt and the merge begun anew.
+
+    ``begin`` empties the target and gives what takes its bytes.
+    """
     if not parts:
         raise FolioError("range", "nothing to merge")
     forced: set[int] = set()
@@ -159,7 +170,8 @@ def _merged(parts: list[tuple], password: str | None) -> bytes:
                 if content is None:
                     raise FolioError("io", f"{doc_id} does not exist")
                 docs.append(_part(content, doc_id, spec, password, at in forced))
-            return A.assemble(docs)
+            A.assemble_to(begin(), docs, copy_annotations)
+            return
         except FolioError as x:
             culprit = at if len(docs) < len(parts) else next((k for k in range(len(parts)) if k not in forced and not docs[k].doc.repaired), None)
             if type(x).__name__ != "Damaged" or culprit is None or culprit in forced:
@@ -220,3 +232,31 @@ def render_pages(files: DataFrame, dpi: float = 150.0, pages: str | None = None,
     out = _each(files, f"doc_id string, page int, width_px int, height_px int, png binary, name_no string, {ERROR}", _schema(("page", pa.int32()), ("width_px", pa.int32()), ("height_px", pa.int32()), ("png", pa.binary()), ("name_no", pa.string())), locked, None, mode)
     needs = F.col("error.code") == "password"
     return out.withColumn("error", F.when(needs, F.struct(F.lit("unsupported").alias("code"), F.lit("encrypted files cannot be rendered").alias("message"))).otherwise(F.col("error")))
+
+
+def color_counts(images: DataFrame) -> DataFrame:
+    """``doc_id, page, color, pixels`` of ``images(doc_id, page, png)``: how many pixels have each colour, as six hexadecimal digits."""
+    ship(images.sparkSession)
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for doc_id, page, png in zip(*(b.column(c).to_pylist() for c in ("doc_id", "page", "png"))):
+                p = raster.read_png(png).reshape(-1, 3).astype(np.uint32)
+                colors, n = np.unique(p[:, 0] << 16 | p[:, 1] << 8 | p[:, 2], return_counts=True)
+                rows += [(doc_id, page, f"{c:06x}", k) for c, k in zip(colors.tolist(), n.tolist())]
+            cols = list(zip(*rows)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.int64())], names=["doc_id", "page", "color", "pixels"])
+
+    return images.where("png is not null").select("doc_id", "page", "png").mapInArrow(go, "doc_id string, page int, color string, pixels bigint")
+
+
+def text_json(files: DataFrame, pages: str | None = None, annotations: bool = True, password: str | None = None, mode: str = "permissive") -> DataFrame:
+    """``doc_id, json, error``: the runs of the selected pages of each document as one JSON array."""
+
+    def run(_, d: Document) -> list[tuple]:
+        have = d.pages()
+        order = range(1, len(have) + 1) if pages is None else dict.fromkeys(R.pages_of(pages, len(have)))
+        return [(T.pages_json([T.page_text(d, have[n - 1], n, annotations) for n in order]),)]
+
+    return _each(files, f"doc_id string, json string, {ERROR}", _schema(("json", pa.string())), run, password, mode)

@@ -278,12 +278,6 @@ def dimensions_json(spark, sf):
 # --- cross-reference, closure, pruning
 
 
-@query("SELECT user_id, event_type, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY user_id, event_type")
-def xref_latest_wins(spark, sf):
-    e = table(spark, sf, "events")
-    return e.groupBy("user_id", "event_type").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id"))
-
-
 @query("""
 WITH o AS (SELECT o_orderkey, o_custkey FROM orders),
 r AS (SELECT o_orderkey, 'customer' AS kind, o_custkey AS id, 1 AS depth FROM o
@@ -332,55 +326,13 @@ def unresolved_names(spark, sf):
 
 
 @query("""
-SELECT l_suppkey AS obj FROM (SELECT DISTINCT l_suppkey, l_returnflag FROM lineitem WHERE l_quantity < 10) GROUP BY l_suppkey HAVING count(*) = (SELECT count(DISTINCT l_returnflag) FROM lineitem WHERE l_quantity < 10)""")
+SELECT l_partkey AS obj FROM (SELECT DISTINCT l_partkey, l_linenumber FROM lineitem) GROUP BY l_partkey HAVING count(*) = (SELECT count(DISTINCT l_linenumber) FROM lineitem)""")
 def shared_closure(spark, sf):
-    li = table(spark, sf, "lineitem").where("l_quantity < 10").select(F.col("l_returnflag").alias("page"), F.col("l_suppkey").alias("obj")).distinct()
+    li = table(spark, sf, "lineitem").select(F.col("l_linenumber").alias("page"), F.col("l_partkey").alias("obj")).distinct()
     return closure.shared(li, li.select("page").distinct())
 
 
-# --- text windows
-
-
-def _sessions(spark, sf) -> DataFrame:
-    e = table(spark, sf, "events").withColumn("s", F.unix_micros(F.col("ts").cast("timestamp")))
-    w = Window.partitionBy("user_id").orderBy("s", "event_id")
-    e = e.withColumn("new", F.when(F.col("s") - F.lag("s").over(w) <= 1_800_000_000, F.lit(0)).otherwise(F.lit(1)))
-    return e.withColumn("run_no", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-
-
-_RUNS = """
-WITH e AS (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= 1800000000 THEN 0 ELSE 1 END AS new FROM events),
-r AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS run_no FROM e)
-"""
-
-
-@query(_RUNS + "SELECT user_id, run_no, count(*) AS glyphs, min(event_id) AS first_id FROM r GROUP BY user_id, run_no")
-def run_segmentation(spark, sf):
-    return _sessions(spark, sf).groupBy("user_id", "run_no").agg(F.count("*").alias("glyphs"), F.min("event_id").alias("first_id"))
-
-
-@query(_RUNS + "SELECT user_id, run_no, min(value) AS low, max(value) AS high FROM r GROUP BY user_id, run_no")
-def run_box(spark, sf):
-    return _sessions(spark, sf).groupBy("user_id", "run_no").agg(F.min("value").alias("low"), F.max("value").alias("high"))
-
-
-@query("""
-WITH g AS (SELECT *, event_id % 3 = 0 AS stroke, floor(value)::BIGINT AS origin FROM events),
-l AS (SELECT *, last_value(CASE WHEN NOT stroke THEN origin END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS filled FROM g)
-SELECT event_id, user_id FROM l WHERE NOT (stroke AND filled IS NOT NULL AND filled = origin)""")
-def glyph_filter(spark, sf):
-    e = table(spark, sf, "events").withColumn("stroke", F.col("event_id") % 3 == 0).withColumn("origin", F.floor("value"))
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
-    e = e.withColumn("filled", F.last(F.when(~F.col("stroke"), F.col("origin")), ignorenulls=True).over(w))
-    return e.where(~(F.col("stroke") & F.coalesce(F.col("filled") == F.col("origin"), F.lit(False)))).select("event_id", "user_id")
-
-
-@query("""
-WITH a AS (SELECT event_id, user_id, floor(abs(value))::BIGINT & 2 AS hidden, count(*) OVER (PARTITION BY user_id) AS n FROM events)
-SELECT event_id, user_id FROM a WHERE hidden = 0 AND n <= 60""")
-def annotation_gate(spark, sf):
-    e = table(spark, sf, "events").withColumn("n", F.count("*").over(Window.partitionBy("user_id")))
-    return e.where((F.floor(F.abs("value")).bitwiseAND(F.lit(2)) == 0) & (F.col("n") <= 60)).select("event_id", "user_id")
+# --- percentiles
 
 
 @query("""

@@ -177,4 +177,5 @@ def tables(parsed: DataFrame) -> dict[str, DataFrame]:
 def register(spark: SparkSession) -> None:
     from .datasource import FolioDataSource
 
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")  # the reader takes filters on ``rec`` and ``doc_id``
     spark.dataSource.register(FolioDataSource)

@@ -181,3 +181,23 @@ def test_streams(spark, tmp_path):
     finally:
         q.stop()
     assert sum(r.files for r in spark.table("arrived").collect()) == 3
+
+
+def test_doubled_trees_end(spark):
+    """Forty nodes that list their only kid twice; and a node that only an unused branch lists again."""
+    N, R = X.N, X.Ref
+    o = {1: {N("Type"): N("Catalog"), N("Pages"): R(2, 0)}}
+    o |= {k: {N("Type"): N("Pages"), N("Kids"): [R(k + 1, 0)] * 2, N("Count"): 1} for k in range(2, 42)} | {42: {N("Type"): N("Page")}}
+    unused = X.updated(X.pages(3), {90: {N("Type"): N("Pages"), N("Kids"): [R(open_document(X.pages(3)).pages()[0], 0)]}})
+    t = pdf.load(spark.createDataFrame([("bomb", X.write.file(o, R(1, 0))), ("unused", unused)], "doc_id string, content binary"))
+    w = tree.walk(t)
+    assert {r.doc_id: r.message for r in tree.tree_errors(t, w).collect()} == {"bomb": "page tree cycle detected at object 10"}
+    assert tree.pages(t, w).where("doc_id = 'unused'").count() == 3 and w.count() < 100
+
+
+def test_closures_are_whole_or_an_error(spark):
+    refs = spark.createDataFrame([("d", k, k + 1) for k in range(40)], "doc_id string, src_obj long, dst_obj long")
+    starts = spark.createDataFrame([("o", "d", 0)], "output string, doc_id string, obj long")
+    assert closure.closure(starts, refs).count() == 41
+    with pytest.raises(Exception, match="deeper than 10"):
+        closure.closure(starts, refs, most=10)

@@ -405,3 +405,62 @@ def test_cli(tmp_path, capsys):
     for bad in (("text", f, "--pages", "1;2"), ("page-count", tmp_path / "none.pdf"), ("split", f, "--out", "9", tmp_path / "z.pdf")):
         assert run(*bad) != 0 and capsys.readouterr().err.startswith("error: ")
     assert not (tmp_path / "z.pdf").exists()
+
+
+# --- depth, predictors, what many outputs share
+
+
+def test_deep_values():
+    deep: list = []
+    for _ in range(50_000):
+        deep = [deep]
+    b = X.one_page(b"", extra={N("Deep"): deep, N("Pair"): {N("A"): [1, Ref(4, 0), (b"x")]}})
+    d = open_document(b)
+    one = A.assemble([A.Part(d, d.pages(), False)])
+    assert one.count(b"[") >= 50_000 and count(one) == 1
+    assert write.value([[1, [b"a"], {N("K"): [N("x"), 2, 3.5]}], None, True]) == b"[[1[(a)]<</K[/x 2 3.5]>>] null true]"
+
+
+def test_tiff_predictors():
+    rng = np.random.default_rng(2)
+    for bits, colors, columns in ((1, 1, 13), (2, 3, 5), (4, 3, 7), (8, 4, 5), (16, 3, 4)):
+        plain = rng.integers(0, 1 << bits, (6, columns, colors))
+        diff = np.diff(plain, axis=1, prepend=0) % (1 << bits)
+
+        def packed(a, bits=bits):
+            rows = []
+            for line in a.reshape(6, -1):
+                s = "".join(f"{int(x):0{bits}b}" for x in line)
+                s += "0" * (-len(s) % 8)
+                rows.append(bytes(int(s[i : i + 8], 2) for i in range(0, len(s), 8)))
+            return b"".join(rows)
+
+        assert filters.unpredict(packed(diff), {"Predictor": 2, "BitsPerComponent": bits, "Colors": colors, "Columns": columns}) == packed(plain)
+
+
+def test_parts_share_what_all_pages_need():
+    d = open_document(X.pages(12))
+    base = A.template(d, d.pages())
+    assert len(base.bodies) == 1  # the font
+    for per_file in (1, 5):
+        for k, b in enumerate(A.chunks(d, d.pages(), per_file)):
+            part = open_document(b)
+            want = A.assemble([A.Part(d, d.pages()[k * per_file : (k + 1) * per_file], True)])
+            assert not part.repaired and len(part.xref) == len(open_document(want).xref)
+            assert [text.page_text(part, n, 1).runs[0].text for n in part.pages()] == [f"page {i}" for i in range(k * per_file + 1, min(12, (k + 1) * per_file) + 1)]
+    # a page that needs none of it is made without it
+    odd = X.updated(X.pages(5), {d2.pages()[1]: {N("Type"): N("Page"), N("Parent"): Ref(2, 0)} for d2 in [open_document(X.pages(5))]})
+    parts = [open_document(b) for b in A.chunks(open_document(odd), open_document(odd).pages(), 1)]
+    assert [len(p.xref) for p in parts] == [5, 3, 5, 5, 5]
+
+
+def test_what_follows_a_header():
+    b = X.pages(2)
+    swept = open_document(b[: b.rfind(b"xref\n0")] + b"\n4 0 obj ! prose about 5 0 obj of old\n")
+    assert swept.repaired and len(swept.pages()) == 2
+
+
+def test_forms_below_the_limit_are_told():
+    n = text.MAX_FORM_DEPTH + 3
+    forms = {20 + k: Stream({N("Type"): N("XObject"), N("Subtype"): N("Form"), N("BBox"): [0, 0, 9, 9], N("Resources"): {N("XObject"): {N("X"): Ref(21 + k, 0)}}}, b"/X Do") for k in range(n)}
+    assert runs(X.one_page(b"/X Do", resources={N("XObject"): {N("X"): Ref(20, 0)}}, objects=forms)).degraded

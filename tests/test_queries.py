@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 from folio import queries as Q
+from folio import roundtrips  # noqa: F401  registers its queries
 
 SF = "/root/testdata/sf0.001"
 
