@@ -23,6 +23,8 @@ from .common import let, stage, words
 SHINGLE = 5
 #: Documents of a chunk, on average, when documents are put in order.
 CHUNK = 1024
+#: With more chunks than this for each of the session's shuffle partitions, there are more partitions.
+CHUNKS_A_TASK = 16
 PAIR = 0x0000000100000001
 #: Documents whose id is divisible by this are looked up among all; the radius of the search in bits.
 EVERY = 100
@@ -103,6 +105,9 @@ def with_next(docs: DataFrame, chunk: int = CHUNK) -> tuple[DataFrame, int]:
     wrap = F.struct(F.floor(F.lit((n - 1) / chunk)).alias("chunk"), F.lit(n).cast("long").alias("at"))
     places = F.when(F.col("rank") == 0, F.array(own, wrap)).when(F.col("rank") % chunk == 0, F.array(own, before)).otherwise(F.array(own))
     p = d.select("rank", "doc_id", "text", F.explode(places).alias("p")).select("rank", "doc_id", "text", F.col("p.chunk").alias("chunk"), F.col("p.at").alias("at"))
+    parts = -(-n // (chunk * CHUNKS_A_TASK))
+    if parts > int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        p = p.repartition(parts, "chunk")
     out = p.withColumn("next_text", F.lead("text").over(Window.partitionBy("chunk").orderBy("at")))
     return out.where((F.col("at") == F.col("rank")) & (F.floor(F.col("at") / chunk) == F.col("chunk"))).select("rank", "doc_id", "text", "next_text"), n
 
