@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import struct
 import unicodedata
 from functools import lru_cache
 from typing import Any
@@ -10,6 +11,7 @@ from typing import Any
 from .document import Document
 from .lexer import END, parse
 from .objects import FolioError, Keyword, Name, Stream
+from .programs import CFF, TrueType, sfnt_tables, type1_encoding
 
 # Advance widths of the printable ASCII characters, space to tilde, in the standard fonts. Fixed values.
 WIDTHS = {
@@ -126,6 +128,44 @@ def to_unicode(data: bytes) -> tuple[dict[int, str], int]:
     return out, width or 1
 
 
+def code_map(data: bytes) -> tuple[list[tuple[int, int, int]], dict[int, dict[int, int]]]:
+    """Of an embedded map of codes: its code spaces (bytes, lowest, highest) and, by number of bytes, code -> CID."""
+    spaces: list[tuple[int, int, int]] = []
+    cids: dict[int, dict[int, int]] = {}
+    pos, args = 0, []
+    num = lambda b: int.from_bytes(b, "big")
+    while True:
+        try:
+            v, pos = parse(data, pos, refs=False)
+        except FolioError:
+            break
+        if v is END:
+            break
+        if not isinstance(v, Keyword):
+            args.append(v)
+            continue
+        codes = [x for x in args if isinstance(x, bytes)]
+        if v == b"endcodespacerange":
+            spaces += [(len(a), num(a), num(b)) for a, b in zip(codes[::2], codes[1::2])]
+        elif v == b"endcidchar":
+            for a, c in zip(args[::2], args[1::2]):
+                if isinstance(a, bytes) and isinstance(c, int):
+                    cids.setdefault(len(a), {})[num(a)] = c
+        elif v == b"endcidrange":
+            for a, b, c in zip(args[::3], args[1::3], args[2::3]):
+                if isinstance(a, bytes) and isinstance(b, bytes) and isinstance(c, int):
+                    cids.setdefault(len(a), {}).update((k, c + k - num(a)) for k in range(num(a), min(num(b), num(a) + 0xFFFF) + 1))
+        args = []
+    return spaces, cids
+
+
+def cff_standard() -> list[str]:
+    """The characters of the first 149 standard names: the standard encoding's in the order of its codes, accents included."""
+    have = [c for c in encoding("StandardEncoding") if c]
+    upto = have.index("¿") + 1
+    return have[:upto] + list("`´ˆ˜¯˘˙¨˚¸˝˛ˇ") + have[upto:]
+
+
 class Font:
     """Decodes strings: (bytes of the code, text or None, advance in thousandths or None, is it a space)."""
 
@@ -147,11 +187,26 @@ class Font:
         self.missing: float | None = None
         self.table: list[str | None] = [None] * 256
         self.vertical = False
+        self.spaces: list[tuple[int, int, int]] = []
+        self.cids: dict[int, dict[int, int]] = {}
+        self.glyph_texts: dict[int, str] = {}
+        self.program: TrueType | CFF | dict | None = None
+        self.gids: list[int] | None = None
+        self.symbolic = False
+        self.procs: dict[int, Any] = {}
+        self.resources = get("Resources")
+        self._outlines: dict[int, list] = {}
         self.matrix = [0.001, 0, 0, 0.001, 0, 0]
         if self.kind == "Type0":
             self.width = 2
             enc = get("Encoding")
             self.vertical = isinstance(enc, Name) and enc.endswith("-V")
+            if isinstance(enc, Stream):
+                self.vertical = d.resolve(enc.dict.get("WMode")) == 1
+                try:
+                    self.spaces, self.cids = code_map(d.decoded(enc))
+                except FolioError:
+                    pass
             kids = get("DescendantFonts")
             kid = d.resolve(kids[0]) if isinstance(kids, list) and kids else None
             kid = kid if isinstance(kid, dict) else {}
@@ -169,17 +224,33 @@ class Font:
                     i += 3
                 else:
                     break
+            program = self.program = self._program(d, kid)
+            if isinstance(program, TrueType):
+                to = d.resolve(kid.get("CIDToGIDMap"))
+                gids = None
+                if isinstance(to, Stream):
+                    raw = d.decoded(to)
+                    gids = self.gids = [int.from_bytes(raw[i : i + 2], "big") for i in range(0, len(raw) - 1, 2)]
+                self.glyph_texts = program.chars if gids is None else {c: program.chars[g] for c, g in enumerate(gids) if g in program.chars}
             return
         enc = get("Encoding")
         name, diffs = (str(enc), []) if isinstance(enc, Name) else (str(d.resolve(enc.get("BaseEncoding")) or ""), d.resolve(enc.get("Differences")) or []) if isinstance(enc, dict) else ("", [])
         if self.kind != "Type3":
-            if not name:
+            self.program = self._program(d, spec)
+            own = None if name else self._own_encoding(self.program)
+            self.symbolic = own is not None
+            if own is not None:
+                self.table = own
+            elif not name:
                 name = "WinAnsiEncoding" if self.kind == "TrueType" else "StandardEncoding"
-            self.table = list(encoding(name))
+            if own is None:
+                self.table = list(encoding(name))
         code = 0
         for x in diffs:
             x = d.resolve(x)
             if isinstance(x, Name):
+                if code < 256 and self.kind == "Type3":
+                    self.procs[code] = d.resolve((get("CharProcs") or {}).get(x))
                 if code < 256:
                     self.table[code] = None if self.kind == "Type3" else glyph_text(x)
                 code += 1
@@ -193,12 +264,83 @@ class Font:
         if self.kind == "Type3" and isinstance(m := get("FontMatrix"), list) and len(m) == 6:
             self.matrix = [float(d.resolve(x)) for x in m]
 
+    @staticmethod
+    def _program(d: Document, spec: dict) -> TrueType | CFF | dict | None:
+        """The embedded program of a font; a Type 1 program is told by its encoding alone."""
+        desc = d.resolve(spec.get("FontDescriptor"))
+        if not isinstance(desc, dict):
+            return None
+        try:
+            for key in ("FontFile", "FontFile2", "FontFile3"):
+                s = d.resolve(desc.get(key))
+                if not isinstance(s, Stream):
+                    continue
+                data = d.decoded(s)
+                if key == "FontFile":
+                    return type1_encoding(data)
+                if data[:4] == b"OTTO":
+                    data = sfnt_tables(data)["CFF "]
+                elif data[:4] in (b"\0\1\0\0", b"true"):
+                    return TrueType(data)
+                return CFF(data, cff_standard())
+        except (FolioError, IndexError, KeyError, ValueError, struct.error):
+            pass
+        return None
+
+    def _own_encoding(self, program: TrueType | CFF | dict | None) -> list[str | None] | None:
+        """The characters of the 256 codes as an embedded program has them; None if it does not say."""
+        if isinstance(program, dict):
+            return [glyph_text(program[c]) if c in program else None for c in range(256)]
+        if isinstance(program, TrueType):
+            glyphs = [program.glyph(c) for c in range(256)]
+            name = lambda g: program.chars.get(g) or (glyph_text(program.names[g]) if g in program.names else None)
+            return [name(g) if g else None for g in glyphs] if any(glyphs) else None
+        if isinstance(program, CFF) and program.codes is not None:
+            name = lambda g: program.chars.get(g) or (glyph_text(program.names[g]) if g in program.names else None)
+            return [name(program.codes[c]) if c in program.codes else None for c in range(256)]
+        return None
+
+    def outline(self, code: int, text: str | None) -> list:
+        """The contours of what a code shows, in ems; none where no TrueType program is embedded."""
+        if not isinstance(self.program, TrueType):
+            return []
+        if self.kind == "Type0":
+            g = next((m[code] for m in self.cids.values() if code in m), 0) if self.spaces else code
+            if self.gids is not None:
+                g = self.gids[g] if g < len(self.gids) else 0
+        else:
+            g = self.program.glyph(code) if self.symbolic else self.program.by_char().get(text) or self.program.glyph(code)
+        if g not in self._outlines:
+            try:
+                self._outlines[g] = self.program.outline(g)
+            except (IndexError, ValueError, struct.error):
+                self._outlines[g] = []
+        return self._outlines[g]
+
+    def _split(self, s: bytes):
+        """(bytes of a code, code) by the code spaces; where none fits, by as many bytes as the shortest has."""
+        at, sizes = 0, sorted({n for n, _, _ in self.spaces})
+        while at < len(s):
+            for n in sizes:
+                c = s[at : at + n]
+                if len(c) == n and any(m == n and all(x <= y <= z for x, y, z in zip(lo.to_bytes(n, "big"), c, hi.to_bytes(n, "big"))) for m, lo, hi in self.spaces):
+                    break
+            else:
+                n = sizes[0]
+            yield n, int.from_bytes(s[at : at + n], "big")
+            at += n
+
     def codes(self, s: bytes):
+        if self.spaces:
+            for n, c in self._split(s):
+                cid = self.cids.get(n, {}).get(c, 0)
+                yield c, self.map.get(c, self.glyph_texts.get(cid)), self.widths.get(cid, self.missing), n == 1 and c == 32
+            return
         for i in range(0, len(s) - self.width + 1, self.width):
             c = int.from_bytes(s[i : i + self.width], "big")
             t = self.map.get(c)
-            if t is None and self.width == 1:
-                t = self.table[c]
+            if t is None:
+                t = self.table[c] if self.width == 1 else self.glyph_texts.get(c)
             w = self.widths.get(c, self.missing)
             if w is None:
                 w = standard_width(self.base, t)

@@ -1,6 +1,8 @@
 """Drawing a page: filled and stroked paths, rectangles clips, uncoloured and coloured tilings, plain images.
 
-Not drawn: glyph outlines, shadings, blend modes, soft masks, image codecs other than Flate, LZW, RunLength and ASCII.
+Glyphs are drawn where a TrueType program is embedded, and those of Type 3 fonts. Not drawn: other glyphs (the standard
+fonts are not part of this package), shadings, blend modes, soft masks, image codecs other than Flate, LZW, RunLength and
+ASCII.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from . import content
 from .document import Document
 from .geometry import inherited
 from .objects import FolioError, Name, Stream
-from .text import apply, mul, page_transform
+from .text import NEW_TEXT, Interpreter, Position, apply, laid_out, mul, page_transform, text_operator
 
 MAX_PIXELS = 65_535
 MAX_FORM_DEPTH = 32
@@ -110,10 +112,27 @@ def _rgb(space: str, v: list[float]) -> tuple:
 
 
 class Canvas:
-    def __init__(self, d: Document, width: int, height: int):
+    def __init__(self, d: Document, width: int, height: int, words: Interpreter | None = None):
         self.d, self.w, self.h = d, width, height
+        self.words = words or Interpreter(d)
         self.img = np.full((height, width, 3), 255, dtype=np.uint8)
 
+    def show(self, s: bytes, st: dict, tm: tuple, res: dict, depth: int) -> tuple:
+        """Glyphs with outlines of their own (TrueType, and Type 3 by its procedures); others only take their room."""
+        f = st["font"]
+        if f is None:
+            f = st["font"] = self.words.font({})
+        laid, move = laid_out(f, s, st)
+        for moved, code, text, _ in laid:
+            m = mul((st["size"] * st["scale"], 0, 0, st["size"], 0, st["rise"]), mul((1, 0, 0, 1, 0, moved) if f.vertical else (1, 0, 0, 1, moved, 0), mul(tm, st["ctm"])))
+            proc = f.procs.get(code)
+            if isinstance(proc, Stream) and depth < MAX_FORM_DEPTH:
+                own = f.resources if isinstance(f.resources, dict) else res
+                self.run(self.d.decoded(proc), own, mul(tuple(f.matrix), m), st["clip"], depth + 1, st["fill"])
+            elif st["mode"] in (0, 2, 4, 6) and (shape := f.outline(code, text)):
+                self.fill([p @ np.array([[m[0], m[1]], [m[2], m[3]]]) + np.array(m[4:]) for p in shape], False, st)
+        return mul(move, tm)
+
     def paint(self, cover: tuple | None, color: tuple, clip: np.ndarray | None) -> None:
         if cover is None:
             return
@@ -182,7 +201,7 @@ class Canvas:
         h = int(min(self.h, max(1, np.ceil(high * np.hypot(m[2], m[3])))))
         shots = []
         for ground in (255, 0):
-            cell = Canvas(self.d, w, h)
+            cell = Canvas(self.d, w, h, self.words)
             cell.img[:] = ground
             cell.run(data, own, (w / wide, 0, 0, h / high, -box[0] * w / wide, -box[1] * h / high), None, 1, st["fill"])
             shots.append(cell.img.astype(np.float32))
@@ -232,7 +251,9 @@ class Canvas:
 
     def run(self, data: bytes, res: dict, ctm: tuple, clip: np.ndarray | None, depth: int, ink: tuple = (0.0, 0.0, 0.0)) -> None:
         d = self.d
-        st = {"ctm": ctm, "fill": ink, "stroke": ink, "pattern": None, "width": 1.0, "clip": clip, "base": ctm}
+        st = {"ctm": ctm, "fill": ink, "stroke": ink, "pattern": None, "width": 1.0, "clip": clip, "base": ctm, **NEW_TEXT}
+        at, font = Position(), self.words.named_font(res)
+        show = lambda s, st, tm: self.show(s, st, tm, res, depth)
         saved, paths, cur, closed, want_clip = [], [], [], [], None
         for op, a in content.operators(data, lenient=True):
             try:
@@ -243,6 +264,8 @@ class Canvas:
                     st = saved.pop() if saved else st
                 elif op == "cm":
                     st["ctm"] = mul(tuple(float(x) for x in a), m)
+                elif text_operator(op, a, st, at, font, show):
+                    continue
                 elif op == "w":
                     st["width"] = float(a[0])
                 elif op == "m":

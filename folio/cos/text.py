@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from typing import Any, NamedTuple
 
 import numpy as np
@@ -72,6 +73,73 @@ def page_transform(d: Document, num: int) -> tuple[tuple, float, float]:
     return m, float(w), float(h)
 
 
+NEW_TEXT = {"font": None, "size": 0.0, "char": 0.0, "word": 0.0, "scale": 1.0, "lead": 0.0, "rise": 0.0, "mode": 0}
+UNIT = (1, 0, 0, 1, 0, 0)
+
+
+class Position:
+    """The text matrix and that of the line."""
+
+    def __init__(self) -> None:
+        self.tm = self.line = UNIT
+
+    def move(self, m: tuple) -> None:
+        self.tm = self.line = m
+
+
+def numbers(a: list) -> list[float]:
+    return [float(x) if isinstance(x, (int, float)) else 0.0 for x in a]
+
+
+def text_operator(op: str, args: list, st: dict, at: Position, font: Callable[[Any], Font], show: Callable[[bytes, dict, tuple], tuple]) -> bool:
+    """Carry out a text operator on the state and the position; whether it was one. ``show`` gives the matrix after a string."""
+    if op == "BT":
+        at.move(UNIT)
+    elif op == "Tf":
+        st["font"], st["size"] = font(args[0]), float(args[1])
+    elif op in ("Tc", "Tw", "TL", "Ts"):
+        st[{"Tc": "char", "Tw": "word", "TL": "lead", "Ts": "rise"}[op]] = numbers(args)[0]
+    elif op == "Tz":
+        st["scale"] = numbers(args)[0] / 100
+    elif op == "Tr":
+        st["mode"] = int(args[0])
+    elif op in ("Td", "TD"):
+        x, y = numbers(args[:2])
+        if op == "TD":
+            st["lead"] = -y
+        at.move(mul((1, 0, 0, 1, x, y), at.line))
+    elif op == "Tm":
+        at.move(tuple(numbers(args[:6])))
+    elif op == "T*":
+        at.move(mul((1, 0, 0, 1, 0, -st["lead"]), at.line))
+    elif op in ("Tj", "TJ", "'", '"'):
+        if op == '"':
+            st["word"], st["char"] = numbers(args[:2])
+        if op in ("'", '"'):
+            at.move(mul((1, 0, 0, 1, 0, -st["lead"]), at.line))
+        for part in args[-1] if op == "TJ" else [args[-1]]:
+            if isinstance(part, bytes):
+                at.tm = show(part, st, at.tm)
+            elif isinstance(part, (int, float)):
+                step = -part / 1000 * st["size"]
+                vertical = st["font"] is not None and st["font"].vertical
+                at.tm = mul((1, 0, 0, 1, 0, step) if vertical else (1, 0, 0, 1, step * st["scale"], 0), at.tm)
+    else:
+        return False
+    return True
+
+
+def laid_out(f: Font, s: bytes, st: dict) -> tuple[list[tuple[float, int, str | None, float | None]], tuple]:
+    """How far along its line each code of ``s`` stands, with its text and width; and the move to the end."""
+    unit = f.matrix[0] if f.kind == "Type3" else 0.001
+    out, moved, size = [], 0.0, st["size"]
+    for code, text, w, space in f.codes(s):
+        out.append((moved, code, text, w))
+        extra = st["char"] + (st["word"] if space else 0.0)
+        moved += extra - size if f.vertical else ((500.0 if w is None else w) * unit * size + extra) * st["scale"]
+    return out, (1, 0, 0, 1, 0, moved) if f.vertical else (1, 0, 0, 1, moved, 0)
+
+
 class Interpreter:
     """Walks content and collects glyphs."""
 
@@ -89,11 +157,17 @@ class Interpreter:
         self.bad_font |= not f.supported
         return f
 
+    def named_font(self, resources: dict) -> Callable[[Any], Font]:
+        def of(name: Any) -> Font:
+            table = self.d.resolve(resources.get("Font")) or {}
+            return self.font(table[name]) if name in table else self.font({})
+
+        return of
+
     def run(self, data: bytes, resources: dict, ctm: tuple, depth: int = 0) -> None:
-        d, saved = self.d, []
-        state = {"ctm": ctm, "font": None, "size": 0.0, "char": 0.0, "word": 0.0, "scale": 1.0, "lead": 0.0, "rise": 0.0, "mode": 0}
-        tm = line = (1, 0, 0, 1, 0, 0)
-        num = lambda a: [float(x) if isinstance(x, (int, float)) else 0.0 for x in a]
+        d, saved, at = self.d, [], Position()
+        state = {"ctm": ctm, **NEW_TEXT}
+        font = self.named_font(resources)
         for op, args in content.operators(data, lenient=True):
             try:
                 if op == "q":
@@ -101,39 +175,9 @@ class Interpreter:
                 elif op == "Q":
                     state = saved.pop() if saved else state
                 elif op == "cm":
-                    state["ctm"] = mul(tuple(num(args[:6])), state["ctm"])
-                elif op == "BT":
-                    tm = line = (1, 0, 0, 1, 0, 0)
-                elif op == "Tf":
-                    table = d.resolve(resources.get("Font")) or {}
-                    state["font"], state["size"] = (self.font(table[args[0]]) if args[0] in table else self.font({})), float(args[1])
-                elif op in ("Tc", "Tw", "TL", "Ts"):
-                    state[{"Tc": "char", "Tw": "word", "TL": "lead", "Ts": "rise"}[op]] = num(args)[0]
-                elif op == "Tz":
-                    state["scale"] = num(args)[0] / 100
-                elif op == "Tr":
-                    state["mode"] = int(args[0])
-                elif op in ("Td", "TD"):
-                    x, y = num(args[:2])
-                    if op == "TD":
-                        state["lead"] = -y
-                    tm = line = mul((1, 0, 0, 1, x, y), line)
-                elif op == "Tm":
-                    tm = line = tuple(num(args[:6]))
-                elif op == "T*":
-                    tm = line = mul((1, 0, 0, 1, 0, -state["lead"]), line)
-                elif op in ("Tj", "TJ", "'", '"'):
-                    if op == '"':
-                        state["word"], state["char"] = num(args[:2])
-                    if op in ("'", '"'):
-                        tm = line = mul((1, 0, 0, 1, 0, -state["lead"]), line)
-                    for part in args[-1] if op == "TJ" else [args[-1]]:
-                        if isinstance(part, bytes):
-                            tm = self.show(part, state, tm)
-                        elif isinstance(part, (int, float)):
-                            step = -part / 1000 * state["size"]
-                            vertical = state["font"] is not None and state["font"].vertical
-                            tm = mul((1, 0, 0, 1, 0, step) if vertical else (1, 0, 0, 1, step * state["scale"], 0), tm)
+                    state["ctm"] = mul(tuple(numbers(args[:6])), state["ctm"])
+                elif text_operator(op, args, state, at, font, self.show):
+                    continue
                 elif op == "Do":
                     form = d.resolve((d.resolve(resources.get("XObject")) or {}).get(args[0]))
                     self.form(form, resources, state["ctm"], depth)
@@ -170,17 +214,15 @@ class Interpreter:
         unit = f.matrix[0] if em else 0.001
         stroke, both = st["mode"] in (1, 5), st["mode"] in (2, 6)
         step = (line[2], line[3]) if f.vertical else (line[0], line[1])
-        x0, y0, moved, add = place[4], place[5], 0.0, self.glyphs.append
-        for _, text, w, space in f.codes(s):
+        x0, y0, add = place[4], place[5], self.glyphs.append
+        laid, move = laid_out(f, s, st)
+        for moved, _, text, w in laid:
             adv = (place[0] * w * unit, place[1] * w * unit) if w is not None and not em else None
             g = Glyph(text, (x0 + moved * step[0], y0 + moved * step[1]), right, up, adv, stroke)
             add(g)
             if both:
                 add(g._replace(stroke=True))
-            extra = st["char"] + (st["word"] if space else 0.0)
-            moved += extra - size if f.vertical else ((500.0 if w is None else w) * unit * size + extra) * st["scale"]
-        tm = mul((1, 0, 0, 1, 0, moved) if f.vertical else (1, 0, 0, 1, moved, 0), tm)
-        return tm
+        return mul(move, tm)
 
 
 class Columns:

@@ -464,3 +464,138 @@ def test_forms_below_the_limit_are_told():
     n = text.MAX_FORM_DEPTH + 3
     forms = {20 + k: Stream({N("Type"): N("XObject"), N("Subtype"): N("Form"), N("BBox"): [0, 0, 9, 9], N("Resources"): {N("XObject"): {N("X"): Ref(21 + k, 0)}}}, b"/X Do") for k in range(n)}
     assert runs(X.one_page(b"/X Do", resources={N("XObject"): {N("X"): Ref(20, 0)}}, objects=forms)).degraded
+
+
+# --- embedded fonts
+
+
+def sfnt(chars: str, code_of=lambda k: 0xF000 + 65 + k, unicode: bool = True, names: list[str] = ()) -> bytes:
+    """A TrueType program whose glyph k + 1 is ``chars[k]``, with a symbol map, and a Unicode map or names."""
+    import struct
+
+    def segments(pairs: list[tuple[int, int]]) -> bytes:
+        pairs = sorted(pairs)
+        ends, deltas = [c for c, _ in pairs] + [0xFFFF], [(g - c) & 0xFFFF for c, g in pairs] + [1]
+        n = len(ends)
+        body = struct.pack(f">HHHH{n}HH{n}H{n}H{n}H", 2 * n, 0, 0, 0, *ends, 0, *ends, *deltas, *[0] * n)
+        return struct.pack(">HHH", 4, 6 + len(body), 0) + body
+
+    maps = [(3, 0, segments([(code_of(k), k + 1) for k in range(len(chars))]))]
+    if unicode:
+        maps.append((3, 1, segments([(ord(c), k + 1) for k, c in enumerate(chars)])))
+    at, head, bodies = 4 + 8 * len(maps), b"", b""
+    for platform, way, b in maps:
+        head += struct.pack(">HHI", platform, way, at + len(bodies))
+        bodies += b
+    tables = {b"cmap": struct.pack(">HH", 0, len(maps)) + head + bodies}
+    if names:
+        index = [0, *range(258, 258 + len(names))]
+        tables[b"post"] = struct.pack(">I", 0x20000) + bytes(28) + struct.pack(f">H{len(index)}H", len(index), *index) + b"".join(bytes([len(n)]) + n.encode() for n in names)
+    out, at = struct.pack(">IHHHH", 0x10000, len(tables), 0, 0, 0), 12 + 16 * len(tables)
+    for tag, t in tables.items():
+        out += struct.pack(">4sIII", tag, 0, at, len(t))
+        at += len(t)
+    return out + b"".join(tables.values())
+
+
+def read_with(font: dict, shown: bytes, **objects) -> str:
+    p = runs(X.one_page(b"BT /F1 10 Tf 72 700 Td " + shown + b" Tj ET", font, objects={int(k[1:]): v for k, v in objects.items()}))
+    return "".join(r.text for r in p.runs)
+
+
+def test_embedded_programs_give_text():
+    simple = {N("Type"): N("Font"), N("Subtype"): N("TrueType"), N("BaseFont"): N("ABCDEF+X"), N("FontDescriptor"): Ref(10, 0), N("FirstChar"): 65, N("Widths"): [500] * 6}
+    desc = lambda key, **k: {N("Type"): N("FontDescriptor"), N(key): Ref(11, 0)}
+    assert read_with(simple, b"(ABC)", o10=desc("FontFile2"), o11=Stream({}, sfnt("wör"))) == "wör"
+    assert read_with(simple, b"(AB)", o10=desc("FontFile2"), o11=Stream({}, sfnt("xy", unicode=False, names=["fi", "eacute"]))) == "fié"
+    t1 = simple | {N("Subtype"): N("Type1")}
+    clear = b"%!PS-AdobeFont\n/Encoding 256 array\n0 1 255 {1 index exch /.notdef put} for\ndup 65 /germandbls put\ndup 66/uni00E9 put\nreadonly def\ncurrentfile eexec \x80\x90"
+    assert read_with(t1, b"(AB)", o10=desc("FontFile"), o11=Stream({}, clear)) == "ßé"
+    # what the font dictionary says goes before what the program says
+    assert read_with(simple | {N("Encoding"): N("WinAnsiEncoding")}, b"(ABC)", o10=desc("FontFile2"), o11=Stream({}, sfnt("wör"))) == "ABC"
+    assert read_with(simple, b"(ABC)", o10=desc("FontFile2"), o11=Stream({}, b"\0\1\0\0\0\x09junk")) == "ABC"
+
+
+def test_cff_programs_give_text():
+    def index(items: list[bytes]) -> bytes:
+        off = np.cumsum([1, *map(len, items)]).tolist()
+        return len(items).to_bytes(2, "big") + (b"\x02" + b"".join(x.to_bytes(2, "big") for x in off) + b"".join(items) if items else b"")
+
+    def program(top_of) -> bytes:
+        num = lambda n: b"\x1d" + n.to_bytes(4, "big")
+        strings = index([b"adieresis", b"f_i"])
+        top = lambda at: num(at) + b"\x0f" + num(at + 20) + b"\x10" + num(at + 40) + b"\x11"
+        size = len(index([top(0)]))
+        at = 4 + len(index([b"X"])) + size + len(strings) + len(index([]))
+        charset = b"\0" + b"".join(s.to_bytes(2, "big") for s in (34, 391, 392, 149))
+        codes = b"\x01\x02" + bytes([65, 1, 97, 1])
+        body = charset.ljust(20, b"\0") + codes.ljust(20, b"\0") + index([b"\x0e"] * 5)
+        return b"\1\0\4\2" + index([b"X"]) + index([top(at)]) + strings + index([]) + body
+
+    font = {N("Type"): N("Font"), N("Subtype"): N("Type1"), N("BaseFont"): N("X"), N("FontDescriptor"): Ref(10, 0), N("FirstChar"): 65, N("Widths"): [500] * 40}
+    assert read_with(font, b"(ABab)", o10={N("FontFile3"): Ref(11, 0)}, o11=Stream({N("Subtype"): N("Type1C")}, program(None))) == "Aäfiß"
+
+
+def test_embedded_code_maps():
+    cmap = b"""begincmap 2 begincodespacerange <00> <7f> <8000> <ffff> endcodespacerange
+    1 begincidrange <20> <7e> 1 endcidrange 2 begincidchar <8001> 300 <8002> 301 endcidchar endcmap"""
+    kid = {N("Type"): N("Font"), N("Subtype"): N("CIDFontType2"), N("BaseFont"): N("X"), N("DW"): 600, N("W"): [300, [250, 750]], N("FontDescriptor"): Ref(12, 0), N("CIDToGIDMap"): Ref(14, 0)}
+    gids = bytearray(2 * 302)
+    gids[2 * 34 : 2 * 34 + 2], gids[600:602], gids[602:604] = b"\0\1", b"\0\2", b"\0\3"
+    font = {N("Type"): N("Font"), N("Subtype"): N("Type0"), N("BaseFont"): N("X"), N("Encoding"): Ref(10, 0), N("DescendantFonts"): [Ref(11, 0)]}
+    more = {"o10": Stream({N("Type"): N("CMap")}, cmap), "o11": kid, "o12": {N("FontFile2"): Ref(13, 0)}, "o13": Stream({}, sfnt("Aß字")), "o14": Stream({}, bytes(gids))}
+    assert read_with(font, b"<41 8001 8002 41>", **more) == "Aß字A"
+    p = runs(X.one_page(b"BT /F1 10 Tf 72 700 Td <8001800241> Tj ET", font, objects={int(k[1:]): v for k, v in more.items()}))
+    assert abs(p.runs[0].width - 16) < 1e-3 and not p.degraded  # 250 + 750 + 600
+
+
+def outlined() -> bytes:
+    """A program with a square glyph, a ring drawn by curves, and one made of the square twice."""
+    import struct
+
+    def glyph(contours: list[list[tuple[int, int, int]]]) -> bytes:
+        pts = [p for c in contours for p in c]
+        ends = np.cumsum([len(c) for c in contours]) - 1
+        dx, dy = np.diff([0, *[p[0] for p in pts]]), np.diff([0, *[p[1] for p in pts]])
+        return struct.pack(f">h4h{len(ends)}HH", len(ends), 0, 0, 0, 0, *ends.tolist(), 0) + bytes(p[2] for p in pts) + struct.pack(f">{len(pts)}h", *dx.tolist()) + struct.pack(f">{len(pts)}h", *dy.tolist())
+
+    square = glyph([[(0, 0, 1), (500, 0, 1), (500, 500, 1), (0, 500, 1)]])
+    disc = glyph([[(0, 500, 0), (500, 500, 0), (500, 0, 0), (0, 0, 0)]])
+    twice = struct.pack(">h4h", -1, 0, 0, 0, 0) + struct.pack(">HHhh", 1 | 2 | 32, 1, 0, 0) + struct.pack(">HHhhh", 1 | 2 | 8, 1, 600, 0, 8192)
+    bodies = [b"", square, disc, twice]
+    loca = np.cumsum([0, *map(len, bodies)])
+    head = bytearray(54)
+    head[18:20], head[50:52] = (1000).to_bytes(2, "big"), b"\0\1"
+    base = sfnt("SDT")
+    n, at = 3, 12
+    cmap = base[int.from_bytes(base[20:24], "big") :]
+    tables = {b"cmap": cmap, b"head": bytes(head), b"loca": b"".join(int(x).to_bytes(4, "big") for x in loca), b"glyf": b"".join(bodies)}
+    out, at = struct.pack(">IHHHH", 0x10000, len(tables), 0, 0, 0), 12 + 16 * len(tables)
+    for tag, t in tables.items():
+        out += struct.pack(">4sIII", tag, 0, at, len(t))
+        at += len(t)
+    return out + b"".join(tables.values())
+
+
+def drawn(b: bytes, scale: float = 1.0) -> np.ndarray:
+    d = open_document(b)
+    m, w, h = text.page_transform(d, d.pages()[0])
+    c = raster.Canvas(d, int(w * scale), int(h * scale))
+    c.run(content.page_content(d, d.get(3)["Contents"]), d.get(3)["Resources"], text.mul(m, (scale, 0, 0, scale, 0, 0)), None, 0)
+    return c.img
+
+
+def test_glyphs_are_drawn():
+    font = {N("Type"): N("Font"), N("Subtype"): N("TrueType"), N("BaseFont"): N("X"), N("FontDescriptor"): Ref(10, 0), N("FirstChar"): 65, N("Widths"): [1000] * 3}
+    objects = {10: {N("FontFile2"): Ref(11, 0)}, 11: Stream({}, outlined())}
+    media = {N("MediaBox"): [0, 0, 200, 60]}
+    img = drawn(X.one_page(b"1 0 0 rg BT /F1 40 Tf 10 10 Td (ABC) Tj ET", font, extra=media, objects=objects))
+    red = (img == [255, 0, 0]).all(axis=2)
+    assert red[60 - 30 : 60 - 10, 10:30].all() and red[:, 10:40].sum() == 400  # half an em square
+    disc = red[:, 50:80].sum()
+    assert 250 < disc < 340 and red[60 - 20, 60] and not red[60 - 29, 51]
+    assert red[60 - 30 : 60 - 10, 90:110].all() and red[60 - 20 : 60 - 10, 114:124].all() and red[:, 90:150].sum() == 400 + 100
+    type3 = {N("Type"): N("Font"), N("Subtype"): N("Type3"), N("FontMatrix"): [0.01, 0, 0, 0.01, 0, 0], N("FontBBox"): [0, 0, 100, 100], N("FirstChar"): 65, N("Widths"): [100], N("Encoding"): {N("Differences"): [65, N("box")]}, N("CharProcs"): {N("box"): Ref(12, 0)}}
+    img = drawn(X.one_page(b"0 0 1 rg BT /F1 20 Tf 10 10 Td (AA) Tj ET", type3, extra=media, objects={12: Stream({}, b"0 0 50 50 re f")}))
+    blue = (img == [0, 0, 255]).all(axis=2)
+    assert blue.sum() == 200 and blue[60 - 20 : 60 - 10, 10:20].all() and blue[60 - 20 : 60 - 10, 30:40].all()
