@@ -373,9 +373,16 @@ def shards_for(places: float, verify: bool) -> int:
     return int(max(LEAST_SHARDS, -(-places * (NAME_BYTES[verify] + 2) // SHARD_BYTES)))
 
 
-def _union_places(table: pa.Table) -> pa.Table:
-    p = np.unique(np.concatenate([from_runs(b) for b in table.column("places").to_pylist()]))
-    return pa.table({"p_id": table.column("p_id").slice(0, 1), "p_h1": table.column("p_h1").slice(0, 1), "places": pa.array([to_runs(p)], pa.binary())})
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        out = [x[0] if len(x) == 1 else to_runs(np.unique(np.concatenate([from_runs(r) for r in x]))) for x in b.column("several").to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column("p_id"), b.column("p_h1"), pa.array(out, pa.binary())], names=["p_id", "p_h1", "places"])
+
+
+def one_each(found: DataFrame) -> DataFrame:
+    """Places by text, from rows of its pieces; rows alike in id and text have the same places and count once."""
+    lists = found.groupBy("p_id", "p_h1").agg(F.collect_set("places").alias("several"))
+    return lists.mapInArrow(_united, "p_id long, p_h1 long, places binary")
 
 
 def _cut(raw: bytes, places: bytes) -> tuple[int, int, str]:
@@ -417,7 +424,6 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     taking = d.where(F.octet_length("raw") >= LENGTH)
     taking = taking.join(few, same(taking), "left").where(F.col("rep").isNull() | (F.col("doc_id") == F.col("rep"))).select("doc_id", "h1", "raw")
-    one_each = lambda df: df.groupBy("p_id", "p_h1").applyInArrow(_union_places, "p_id long, p_h1 long, places binary")
     left = stage(one_each(repeated_places(taking, shards, False)), "left")
     on = lambda a, b: a["doc_id"].eqNullSafe(b["p_id"]) & (a["h1"] == b["p_h1"])
     remaining = stage(taking.join(left, on(taking, left)).select("doc_id", "h1", "raw", "places"), "remaining")

@@ -7,8 +7,9 @@ distinct fingerprint emits all ``1 + 64 + 2016`` points of its ball and equal po
 Writing 2,081 points per fingerprint to a shuffle would cost far more than the corpus. A point's shard is
 the parity of each of its byte lanes, so a fingerprint's ball touches only ``1 + 8 + 28`` of 256 shards: the
 shuffle carries the bare fingerprint to these shards and each shard makes its own points, sorts them and
-keeps the links of a spanning forest. With more fingerprints the lanes get narrower (``lanes``), so a
-shard's work stays bounded; near-copies differ in some bit and so spread over the shards as well.
+keeps the links of a spanning forest. With every doubling of the fingerprints there is a lane more, so a shard's work
+stays the same and a fingerprint travels to ``1 + lanes + lanes * (lanes - 1) / 2`` shards: 37 up to half a million
+fingerprints, 92 at 15 million, 191 at a billion. Near-copies differ in some bit and so spread over the shards as well.
 
 Nulls: a null text counts as empty and has fingerprint zero. A null id takes no part in the choice of a
 component's id unless all its ids are null. Fingerprints, not ids, are linked, so rows without an id or with a
@@ -86,9 +87,15 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, extra: list[Column] =
 
 
 def lane_masks(lanes: int) -> np.ndarray:
-    """``lanes`` masks of 64 / lanes neighbouring bits."""
-    width = 64 // lanes
-    return np.array([((1 << width) - 1) << (i * width) for i in range(lanes)], dtype=np.uint64)
+    """``lanes`` masks of neighbouring bits, as equal as can be."""
+    masks = [0] * lanes
+    for i, lane in enumerate(lane_of_bit(lanes)):
+        masks[lane] |= 1 << i
+    return np.array(masks, dtype=np.uint64)
+
+
+def lane_of_bit(lanes: int) -> list[int]:
+    return [i * lanes // 64 for i in range(64)]
 
 
 def _parity(x: np.ndarray) -> np.ndarray:
@@ -107,14 +114,14 @@ def shard_of(fp: np.ndarray, lanes: int) -> np.ndarray:
 @cache
 def ball_flips(lanes: int, half: int = HALF) -> dict[int, np.ndarray]:
     """The flips of at most ``half`` bits, by what they do to a shard's number; made once in a worker."""
-    width = 64 // lanes
+    lane = lane_of_bit(lanes)
     by: dict[int, list[int]] = {0: [0]}
     frontier = [(0, -1, 0)]
     for _ in range(half):
         grown = []
         for mask, top, move in frontier:
             for i in range(top + 1, 64):
-                m, to = mask | (1 << i), move ^ (1 << (i // width))
+                m, to = mask | (1 << i), move ^ (1 << lane[i])
                 by.setdefault(to, []).append(m)
                 grown.append((m, i, to))
         frontier = grown
@@ -126,11 +133,8 @@ def ball_size(half: int = HALF) -> int:
 
 
 def lanes_for(n: int, points: int = 2081) -> int:
-    """As many lanes (8, 16 or 32) as keep a shard's points near ``SHARD_POINTS``."""
-    for lanes in (8, 16):
-        if n * points / (1 << lanes) <= SHARD_POINTS:
-            return lanes
-    return 32
+    """The fewest lanes, 8 to 32, that keep a shard's points at ``SHARD_POINTS``: the work of a shard stays the same as ``n`` grows."""
+    return next((k for k in range(8, 32) if n * points >> k <= SHARD_POINTS), 32)
 
 
 def _forest(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
