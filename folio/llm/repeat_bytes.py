@@ -14,9 +14,13 @@ of the usual v = 3 would be sampled from two thirds of all positions; here v = 1
    Equal neighbours are repeats. This goes in ``ROUNDS`` rounds, each over its share of the names, so that at any time
    only that share is on disk.
 
-A name of step 1 only proposes candidates. A name of step 2 is two independent sums of 64 bits each, and neighbours are
-equal if both are: among n windows the expected number of unlike pairs taken for equal is about n² / 2**129. Bytes of
-different machines are not laid side by side; places of one batch are, by :func:`_alike`.
+3. Neighbours are compared. Each repeated place knows its neighbour in the sorted order; neighbouring places whose
+   neighbours lie side by side as well form runs, and both ends of a run tell a digest of its bytes. If any two
+   differ, names have collided, and step 2 is done again with other names; so a result never rests on names alone.
+   Places of one batch are compared byte for byte.
+
+A name of step 1 only proposes candidates. A name of step 2 is two independent sums of 64 bits each, so that it hardly
+ever has to be done again: among n windows about n² / 2**129 unlike pairs with one name are expected.
 
 Names and places travel in packed arrays, one row for each batch of texts and shard, and a batch sends each name once
 however often it has it; so neither a frequent line nor a large group of copies makes a large shard. Exact copies
@@ -57,8 +61,10 @@ ROUNDS = 4
 BROADCAST_ROWS = 500_000
 
 _rng = np.random.default_rng(20240229)
-_TABLES = _rng.integers(0, 2**64, size=(2, 256), dtype=np.uint64)
-_BASES = [int(x) | 1 for x in _rng.integers(2**62, 2**63, size=2)]
+#: How often step 2 is tried with names of its own, should they collide.
+TRIES = 8
+_TABLES = _rng.integers(0, 2**64, size=(2 * TRIES, 256), dtype=np.uint64)
+_BASES = [int(x) | 1 for x in _rng.integers(2**62, 2**63, size=2 * TRIES)]
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -233,39 +239,69 @@ def _alike(raw: np.ndarray, pos: np.ndarray, by: np.ndarray, same: np.ndarray, w
     return out
 
 
-def emit(shards: int, verify: bool, share: int = 0, rounds: int = 1):
+def _uid(who: list) -> int:
+    """A number for a batch, by the texts and pieces in it."""
+    keys = np.array([v for i, h, at in who for v in (0 if i is None else i, int(i is None), h, at)], dtype="<i8")
+    return int.from_bytes(hashlib.blake2b(keys.tobytes(), digest_size=8).digest(), "little", signed=True)
+
+
+def _info(who: list, start: np.ndarray, length: np.ndarray) -> bytes:
+    """What :func:`resolve` has to know of a batch's pieces: ids, text hashes, offsets in their texts and in the batch, lengths."""
+    ids, hs, at = zip(*who)
+    cols = [0 if i is None else i for i in ids], [int(i is None) for i in ids], hs, at, start, length
+    return np.array([len(who)], dtype="<i8").tobytes() + b"".join(np.array(c, dtype="<i8").tobytes() for c in cols)
+
+
+def _laid(batches: Iterator[pa.RecordBatch], width: int, with_left: bool) -> Iterator[tuple[int, bytes, bytes, np.ndarray]]:
+    """Batches of texts: their number, what is in them, their bytes and the places at which windows of ``width`` are named."""
+    for who, raws, left in _pieces(batches, width, with_left):
+        length, at = np.array([len(x) for x in raws], dtype=np.int64), np.array([x[2] for x in who], dtype=np.int64)
+        start, count = np.cumsum(length) - length, length - width + 1
+        if with_left:
+            r = np.frombuffer(b"".join(left), dtype="<u4").astype(np.int64).reshape(-1, 2)
+            which = np.repeat(np.arange(len(who)), [len(x) // 8 for x in left])
+            pos = merged(np.column_stack([which, r]), start, at, count)
+        else:
+            pos = sampled(start, at, count)
+        if len(pos):
+            yield _uid(who), _info(who, start, length), b"".join(raws), pos
+
+
+def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows ``uid, info, raw, places``: what remains for step 2, about ``BATCH`` bytes each."""
+    for uid, info, raw, pos in _laid(batches, LENGTH, True):
+        yield pa.RecordBatch.from_pydict({"uid": [uid], "info": [info], "raw": [raw], "places": [to_runs(pos)]})
+
+
+def _relaid(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bytes, bytes, np.ndarray]]:
+    for b in batches:
+        for i in range(b.num_rows):
+            uid, info, raw, places = (b.column(c)[i].as_py() for c in ("uid", "info", "raw", "places"))
+            yield uid, info, raw, from_runs(places)
+
+
+def emit(shards: int, verify: bool, share: int = 0, rounds: int = 1, attempt: int = 0, bits: int = 64):
     """Names and places of one step's windows, packed by shard; of the names, the ``share``-th of ``rounds`` shares."""
     width, size = LENGTH if verify else TUPLE, NAME_BYTES[verify]
     gap = gap_bytes(shards * rounds, 1 if verify else V // len(COVER))
+    few = np.uint64((1 << bits) - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for who, raws, left in _pieces(batches, width, verify):
-            length, at = np.array([len(x) for x in raws], dtype=np.int64), np.array([x[2] for x in who], dtype=np.int64)
-            start, count = np.cumsum(length) - length, length - width + 1
-            raw = np.frombuffer(b"".join(raws), dtype=np.uint8)
-            if verify:
-                r = np.frombuffer(b"".join(left), dtype="<u4").astype(np.int64).reshape(-1, 2)
-                which = np.repeat(np.arange(len(who)), [len(x) // 8 for x in left])
-                pos = merged(np.column_stack([which, r]), start, at, count)
-            else:
-                pos = sampled(start, at, count)
-            pos = pos.astype(np.int32)
-            check = Names(raw, 1).at(pos, width)
+        for uid, info, data, pos in _relaid(batches) if verify else _laid(batches, width, False):
+            raw, pos = np.frombuffer(data, dtype=np.uint8), pos.astype(np.int32)
+            check = Names(raw, 2 * attempt + 1).at(pos, width) & few
             if rounds > 1:
                 ours = (check >> np.uint64(60)) % np.uint64(rounds) == np.uint64(share)
                 pos, check = pos[ours], check[ours]
             if not len(pos):
                 continue
-            name = Names(raw, 0).at(pos, width) if verify else check
+            name = Names(raw, 2 * attempt).at(pos, width) & few if verify else check
             # a name the batch has twice or more: all its places are repeats, one of them tells other batches
             by, same = _ordered(name, check)
             if verify:
                 same = _alike(raw, pos, by, same, width)
             local = np.sort(pos[by[np.r_[same, False] | np.r_[False, same]]]).astype(np.int64)
-            head = [(0 if i is None else i, int(i is None), h, at) for i, h, at in who]
-            uid = int.from_bytes(hashlib.blake2b(np.array([share, *(v for x in head for v in x)], dtype="<i8").tobytes(), digest_size=8).digest(), "little", signed=True)
-            info = np.array([len(who)], dtype="<i8").tobytes() + b"".join(np.array(x, dtype="<i8").tobytes() for x in (*zip(*head), start, length)) + to_runs(local)
-            out = [[uid % shards], [uid], [INFO], [info]]
+            out = [[uid % shards], [uid], [INFO], [info + to_runs(local)]]
             one = by[np.r_[True, ~same]]
             pos, name, check = pos[one], name[one], check[one]
             shard = (((check >> np.uint64(20)) & np.uint64(0xFFFFFFFF)) % np.uint64(shards)).astype(np.int64)
@@ -281,9 +317,9 @@ def emit(shards: int, verify: bool, share: int = 0, rounds: int = 1):
     return run
 
 
-def _ordered(first: np.ndarray, second: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+def _ordered(first: np.ndarray, second: np.ndarray | None, stable: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """An order in which equal names are neighbours, and which neighbours are equal."""
-    by = np.argsort(first)
+    by = np.argsort(first, kind="stable" if stable else None)
     x = first[by]
     same = x[1:] == x[:-1]
     if second is not None and second is not first:
@@ -295,77 +331,186 @@ def _ordered(first: np.ndarray, second: np.ndarray | None) -> tuple[np.ndarray,
     return by, same
 
 
-def _shared(words: np.ndarray, whose: np.ndarray) -> np.ndarray:
-    """Of rows of one or two 64-bit words: which are equal to a row of another owner."""
-    by, same = _ordered(np.ascontiguousarray(words[:, 0]), np.ascontiguousarray(words[:, 1]) if words.shape[1] > 1 else None)
+def _shared(words: np.ndarray, whose: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows of one or two 64-bit words: which are equal to a row of another owner, and for each one such neighbour.
+
+    Owners are in ascending order, and so are the rows of a class: a row's neighbour is the one before it in its class,
+    of the first one the one after.
+    """
+    two = words.shape[1] > 1
+    by, same = _ordered(np.ascontiguousarray(words[:, 0]), np.ascontiguousarray(words[:, 1]) if two else None, stable=two)
     several = by[np.r_[same, False] | np.r_[False, same]]
     head = np.flatnonzero(np.r_[True, ~same])
     n = np.diff(np.r_[head, len(by)])
     n = n[n > 1]
     if not len(n):
-        return several
+        return several, several
     start, w = np.cumsum(n) - n, whose[several]
-    return np.sort(several[np.repeat(np.minimum.reduceat(w, start) != np.maximum.reduceat(w, start), n)])
+    first = np.zeros(len(several), dtype=bool)
+    first[start] = True
+    near = np.where(first, np.r_[several[1:], several[:1]], np.r_[several[-1:], several[:-1]])
+    keep = np.repeat(np.minimum.reduceat(w, start) != np.maximum.reduceat(w, start), n)
+    hit, near = several[keep], near[keep]
+    order = np.argsort(hit)
+    return hit[order], near[order]
 
 
 def meet(size: int):
-    """In a shard: the places whose name another batch has too; what is known of each batch passes through."""
+    """In a shard: the places whose name another batch has too; what is known of each batch passes through.
+
+    In the second step (names of two words) each place comes with its neighbour's batch and place.
+    """
+    told = size > 8
 
     def run(table: pa.Table) -> pa.Table:
         kind, uid, blob = table.column("kind").to_pylist(), table.column("uid").to_pylist(), table.column("blob")
         out_uid, out_kind, out_blob = [], [], []
-        offs, names, whose = [], [], []
-        for i, k in enumerate(kind):
+        offs, names, owners = [], [], []
+        for i in sorted(range(len(kind)), key=uid.__getitem__):
             b = blob[i].as_buffer()
-            if k == INFO:
+            if kind[i] == INFO:
                 out_uid.append(uid[i]), out_kind.append(INFO), out_blob.append(bytes(b))
             else:
                 o, m = _unpack(b, size)
-                offs.append(o.astype(np.int32)), names.append(m), whose.append(np.full(len(o), i, dtype=np.int32))
+                offs.append(o.astype(np.int32)), names.append(m), owners.append(uid[i])
         if offs:
-            wide = np.zeros((sum(map(len, names)), -(-size // 8) * 8), dtype=np.uint8)
+            whose = np.repeat(np.arange(len(offs), dtype=np.int32), [len(o) for o in offs])
+            wide = np.zeros((len(whose), -(-size // 8) * 8), dtype=np.uint8)
             wide[:, :size] = np.concatenate(names)
             names.clear()
-            w = np.concatenate(whose)
-            hit = _shared(wide.view("<u8"), w)
-            # rows of a batch and their places arrive in order, so what is left of each is in order too
-            o, w = np.concatenate(offs)[hit].astype(np.int64), w[hit]
+            hit, near = _shared(wide.view("<u8"), whose)
+            off = np.concatenate(offs)
+            o, w = off[hit].astype(np.int64), whose[hit]
             edge = np.flatnonzero(np.r_[True, w[1:] != w[:-1]]) if len(w) else w
             for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(w)]):
-                out_uid.append(uid[w[a]]), out_kind.append(PLACES), out_blob.append(_pack(o[a:b], np.zeros((b - a, 0), dtype=np.uint8), 2))
+                beside = _neighbours(off[near[a:b]], whose[near[a:b]], owners) if told else (b"", np.zeros((b - a, 0), dtype=np.uint8))
+                out_uid.append(owners[w[a]]), out_kind.append(PLACES), out_blob.append(beside[0] + _pack(o[a:b], beside[1], 2))
         return pa.table({"uid": pa.array(out_uid, pa.int64()), "kind": pa.array(out_kind, pa.int8()), "blob": pa.array(out_blob, pa.binary())})
 
     return run
 
 
-def resolve(table: pa.Table) -> pa.Table:
-    """Of one batch: the repeated places of each of its texts, counted from the text's start."""
-    info, parts = None, []
-    for k, b in zip(table.column("kind").to_pylist(), table.column("blob").to_pylist()):
-        if k == INFO:
-            info = info or b
-        else:
-            parts.append(_unpack(b, 0)[0])
-    n = int(np.frombuffer(info, dtype="<i8", count=1)[0])
-    ids, null, hs, base, start, length = np.frombuffer(info, dtype="<i8", count=6 * n, offset=8).reshape(6, n)
-    parts.append(from_runs(info[8 + 48 * n :]))
-    place = np.unique(np.concatenate(parts)).astype(np.int64)
-    piece = np.searchsorted(start + length, place, side="right")
-    edge = np.flatnonzero(np.r_[True, piece[1:] != piece[:-1]]) if len(piece) else np.zeros(0, dtype=np.int64)
-    end = np.r_[edge[1:], len(piece)]
-    who = piece[edge] if len(piece) else edge
-    blobs = [to_runs(place[a:b] - start[k] + base[k]) for a, b, k in zip(edge.tolist(), end.tolist(), who.tolist())]
-    return pa.table({"p_id": pa.array([None if null[k] else int(ids[k]) for k in who], pa.int64()), "p_h1": pa.array(hs[who], pa.int64()), "places": pa.array(blobs, pa.binary())})
-
-
-def repeated_places(texts: DataFrame, shards: int, verify: bool, share: int = 0, rounds: int = 1) -> DataFrame:
-    """``p_id, p_h1, places`` of ``texts(doc_id, h1, raw[, places])``; ``places`` are runs.
-
-    A text has a row for each batch that held a piece of it, and rows alike in id and text have rows each.
+def _neighbours(off: np.ndarray, whose: np.ndarray, owners: list[int]) -> tuple[bytes, np.ndarray]:
+    """Places in other batches as rows of bytes: three of the place, the rest of the batch's number in the list that comes first."""
+    batches, number = np.unique(whose, return_inverse=True)
+    size = 1 if len(batches) <= 256 else 2 if len(batches) <= 65_536 else 4
+    head = np.array([len(batches), size], dtype="<u4").tobytes() + np.array([owners[b] for b in batches.tolist()], dtype="<i8").tobytes()
+    places = off.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3]
+    return head, np.hstack([places, number.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :size]])
+
+
+def _beside(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places with their neighbours' places and batches, from what :func:`meet` wrote."""
+    n, size = (int(x) for x in np.frombuffer(blob, dtype="<u4", count=2))
+    owners = np.frombuffer(blob, dtype="<i8", count=n, offset=8)
+    o, t = _unpack(blob[8 + 8 * n :], 3 + size)
+    wide = np.zeros((len(o), 8), dtype=np.uint8)
+    wide[:, :3], wide[:, 4 : 4 + size] = t[:, :3], t[:, 3:]
+    place, number = wide.view("<u4").astype(np.int64).T
+    return o, place, owners[number]
+
+
+def resolve(told: bool):
+    """Of one batch: the repeated places of each of its texts, counted from the text's start.
+
+    In the second step (``told``) also runs of places whose neighbours lie side by side: where in the batch, how many bytes,
+    the neighbours' batch, where in that.
     """
-    packed = texts.mapInArrow(emit(shards, verify, share, rounds), "shard int, uid long, kind byte, blob binary")
+
+    def run(table: pa.Table) -> pa.Table:
+        info, parts = None, []
+        for k, b in zip(table.column("kind").to_pylist(), table.column("blob").to_pylist()):
+            if k == INFO:
+                info = info or b
+            else:
+                parts.append(_beside(b) if told else (_unpack(b, 0)[0],))
+        n = int(np.frombuffer(info, dtype="<i8", count=1)[0])
+        ids, null, hs, base, start, length = np.frombuffer(info, dtype="<i8", count=6 * n, offset=8).reshape(6, n)
+        place = np.unique(np.concatenate([*(p[0] for p in parts), from_runs(info[8 + 48 * n :])])).astype(np.int64)
+        piece = np.searchsorted(start + length, place, side="right")
+        edge = np.flatnonzero(np.r_[True, piece[1:] != piece[:-1]]) if len(piece) else np.zeros(0, dtype=np.int64)
+        end = np.r_[edge[1:], len(piece)]
+        who = piece[edge] if len(piece) else edge
+        blobs = [to_runs(place[a:b] - start[k] + base[k]) for a, b, k in zip(edge.tolist(), end.tolist(), who.tolist())]
+        out = {"p_id": [None if null[k] else int(ids[k]) for k in who], "p_h1": hs[who].tolist(), "places": blobs, "uid": [None] * len(who), "runs": [None] * len(who)}
+        if told and parts:
+            for c, v in zip(out, (None, None, None, table.column("uid")[0].as_py(), _runs(*(np.concatenate(x) for x in zip(*parts))))):
+                out[c].append(v)
+        types = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary())
+        return pa.table({c: pa.array(v, t) for (c, v), t in zip(out.items(), types)})
+
+    return run
+
+
+def _runs(o: np.ndarray, near: np.ndarray, batch: np.ndarray) -> bytes:
+    by = np.argsort(o)
+    o, near, batch = o[by].astype(np.int64), near[by], batch[by]
+    head = np.r_[True, (batch[1:] != batch[:-1]) | (o[1:] - near[1:] != o[:-1] - near[:-1]) | (o[1:] > o[:-1] + LENGTH)]
+    first, last = np.flatnonzero(head), np.flatnonzero(np.r_[head[1:], True])
+    return np.column_stack([o[first], o[last] + LENGTH - o[first], batch[first], near[first]]).astype("<i8").tobytes()
+
+
+def repeated_places(texts: DataFrame, shards: int, verify: bool, share: int = 0, rounds: int = 1, attempt: int = 0, bits: int = 64) -> DataFrame:
+    """``p_id, p_h1, places, uid, runs``; ``places`` are runs.
+
+    The first step takes ``texts(doc_id, h1, raw)``, the second the batches that :func:`lay` made. A text has a row for each
+    batch that held a piece of it, and rows alike in id and text have rows each.
+    """
+    packed = texts.mapInArrow(emit(shards, verify, share, rounds, attempt, bits), "shard int, uid long, kind byte, blob binary")
     met = packed.groupBy("shard").applyInArrow(meet(NAME_BYTES[verify]), "uid long, kind byte, blob binary")
-    return met.groupBy("uid").applyInArrow(resolve, "p_id long, p_h1 long, places binary")
+    return met.groupBy("uid").applyInArrow(resolve(verify), "p_id long, p_h1 long, places binary, uid long, runs binary")
+
+
+def _requests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a batch's runs, for each batch of neighbours: what either is to digest."""
+    for b in batches:
+        rows = []
+        for uid, share, runs in zip(b.column("uid").to_pylist(), b.column("share").to_pylist(), b.column("runs").to_pylist()):
+            r = np.frombuffer(runs, dtype="<i8").reshape(-1, 4)
+            r = r[np.argsort(r[:, 2], kind="stable")]
+            edge = np.flatnonzero(np.r_[True, r[1:, 2] != r[:-1, 2]]) if len(r) else []
+            for part in np.split(r, edge[1:]) if len(r) else []:
+                other = int(part[0, 2])
+                rows += [(uid, uid, other, share, part[:, [0, 1]].astype("<u4").tobytes()), (other, uid, other, share, part[:, [3, 1]].astype("<u4").tobytes())]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names=["uid", "a", "b", "share", "spans"])
+
+
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        rows = []
+        for raw, asked in zip(b.column("raw"), b.column("asked").to_pylist()):
+            view = memoryview(raw.as_buffer())
+            for q in asked:
+                h = hashlib.blake2b(digest_size=32)
+                for at, n in np.frombuffer(q["spans"], dtype="<u4").reshape(-1, 2).tolist():
+                    h.update(view[at : at + n])
+                rows.append((q["a"], q["b"], q["share"], h.digest()))
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names=["a", "b", "share", "digest"])
+
+
+def collided(laid: DataFrame, runs: DataFrame) -> bool:
+    """Whether any run's bytes are not those of its neighbours."""
+    asked = runs.mapInArrow(_requests, "uid long, a long, b long, share int, spans binary")
+    # no more than a batch has places
+    asked = asked.groupBy("uid").agg(F.collect_list(F.struct("a", "b", "share", "spans")).alias("asked"))
+    told = laid.select("uid", "raw").join(asked, "uid").mapInArrow(_digests, "a long, b long, share int, digest binary")
+    return not told.groupBy("a", "b", "share").agg(F.count_distinct("digest").alias("n")).where("n > 1").isEmpty()
+
+
+def repeats(laid: DataFrame, shards: int, first_bits: int = 64) -> tuple[DataFrame, int]:
+    """Step 2 and 3: ``p_id, p_h1, places, ...`` of what :func:`lay` made, and how many tries it took.
+
+    ``first_bits`` are the bits of either sum that count in the first try.
+    """
+    for attempt in range(TRIES):
+        bits = 64 if attempt else first_bits
+        found = [stage(repeated_places(laid, shards, True, k, ROUNDS, attempt, bits), "repeats") for k in range(ROUNDS)]
+        runs = reduce(DataFrame.unionAll, [f.where("runs is not null").select("uid", "runs", F.lit(k).alias("share")) for k, f in enumerate(found)])
+        if not collided(laid, runs):
+            return reduce(DataFrame.unionAll, found).where("places is not null"), attempt + 1
+    raise RuntimeError("names keep colliding")
 
 
 def shards_for(places: float, verify: bool) -> int:
@@ -409,8 +554,8 @@ def _cut_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` of every text."""
+def remove_repeats(docs: DataFrame, first_bits: int = 64) -> DataFrame:
+    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` of every text; ``first_bits`` as for :func:`repeats`."""
     ship(docs.sparkSession)
     raw = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), raw.alias("raw"), F.xxhash64(raw).alias("h1"), F.xxhash64(F.lit(1), raw).alias("h2"))
@@ -427,10 +572,10 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     left = stage(one_each(repeated_places(taking, shards, False)), "left")
     on = lambda a, b: a["doc_id"].eqNullSafe(b["p_id"]) & (a["h1"] == b["p_h1"])
     remaining = stage(taking.join(left, on(taking, left)).select("doc_id", "h1", "raw", "places"), "remaining")
-    total = remaining.agg(F.sum(F.octet_length("raw"))).first()[0] or 0
-    shards = shards_for(total / ROUNDS, True)
-    found = [stage(repeated_places(remaining, shards, True, k, ROUNDS), "repeats") for k in range(ROUNDS)]
-    found = stage(one_each(reduce(DataFrame.unionAll, found)), "repeats")
+    laid = stage(remaining.mapInArrow(lay, "uid long, info binary, raw binary, places binary"), "laid")
+    total = laid.agg(F.sum(F.octet_length("raw"))).first()[0] or 0
+    found, _ = repeats(laid, shards_for(total / ROUNDS, True), first_bits)
+    found = stage(one_each(found), "repeats")
     text = remaining.drop("places").dropDuplicates(["doc_id", "h1"]) if _has_twins(remaining) else remaining.drop("places")
     cut = text.join(found, on(text, found)).select("doc_id", "h1", "raw", "places").mapInArrow(_cut_batches, "c_id long, c_h1 long, n_removed long, n_spans long, kept_sha256 string")
     out = slim.join(few, same(slim), "left")

@@ -88,7 +88,24 @@ def test_names_that_collide_make_no_repeat():
     twice = np.r_[raw[:600], raw[:600]]
     assert rb._alike(twice, np.array([0, 600, 100, 700], dtype=np.int32), np.arange(4), np.array([True, False, True]), rb.LENGTH).tolist() == [True, False, True]
     first = np.array([[7, 1], [7, 2], [7, 3], [7, 2], [8, 5], [8, 5]], dtype=np.uint64)
-    assert rb._shared(first, np.array([0, 0, 1, 1, 2, 2])).tolist() == [1, 3]
+    hit, near = rb._shared(first, np.array([0, 0, 1, 1, 2, 2]))
+    assert hit.tolist() == [1, 3] and near.tolist() == [3, 1]
+
+
+def test_names_that_collide_are_drawn_again(spark):
+    """Names of six bits say that nearly everything repeats; the comparison of bytes does not."""
+    r = random.Random(11)
+    line = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    # every text shares 68 bytes at least with another, so that all are looked at
+    shared = line(120)
+    texts = [line(150) + shared + line(300) for _ in range(12)] + [line(40) + "x" * 10 + shared + line(250)]
+    texts += [texts[0][100:420] + line(30), "q" + texts[1][:250]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6)
+    got = {x.doc_id: tuple(x)[1:] for x in rb.remove_repeats(docs, first_bits=6).collect()}
+    assert [got[i] for i in range(len(texts))] == plain(texts)
+    rows = [(i, i, t.encode(), rb.to_runs(np.arange(len(t) - 67))) for i, t in enumerate(texts)]
+    laid = spark.createDataFrame(rows, "doc_id long, h1 long, raw binary, places binary").repartition(6).mapInArrow(rb.lay, "uid long, info binary, raw binary, places binary")
+    assert [rb.repeats(laid, 4, bits)[1] for bits in (6, 64)] == [2, 1]
 
 
 def test_positions():
