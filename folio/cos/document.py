@@ -242,6 +242,8 @@ class Document:
             todo = nxt + todo
         m = _VERSION.search(buf, 0, 1024)
         self.version = m[1].decode() if m else "1.4"
+        if not buf.startswith(b"%PDF-"):  # its offsets are right all the same
+            self.load_path = "late header"
         for n, e in self.xref.items():
             if e[0] == "c" and self.xref.get(e[1], ("c",))[0] != "n":
                 raise invalid(f"object {n} lies in {e[1]}, which is no plain object")
