@@ -97,7 +97,7 @@ class Reader(DataSourceReader):
 
 
 class StreamReader(DataSourceStreamReader):
-    """New files in a folder; the offset is the names already seen, by modification time and name."""
+    """New files in a folder; the offset is the time at which the last one read came to be there (not its date, which a copy may keep), and its name."""
 
     def __init__(self, options: dict):
         self.options = dict(options)
@@ -106,7 +106,7 @@ class StreamReader(DataSourceStreamReader):
         return {"upto": ""}
 
     def _keys(self) -> list[tuple[str, str]]:
-        return sorted((f"{os.stat(p).st_mtime_ns:020d}|{p}", p) for p in _listed(self.options["path"]))
+        return sorted((f"{os.stat(p).st_ctime_ns:020d}|{p}", p) for p in _listed(self.options["path"]))
 
     def latestOffset(self) -> dict:
         keys = self._keys()
