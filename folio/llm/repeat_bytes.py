@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..workers import ship
-from .common import stage
+from .common import handed, stage
 
 LENGTH = 200
 V = 133
@@ -53,6 +53,9 @@ TUPLE = LENGTH - V + 1
 #: Bytes of text named at a time, and the most of one text among them.
 BATCH = 1 << 20
 PIECE = 1 << 20
+SLICE = 1 << 17
+#: Bytes of rows that a worker is handed at a time in the second and third step.
+HANDED = "8m"
 #: Bytes of names and places a shard should hold, on average.
 SHARD_BYTES = 8 << 20
 LEAST_SHARDS = 64
@@ -280,6 +283,17 @@ def _relaid(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bytes, byt
             yield uid, info, raw, from_runs(places)
 
 
+def _ours(names: Names, pos: np.ndarray, width: int, few: np.uint64, share: int, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places whose name is of this share, and their names; looked at in slices, so that the rest takes no room."""
+    kept = []
+    for at in range(0, len(pos), SLICE):
+        p = pos[at : at + SLICE]
+        c = names.at(p, width) & few
+        mine = (c >> np.uint64(60)) % np.uint64(rounds) == np.uint64(share)
+        kept.append((p[mine], c[mine]))
+    return tuple(np.concatenate(x) for x in zip(*kept))
+
+
 def emit(shards: int, verify: bool, share: int = 0, rounds: int = 1, attempt: int = 0, bits: int = 64):
     """Names and places of one step's windows, packed by shard; of the names, the ``share``-th of ``rounds`` shares."""
     width, size = LENGTH if verify else TUPLE, NAME_BYTES[verify]
@@ -289,10 +303,7 @@ def emit(shards: int, verify: bool, share: int = 0, rounds: int = 1, attempt: in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for uid, info, data, pos in _relaid(batches) if verify else _laid(batches, width, False):
             raw, pos = np.frombuffer(data, dtype=np.uint8), pos.astype(np.int32)
-            check = Names(raw, 2 * attempt + 1).at(pos, width) & few
-            if rounds > 1:
-                ours = (check >> np.uint64(60)) % np.uint64(rounds) == np.uint64(share)
-                pos, check = pos[ours], check[ours]
+            pos, check = _ours(Names(raw, 2 * attempt + 1), pos, width, few, share, rounds)
             if not len(pos):
                 continue
             name = Names(raw, 2 * attempt).at(pos, width) & few if verify else check
@@ -574,7 +585,8 @@ def remove_repeats(docs: DataFrame, first_bits: int = 64) -> DataFrame:
     remaining = stage(taking.join(left, on(taking, left)).select("doc_id", "h1", "raw", "places"), "remaining")
     laid = stage(remaining.mapInArrow(lay, "uid long, info binary, raw binary, places binary"), "laid")
     total = laid.agg(F.sum(F.octet_length("raw"))).first()[0] or 0
-    found, _ = repeats(laid, shards_for(total / ROUNDS, True), first_bits)
+    with handed(docs.sparkSession, HANDED):
+        found, _ = repeats(laid, shards_for(total / ROUNDS, True), first_bits)
     found = stage(one_each(found), "repeats")
     text = remaining.drop("places").dropDuplicates(["doc_id", "h1"]) if _has_twins(remaining) else remaining.drop("places")
     cut = text.join(found, on(text, found)).select("doc_id", "h1", "raw", "places").mapInArrow(_cut_batches, "c_id long, c_h1 long, n_removed long, n_spans long, kept_sha256 string")
