@@ -24,6 +24,7 @@ from .common import stage
 MIN_SITES = 10
 BAND = 0.15
 LG_K = 12
+SALTS = 16
 
 
 def lines_of(text: Column) -> Column:
@@ -42,7 +43,10 @@ def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES, band: float = BAND
     often = lines.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc")).where(F.col("n") >= min_sites)
     often = stage(often, "often")
     some = lines.join(often.select("h1", "h2"), ["h1", "h2"], "left_semi")
-    spread = some.groupBy("h1", "h2").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LG_K))).alias("sites"))
+    # a line that every part of the table has meets in SALTS tasks first, each with sites of its own
+    salt = F.pmod(F.xxhash64("site"), F.lit(SALTS)).alias("salt")
+    parts = some.groupBy("h1", "h2", salt).agg(F.hll_sketch_agg("site", F.lit(LG_K)).alias("sketch"))
+    spread = parts.groupBy("h1", "h2").agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("sites"))
     spread = stage(spread, "spread")
     sure = spread.where(F.col("sites") > min_sites * (1 + band)).select("h1", "h2")
     close = spread.where(F.col("sites").between(min_sites * (1 - band), min_sites * (1 + band))).select("h1", "h2")
