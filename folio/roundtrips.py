@@ -355,8 +355,8 @@ def rotated_text(spark, sf):
     rows = table(spark, sf, "part").select(F.floor(k / 20).cast("string").alias("doc_id"), (k % 20 + 1).alias("page_no"), F.lit("BT /F1 10 Tf 72 700 Td (turned) Tj ET").alias("raw"), (k % 4 * 90).cast("int").alias("rotate"))
     t = ops.extract_text(synth.from_rows(rows)).withColumn("r", F.col("runs")[0])
     turn = F.pmod(F.floor(F.col("doc_id").cast("long") * 20 + F.col("page") - 1), F.lit(4))
-    # 90: the ascent points left of the baseline at 700, less 2 points of descent; 180: the start is the right edge; 270: the other way round
-    x = F.when(turn == 0, F.col("r.x")).when(turn == 1, F.col("r.x") + 2).when(turn == 2, F.col("r.x") + F.col("r.width")).otherwise(F.col("r.x") + F.col("r.width") - 8 + 8 - 2)
+    # 90: the baseline is 2 points of descent right of the left edge; 180: text starts at the right edge; 270: the baseline is 2 points left of it
+    x = F.when(turn == 0, F.col("r.x")).when(turn == 1, F.col("r.x") + 2).when(turn == 2, F.col("r.x") + F.col("r.width")).otherwise(F.col("r.x") + F.col("r.width") - 2)
     return t.select(F.col("doc_id").cast("long").alias("doc"), F.col("page").cast("long").alias("page_no"), F.col("page_width").cast("long").alias("width"), F.round(x).cast("long").alias("x"))
 
 
