@@ -54,7 +54,7 @@ TUPLE = LENGTH - V + 1
 BATCH = 1 << 20
 PIECE = 1 << 20
 SLICE = 1 << 17
-#: Bytes of rows that a worker is handed at a time in the second and third step.
+#: Bytes of rows that a worker is handed at a time.
 HANDED = "8m"
 #: Bytes of names and places a shard should hold, on average.
 SHARD_BYTES = 8 << 20
@@ -580,16 +580,17 @@ def remove_repeats(docs: DataFrame, first_bits: int = 64) -> DataFrame:
 
     taking = d.where(F.octet_length("raw") >= LENGTH)
     taking = taking.join(few, same(taking), "left").where(F.col("rep").isNull() | (F.col("doc_id") == F.col("rep"))).select("doc_id", "h1", "raw")
-    left = stage(one_each(repeated_places(taking, shards, False)), "left")
     on = lambda a, b: a["doc_id"].eqNullSafe(b["p_id"]) & (a["h1"] == b["p_h1"])
-    remaining = stage(taking.join(left, on(taking, left)).select("doc_id", "h1", "raw", "places"), "remaining")
-    laid = stage(remaining.mapInArrow(lay, "uid long, info binary, raw binary, places binary"), "laid")
-    total = laid.agg(F.sum(F.octet_length("raw"))).first()[0] or 0
     with handed(docs.sparkSession, HANDED):
+        left = stage(one_each(repeated_places(taking, shards, False)), "left")
+        remaining = stage(taking.join(left, on(taking, left)).select("doc_id", "h1", "raw", "places"), "remaining")
+        laid = stage(remaining.mapInArrow(lay, "uid long, info binary, raw binary, places binary"), "laid")
+        total = laid.agg(F.sum(F.octet_length("raw"))).first()[0] or 0
         found, _ = repeats(laid, shards_for(total / ROUNDS, True), first_bits)
-    found = stage(one_each(found), "repeats")
-    text = remaining.drop("places").dropDuplicates(["doc_id", "h1"]) if _has_twins(remaining) else remaining.drop("places")
-    cut = text.join(found, on(text, found)).select("doc_id", "h1", "raw", "places").mapInArrow(_cut_batches, "c_id long, c_h1 long, n_removed long, n_spans long, kept_sha256 string")
+        found = stage(one_each(found), "repeats")
+        text = remaining.drop("places").dropDuplicates(["doc_id", "h1"]) if _has_twins(remaining) else remaining.drop("places")
+        cut = text.join(found, on(text, found)).select("doc_id", "h1", "raw", "places").mapInArrow(_cut_batches, "c_id long, c_h1 long, n_removed long, n_spans long, kept_sha256 string")
+        cut = stage(cut, "cut")
     out = slim.join(few, same(slim), "left")
     out = out.join(cut, out["doc_id"].eqNullSafe(cut["c_id"]) & (out["h1"] == cut["c_h1"]), "left")
     whole = F.col("k1").isNotNull()
