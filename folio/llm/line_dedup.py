@@ -24,6 +24,7 @@ from .common import stage
 MIN_SITES = 10
 BAND = 0.15
 LG_K = 12
+BROADCAST_ROWS = 500_000
 
 
 def lines_of(text: Column) -> Column:
@@ -51,15 +52,20 @@ def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES, band: float = BAND
     return found.join(often.select("h1", "h2", "first_doc"), ["h1", "h2"])
 
 
+def _small(lines: DataFrame) -> DataFrame:
+    """A table of boilerplate lines, broadcast if it is counted to be small, so that where a common line occurs does not meet in one task."""
+    return F.broadcast(lines) if lines.count() <= BROADCAST_ROWS else lines
+
+
 def removals(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """``_folio_id, _folio_hash, _folio_gone``: of each document that loses lines, their positions."""
     lines = stage(line_hashes(docs), "lines")
     found = stage(boilerplate(lines, min_sites), "boilerplate")
-    hits = lines.join(found, ["h1", "h2"])
+    hits = lines.join(_small(found), ["h1", "h2"])
     # by id, then position; the hash decides between rows that share both
     place = F.struct("pos", "text_hash")
-    first = hits.where(F.col("doc_id").eqNullSafe(F.col("first_doc"))).groupBy("h1", "h2").agg(F.min(place).alias("first_place"))
-    hits = hits.join(first, ["h1", "h2"], "left")
+    first = stage(hits.where(F.col("doc_id").eqNullSafe(F.col("first_doc"))).groupBy("h1", "h2").agg(F.min(place).alias("first_place")), "first")
+    hits = hits.join(_small(first), ["h1", "h2"], "left")
     stays = F.col("doc_id").eqNullSafe(F.col("first_doc")) & place.eqNullSafe(F.col("first_place"))
     return hits.where(~stays).groupBy(F.col("doc_id").alias("_folio_id"), F.col("text_hash").alias("_folio_hash")).agg(F.collect_set("pos").alias("_folio_gone"))
 
