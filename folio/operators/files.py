@@ -8,6 +8,7 @@ error, or raises in ``strict`` mode.
 from __future__ import annotations
 
 import io
+import json
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -24,7 +25,7 @@ from ..cos.document import Document, nesting
 from ..cos.lexer import MAX_DEPTH
 from ..cos.objects import FolioError
 from ..functions import ranges as R
-from ..sources.pdf import read_document
+from ..sources.pdf import plain, read_document
 from ..workers import ship
 
 ERROR = "error struct<code string, message string>"
@@ -199,8 +200,11 @@ RUNS = "array<struct<text string, x float, y float, width float, height float, f
 _RUNS = pa.list_(pa.struct([("text", pa.string()), *((n, pa.float32()) for n in ("x", "y", "width", "height", "font_size"))]))
 
 
-def extract_text(files: DataFrame, pages: str | None = None, annotations: bool = True, password: str | None = None, mode: str = "permissive") -> DataFrame:
-    """``doc_id, page, page_width, page_height, degraded, runs, error``; each selected page once, in the order given."""
+def extract_text(files: DataFrame, pages: str | None = None, annotations: bool = True, password: str | None = None, mode: str = "permissive", values: bool = False) -> DataFrame:
+    """``doc_id, page, page_width, page_height, degraded, runs[, value], error``; each selected page once, in the order given.
+
+    With ``values`` the page's dictionary comes along as JSON, from the same parse.
+    """
 
     def run(_, d: Document) -> Iterator[tuple]:
         if nesting(d.buf) > MAX_DEPTH:
@@ -209,9 +213,12 @@ def extract_text(files: DataFrame, pages: str | None = None, annotations: bool =
         order = range(1, len(have) + 1) if pages is None else dict.fromkeys(R.pages_of(pages, len(have)))
         for n in order:
             p = T.page_text(d, have[n - 1], n, annotations)
-            yield p.page, p.width, p.height, p.degraded, [r._asdict() for r in p.runs]
+            row = (p.page, p.width, p.height, p.degraded, [r._asdict() for r in p.runs])
+            yield (*row, json.dumps(plain(d.get(have[n - 1])), ensure_ascii=False)) if values else row
 
-    return _each(files, f"doc_id string, page int, page_width float, page_height float, degraded boolean, runs {RUNS}, {ERROR}", _schema(("page", pa.int32()), ("page_width", pa.float32()), ("page_height", pa.float32()), ("degraded", pa.bool_()), ("runs", _RUNS)), run, password, mode)
+    columns = f"doc_id string, page int, page_width float, page_height float, degraded boolean, runs {RUNS}, {'value string, ' if values else ''}{ERROR}"
+    fields = [("page", pa.int32()), ("page_width", pa.float32()), ("page_height", pa.float32()), ("degraded", pa.bool_()), ("runs", _RUNS), *([("value", pa.string())] if values else [])]
+    return _each(files, columns, _schema(*fields), run, password, mode)
 
 
 def render_pages(files: DataFrame, dpi: float = 150.0, pages: str | None = None, mode: str = "permissive") -> DataFrame:

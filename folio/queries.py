@@ -353,8 +353,11 @@ _PAGES = "SELECT conv_id, turn + 1 AS page_no, trim(regexp_replace(text, '\\s+',
 
 
 def _page_texts(files: DataFrame) -> DataFrame:
-    t = ops.extract_text(files)
-    return t.select("doc_id", F.col("page").cast("long").alias("page_no"), F.array_join(F.transform("runs", lambda r: r["text"]), " ").alias("text"))
+    return _texts(ops.extract_text(files))
+
+
+def _texts(t: DataFrame, *more: str) -> DataFrame:
+    return t.select("doc_id", F.col("page").cast("long").alias("page_no"), F.array_join(F.transform("runs", lambda r: r["text"]), " ").alias("text"), *more)
 
 
 @query(_PAGES)

@@ -201,3 +201,20 @@ def test_closures_are_whole_or_an_error(spark):
     assert closure.closure(starts, refs).count() == 41
     with pytest.raises(Exception, match="deeper than 10"):
         closure.closure(starts, refs, most=10)
+
+
+def test_page_values_come_with_the_text(spark, files):
+    """A page's dictionary, as the tables have it, from the parse that reads its text."""
+    t = pdf.load(files)
+    want = {(r.doc_id, r.page_no): r.value for r in tree.pages(t).join(t["objects"].select("doc_id", "obj", "value"), ["doc_id", "obj"]).collect()}
+    got = ops.extract_text(files, values=True).collect()
+    assert {(r.doc_id, r.page): r.value for r in got if r.error is None} == want
+    assert {r.doc_id: r.value for r in got if r.error is not None} == {"locked": None, "junk": None, "none": None}
+
+
+def test_pruned_forms_joins_nothing(spark):
+    """Tables of files look small by their bytes; a join of them would be broadcast through the driver."""
+    from folio import roundtrips
+
+    plan = roundtrips.pruned_forms(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Broadcast" not in plan
