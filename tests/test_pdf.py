@@ -150,6 +150,37 @@ def test_encryption():
             open_document(b, "wrong")
 
 
+def test_ciphers_of_the_library(monkeypatch):
+    """They give what the plain versions give, published examples too, and passwords of revision 6 are hashed with them."""
+    from folio.cos import crypt
+
+    assert crypt.rc4(b"Key", b"Plaintext").hex() == crypt.plain_rc4(b"Key", b"Plaintext").hex() == "bbf316e8d940af0ad3"
+    block, key = bytes.fromhex("00112233445566778899aabbccddeeff"), bytes(range(32))
+    for f in (crypt.aes_cbc, crypt.plain_aes_cbc):
+        assert f(key[:16], bytes(16), block, True).hex() == "69c4e0d86a7b0430d8cdb78070b4c55a"
+        assert f(key, bytes(16), block, True).hex() == "8ea2b7ca516745bfeafc49904b496089"
+    for n in (0, 1, 15, 16, 17, 333):
+        data = bytes(i * i % 251 for i in range(n))
+        for k in (key[:1], key[:5], key[:16], key):
+            assert crypt.rc4(k, data) == crypt.plain_rc4(k, data)
+        for k in (key[:16], key):
+            for way in (True, False):
+                assert crypt.aes_cbc(k, block, data, way) == crypt.plain_aes_cbc(k, block, data, way)
+    if crypt.LIBRARY is None:
+        pytest.skip("hashlib has no OpenSSL here")
+    monkeypatch.setattr(crypt.LIBRARY, "PIECE", 32)
+    assert crypt.aes_cbc(key, block, data, True) == crypt.plain_aes_cbc(key, block, data, True)
+    quick = crypt.hash_r6(b"owner", key[:8], b"")
+    with monkeypatch.context() as m:
+        m.setattr(crypt, "LIBRARY", None)
+        assert crypt.hash_r6(b"owner", key[:8], b"") == quick
+        m.setattr(crypt, "_encrypt_block", None)
+        with pytest.raises(TypeError):
+            crypt.hash_r6(b"owner", key[:8], b"")
+    monkeypatch.setattr(crypt, "_encrypt_block", None)  # of 30,000 blocks for a hash none is worked out in Python
+    assert crypt.hash_r6(b"owner", key[:8], b"") == quick
+
+
 def test_page_tree_errors():
     b = X.pages(3)
     d = open_document(b)
