@@ -218,3 +218,20 @@ def test_pruned_forms_joins_nothing(spark):
 
     plan = roundtrips.pruned_forms(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "Broadcast" not in plan
+
+
+def test_owner_opens_without_a_cipher_in_python(monkeypatch):
+    """A file with a user's password: refused without one, opened with the owner's, in no block of AES worked out here."""
+    from folio.cos import crypt
+    from folio.cos.objects import FolioError
+    from folio.operators import synth
+
+    if crypt.LIBRARY is None:
+        pytest.skip("hashlib has no OpenSSL here")
+    for f in ("_encrypt_block", "_decrypt_block", "plain_rc4"):
+        monkeypatch.setattr(crypt, f, None, raising=False)
+    for kind in ("rc4", "aes128", "aes256"):
+        data = synth.build([{"text": "one"}, {"text": "two"}], title="7", seal=crypt.Sealer(kind, b"7", b"owner", b"7"))
+        with pytest.raises(FolioError, match="requires a password"):
+            pdf.read_document(data, lambda d: d.count(False), None, "7")
+        assert [pdf.read_document(data, lambda d: d.count(False), p, "7") for p in ("owner", "7")] == [2, 2]
