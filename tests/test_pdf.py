@@ -181,6 +181,45 @@ def test_ciphers_of_the_library(monkeypatch):
     assert crypt.hash_r6(b"owner", key[:8], b"") == quick
 
 
+def test_aes_of_the_library_wherever_it_is(monkeypatch):
+    """A library without RC4, or one that hashlib doesn't lead to, still hashes the passwords of revision 6."""
+    import _hashlib
+    import ctypes
+
+    from folio.cos import crypt
+
+    if crypt.LIBRARY is None:
+        pytest.skip("no OpenSSL here")
+    hashed, real = crypt.hash_r6(b"owner", bytes(8), b""), ctypes.CDLL
+
+    class NoRC4:
+        def __init__(self, place):
+            self.lib = real(place)
+
+        def __getattr__(self, name):
+            if name.startswith("RC4"):
+                raise AttributeError(name)
+            return getattr(self.lib, name)
+
+    def elsewhere(place):
+        if place == getattr(_hashlib, "__file__", None):
+            raise OSError(place)
+        return real(place)
+
+    for load, rc4 in ((NoRC4, False), (elsewhere, True)):
+        with monkeypatch.context() as m:
+            m.setattr(ctypes, "CDLL", load)
+            lib = crypt._library()
+        assert lib is not None and lib.has_rc4 == rc4
+        with monkeypatch.context() as m:
+            m.setattr(crypt, "LIBRARY", lib)
+            m.setattr(crypt, "_encrypt_block", None)
+            assert crypt.hash_r6(b"owner", bytes(8), b"") == hashed
+            assert crypt.rc4(b"Key", b"Plaintext").hex() == "bbf316e8d940af0ad3"
+    monkeypatch.setattr(ctypes, "CDLL", lambda place: (_ for _ in ()).throw(OSError(place)))
+    assert crypt._library() is None
+
+
 def test_page_tree_errors():
     b = X.pages(3)
     d = open_document(b)
